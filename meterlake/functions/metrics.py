@@ -45,7 +45,6 @@ def score_columns(true="y_true", pred="y_pred") -> list[Column]:
     ]
 
 
-def variance_part(error: str = "rmse", offset: str = "bias") -> Column:
-    """The part of the error that is not bias."""
-    rest = F.col(error) * F.col(error) - F.col(offset) * F.col(offset)
-    return F.sqrt(F.greatest(rest, F.lit(0.0)))
+def spread(true="y_true", pred="y_pred") -> Column:
+    """The part of the RMSE that is not bias: sqrt(rmse^2 - bias^2), which is the deviation of the residuals."""
+    return F.stddev_pop(col(pred) - col(true))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.operators.quantiles import global_quantiles, group_quantiles
@@ -32,7 +33,7 @@ def convert_units(df: DataFrame, value: str = "meter_reading", rules: Sequence[t
     return df.withColumn(value, F.col(value) * factor)
 
 
-def is_zero(value: str):
+def is_zero(value: str) -> Column:
     """A missing value is not zero."""
     return F.coalesce(F.col(value) == 0, F.lit(False))
 
@@ -63,29 +64,33 @@ def zero_run_starts(df: DataFrame, series: Series, value: str = "meter_reading")
     return rows.where((F.col("zero_run") > 0) & first).select(*series.keys, series.time, "zero_run")
 
 
-def cap_outliers(
-    df: DataFrame,
-    keys: Sequence[str] = ("building_id", "meter"),
-    value: str = "meter_reading",
-    quantile: float = 0.999,
-    caps: DataFrame | None = None,
-) -> DataFrame:
+@by_length
+def cap_outliers(df: DataFrame, series: Series, value: str = "meter_reading", quantile: float = 0.999) -> DataFrame:
     """Replace values above the quantile of their series by that quantile.
 
-    `caps` (keys, cap) may come from other rows, such as the training fold only.
+    An ordinary series takes it from the partition it is windowed in, a long one from an exact count.
     """
-    if caps is None:
-        caps = series_caps(df, keys, value, quantile)
+    if series.split:
+        return cap_at(df, series_caps(df, series.keys, value, quantile, series.long_rows), series.keys, value)
+    cap = F.percentile(value, F.lit(quantile)).over(Window.partitionBy(*series.keys))
+    return df.withColumn("_cap", cap).withColumn(value, _capped(value)).drop("_cap")
+
+
+def _capped(value: str) -> Column:
+    return F.when(F.col(value) > F.col("_cap"), F.col("_cap")).otherwise(F.col(value))
+
+
+def cap_at(df: DataFrame, caps: DataFrame, keys: Sequence[str], value: str = "meter_reading") -> DataFrame:
+    """Replace values above the cap of their series; `caps` (keys, cap) may come from other rows, such as training."""
     caps = caps.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], F.col("cap").alias("_cap"))
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & (df[k] == caps[f"_c{i}"])
-    capped = F.when(F.col(value) > F.col("_cap"), F.col("_cap")).otherwise(F.col(value))
-    return df.join(caps, match, "left").withColumn(value, capped).select(*df.columns)
+    match = reduce(Column.__and__, [df[k] == caps[f"_c{i}"] for i, k in enumerate(keys)])
+    return df.join(caps, match, "left").withColumn(value, _capped(value)).select(*df.columns)
 
 
-def series_caps(df: DataFrame, keys: Sequence[str], value: str = "meter_reading", quantile: float = 0.999) -> DataFrame:
-    return group_quantiles(df, keys, value, [quantile]).select(*keys, F.col("q")[0].alias("cap"))
+def series_caps(
+    df: DataFrame, keys: Sequence[str], value: str = "meter_reading", quantile: float = 0.999, large_rows: int = 5_000_000
+) -> DataFrame:
+    return group_quantiles(df, keys, value, [quantile], large_rows).select(*keys, F.col("q")[0].alias("cap"))
 
 
 @by_length
@@ -129,6 +134,7 @@ def _fill_streaks_from_neighbours(df: DataFrame, series: Series, value: str) ->
 
 def fill_streaks_forward(df: DataFrame, series: Series, value: str = "meter_reading", min_hours: int = 48) -> DataFrame:
     """Take long zero runs, and missing values, from the last value before; at the start from the first after."""
+    series = series.measured(df)
     marked = with_zero_runs(df, series, value)
     blanked = F.when(F.col("zero_run") < min_hours, F.col(value))
     return _fill_streaks_from_neighbours(marked.withColumn(value, blanked).drop("zero_run"), series, value)
@@ -140,9 +146,7 @@ def fill_streaks_with_mean(df: DataFrame, series: Series, value: str = "meter_re
     good = F.col("zero_run") < min_hours
     means = marked.where(good).groupBy(*series.keys).agg(F.avg(value).alias("_mean"))
     means = means.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(series.keys)], "_mean")
-    match = F.lit(True)
-    for i, k in enumerate(series.keys):
-        match = match & marked[k].eqNullSafe(means[f"_g{i}"])
+    match = reduce(Column.__and__, [marked[k].eqNullSafe(means[f"_g{i}"]) for i, k in enumerate(series.keys)])
     filled = F.when(good, F.col(value)).otherwise(F.coalesce("_mean", F.lit(0.0)))
     return marked.join(means, match, "left").withColumn(value, filled).select(*df.columns)
 
@@ -162,6 +166,7 @@ def handle_streaks(
     }
     if strategy not in handlers:
         raise ValueError(f"strategy {strategy!r} is none of {sorted(handlers)}")
+    series = series.measured(df)
     return handlers[strategy](convert_units(drop_negative(df, value), value), series, value, min_hours)
 
 
@@ -169,7 +174,8 @@ def apply_streak_strategy(
     df: DataFrame, strategy: str, series: Series, value: str = "meter_reading", min_hours: int = 48, quantile: float = 0.999
 ) -> DataFrame:
     """`handle_streaks`, then the outlier cap."""
-    return cap_outliers(handle_streaks(df, strategy, series, value, min_hours), series.keys, value, quantile)
+    series = series.measured(df)
+    return cap_outliers(handle_streaks(df, strategy, series, value, min_hours), series, value, quantile)
 
 
 def basic_clean(

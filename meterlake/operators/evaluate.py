@@ -109,8 +109,9 @@ def worst_meters(df: DataFrame, keys: Sequence[str], carried: Sequence[str] = ()
         F.avg("y_true").alias("mean_actual"),
         metrics.rmse().alias("rmse"),
         metrics.bias().alias("bias"),
+        metrics.spread().alias("variance_component"),
     )
-    return scored.withColumn("variance_component", metrics.variance_part()).orderBy(F.desc("rmse"), *keys)
+    return scored.orderBy(F.desc("rmse"), *keys)
 
 
 def worst_buildings(df: DataFrame, keys: Sequence[str] = ("building_id", "primary_use"), k: int = 20) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.holidays import DEFAULT_COUNTRY, SITE_COUNTRY, calendar
 from meterlake.functions.scalars import col, wave
-from meterlake.operators.quantiles import global_quantiles, group_quantiles
 from meterlake.operators.series import Series, by_length, reaching_back
 
 # The feature names by group, and the small raw set of the ablation.
@@ -123,13 +122,19 @@ def category_codes(dimension: DataFrame, column: str) -> Column:
 
 
 def fill_age(df: DataFrame, column: str = "building_age", site: str = "site_id") -> DataFrame:
-    """Missing age: the median over the rows of the site, else over all rows."""
-    overall = global_quantiles(df, column, [0.5]).select(F.col("q")[0])
-    if site not in df.columns:
-        return df.withColumn(column, F.coalesce(F.col(column), overall.scalar()))
-    medians = group_quantiles(df, [site], column, [0.5]).select(F.col(site).alias("_site"), F.col("q")[0].alias("_median"))
+    """Missing age: the median over the rows of the site, else over all rows.
+
+    Ages are whole years, so the medians come from row counts per site and age, not from the rows.
+    """
+    by = [site] if site in df.columns else []
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_age")).agg(F.count(F.lit(1)).alias("_n"))
+    median = F.percentile("_age", F.lit(0.5), F.col("_n"))
+    overall = counts.agg(median).scalar()
+    if not by:
+        return df.withColumn(column, F.coalesce(F.col(column), overall))
+    medians = counts.groupBy(F.col(site).alias("_site")).agg(median.alias("_median"))
     joined = df.join(medians, df[site] == medians["_site"], "left")
-    return joined.withColumn(column, F.coalesce(F.col(column), F.col("_median"), overall.scalar())).select(*df.columns)
+    return joined.withColumn(column, F.coalesce(F.col(column), F.col("_median"), overall)).select(*df.columns)
 
 
 def add_building_features(df: DataFrame, categories: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ ordinary series take the plain window, longer ones are cut into chunks. Both giv
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -21,19 +21,31 @@ POS, CHUNK, SIZE = "_pos", "_chunk", "_size"
 
 @dataclass(frozen=True)
 class Series:
-    """What names a series and what orders its rows; `ties` make the order total."""
+    """What names a series and what orders its rows; `ties` make the order total.
+
+    `split` says how to window: False whole, True in chunks, None by the length of each series. The lengths are
+    counted by every operator anew unless `measured` has counted them once for a chain of operators.
+    """
 
     keys: tuple[str, ...] = ("building_id", "meter")
     time: str = "timestamp"
     ties: tuple[str, ...] = ()
     long_rows: int = 2_000_000
     chunk_rows: int = 250_000
-    split: bool | None = None  # None: not counted yet
+    split: bool | None = None
+    counted: bool = False
+    longs: DataFrame | None = field(default=None, compare=False, repr=False)
 
     @property
     def order(self) -> list[str]:
         return [self.time, *self.ties]
 
+    def measured(self, df: DataFrame) -> Series:
+        """Count the series of `df` once. Holds for every frame made from `df` by dropping or filling rows."""
+        if self.split is not None or self.counted:
+            return self
+        return replace(self, counted=True, longs=long_series(df, self))
+
     def window(self) -> WindowSpec:
         if self.split:
             return Window.partitionBy(*self.keys, CHUNK).orderBy(POS)
@@ -67,11 +79,11 @@ def by_length(step: Callable) -> Callable:
     def run(df: DataFrame, series: Series, *args, **kwargs) -> DataFrame:
         if series.split is not None:
             return step(df, series, *args, **kwargs)
+        series = series.measured(df)
         plain, chunked = replace(series, split=False), replace(series, split=True)
-        longs = long_series(df, series)
-        if longs is None:
+        if series.longs is None:
             return step(df, plain, *args, **kwargs)
-        longs = F.broadcast(longs)
+        longs = F.broadcast(series.longs)
         match = same_keys(df, longs, series.keys)
         ordinary = step(df.join(longs, match, "left_anti"), plain, *args, **kwargs)
         return ordinary.unionByName(step(df.join(longs, match, "left_semi"), chunked, *args, **kwargs))

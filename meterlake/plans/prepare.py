@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +29,21 @@ class Prepared:
     encoder: TargetEncoder
     series: Series
 
+    def stored(self) -> Prepared:
+        """Both folds written once, for jobs that read them many times."""
+        return replace(self, train=durable(self.train), val=durable(self.val))
+
     def summary(self) -> DataFrame:
         return split_summary(self.train, self.val, self.series.time)
 
 
+def add_row_features(df: DataFrame, series: Series, categories: DataFrame | None = None) -> DataFrame:
+    """The features that need no history: calendar, building, weather and their products."""
+    out = features.add_time_features(df, series.time)
+    out = features.add_building_features(out, categories)
+    return features.add_interaction_features(features.add_weather_features(out))
+
+
 def build_features(
     df: DataFrame,
     series: Series,
@@ -41,10 +52,7 @@ def build_features(
     windows: Sequence[int] = (24, 168),
 ) -> DataFrame:
     """All features but the target encoding, which has to wait for the split."""
-    out = features.add_time_features(df, series.time)
-    out = features.add_history_features(out, series, lags=lags, windows=windows)
-    out = features.add_building_features(out, categories)
-    return features.add_interaction_features(features.add_weather_features(out))
+    return add_row_features(features.add_history_features(df, series, lags=lags, windows=windows), series, categories)
 
 
 def encode_and_project(
@@ -66,34 +74,52 @@ def encode_and_project(
     return Prepared(folds[0], folds[1], names, encoder, series)
 
 
-def prepare(
+def clean_history(
     readings: DataFrame,
     meta: DataFrame,
-    weather: DataFrame,
-    split: Splitter,
-    series: Series = Series(),
-    feature_set: str = "engineered",
+    series: Series,
     strategy: str = "drop",
     quantile: float = 0.999,
     min_hours: int = 48,
     lags: Sequence[int] = (24, 168),
     windows: Sequence[int] = (24, 168),
+    cap_rows: Column | None = None,
+) -> DataFrame:
+    """Cleaned readings with lags and rolling statistics.
+
+    Cleaning and history need nothing but the reading and the site of its building, so the wide context is
+    joined later and one shuffle of narrow rows by series serves zero runs, caps, lags and rolling frames.
+    """
+    series = series.measured(readings)
+    narrow = readings.join(meta.select("building_id", "site_id"), "building_id", "left")
+    tidy = clean.handle_streaks(narrow, strategy, series, min_hours=min_hours).drop("site_id")
+    if cap_rows is None:
+        tidy = clean.cap_outliers(tidy, series, quantile=quantile)
+    else:
+        caps = clean.series_caps(tidy.where(cap_rows), series.keys, quantile=quantile)
+        tidy = clean.cap_at(tidy, caps, series.keys)
+    return features.add_history_features(tidy, series, lags=lags, windows=windows)
+
+
+def prepare(
+    readings: DataFrame,
+    meta: DataFrame,
+    weather: DataFrame,
+    split: Splitter,
+    series: Series = Series(),
+    weather_series: Series = Series(keys=("site_id",)),
+    feature_set: str = "engineered",
     smoothing: float = 30,
     log_target: bool = True,
-    cap_rows: Column | None = None,
+    **cleaning,
 ) -> Prepared:
-    """Join, clean, build features, split, encode, project.
+    """Clean, join, build features, split, encode, project. `cleaning` goes to `clean_history`.
 
     Caps come from all rows, as in the published numbers; `cap_rows`, a condition such as the training period,
-    limits them to rows the model may know. The feature table is written once, because the split guard, the
-    encoder and both folds read it.
+    limits them to rows the model may know. The cleaned history is written once, because the medians, the
+    split guard, the encoder and both folds read it.
     """
-    joined = join_context(readings, meta, clean.impute_weather(weather))
-    if cap_rows is None:
-        tidy = clean.apply_streak_strategy(joined, strategy, series, min_hours=min_hours, quantile=quantile)
-    else:
-        tidy = clean.handle_streaks(joined, strategy, series, min_hours=min_hours)
-        caps = clean.series_caps(tidy.where(cap_rows), series.keys, "meter_reading", quantile)
-        tidy = clean.cap_outliers(tidy, series.keys, "meter_reading", quantile, caps)
-    frame = durable(build_features(tidy, series, meta, lags, windows))
+    history = durable(clean_history(readings, meta, series, **cleaning))
+    filled = durable(clean.impute_weather(weather, weather_series))
+    frame = add_row_features(join_context(history, meta, filled), series, meta)
     return encode_and_project(frame, split, series, feature_set, smoothing, log_target)

@@ -430,5 +430,5 @@ def prepare_lines(spark, d, **settings):
     chosen = {"min_hours": 2, "quantile": 0.99, **settings}
     return prepare(
         frames.readings(spark, d), tables.derive_meta(frames.meta(spark, d)), frames.weather(spark, d),
-        lambda frame: split.split_at(frame, CUTOFF), frames.READINGS, **chosen,
+        lambda frame: split.split_at(frame, CUTOFF), frames.READINGS, frames.WEATHER, **chosen,
     )

@@ -201,20 +201,15 @@ def residuals_by_meter(spark, d):
     "worst_meter_audit",
     on(
         "building_preds",
-        f"""SELECT building_id, meter, primary_use, site_id, n_rows, {sr('mean_actual', 3)}, {sr('rmse', 3)}, {sr('bias', 3)},
-        {sr('sqrt(greatest(rmse * rmse - bias * bias, 0))', 2, 'variance_component')} FROM (SELECT building_id, meter,
-        any_value(primary_use) AS primary_use, any_value(site_id) AS site_id, count(*) AS n_rows, avg(y_true) AS mean_actual,
-        sqrt(avg(pow(y_true - y_pred, 2))) AS rmse, avg(y_pred - y_true) AS bias FROM building_preds GROUP BY building_id, meter
-        HAVING count(*) > 1)""",
+        f"""SELECT building_id, meter, any_value(primary_use) AS primary_use, any_value(site_id) AS site_id, count(*) AS n_rows,
+        {sr('avg(y_true)', 3, 'mean_actual')}, {sr('sqrt(avg(pow(y_true - y_pred, 2)))', 3, 'rmse')}, {sr('avg(y_pred - y_true)', 3, 'bias')},
+        {sr('stddev_pop(y_pred - y_true)', 3, 'variance_component')} FROM building_preds GROUP BY building_id, meter""",
     ),
 )
 def worst_meter_audit(spark, d):
     out = evaluate.worst_meters(building_preds(spark, d), ["building_id", "meter"], ["primary_use", "site_id"])
-    # of a single row all error is bias, and what is left is float noise
-    several = out.where(F.col("n_rows") > 1)
-    return several.select(
-        "building_id", "meter", "primary_use", "site_id", "n_rows", r("mean_actual", 3), r("rmse", 3), r("bias", 3), r("variance_component", 2)
-    )
+    errors = [r(c, 3) for c in ("mean_actual", "rmse", "bias", "variance_component")]
+    return out.select("building_id", "meter", "primary_use", "site_id", "n_rows", *errors)
 
 
 @query(
@@ -539,5 +534,5 @@ def elbow_pick(spark, d):
     ),
 )
 def cap_outliers(spark, d):
-    out = clean.cap_outliers(frames.readings(spark, d), quantile=0.95)
+    out = clean.cap_outliers(frames.readings(spark, d), frames.READINGS, quantile=0.95)
     return out.select("building_id", "meter", "l_orderkey", r("meter_reading"))

@@ -189,13 +189,18 @@ def target_transform(spark, d):
     return logs.select("c_custkey", r("_log", 6, "y_log"), r(from_log(F.col("_log") * 2), 2, "y_back"))
 
 
+def _case_sql(kind: str, among: str, condition: str, order: str) -> str:
+    hits = f"SELECT * FROM errors WHERE {among} AND {condition}"
+    rest = f"SELECT * FROM (SELECT * FROM errors WHERE {among} ORDER BY e {order}, event_type, ts LIMIT 50) WHERE NOT EXISTS ({hits})"
+    return f"""SELECT event_type, {sstamp('ts')}, {sr('y_true')}, {sr('y_pred')}, {sr('e', 4, 'abs_err')}, '{kind}' AS kind
+        FROM ({hits} UNION ALL {rest})"""
+
+
 _CASES = on(
     "preds",
-    f"""SELECT event_type, {sstamp('ts')}, {sr('y_true')}, {sr('y_pred')}, {sr('e', 4, 'abs_err')}, 'easy' AS kind FROM errors
-    WHERE event_type = 'click' AND y_true > 20 AND y_true < 300 AND e < 5
-    UNION ALL SELECT event_type, {sstamp('ts')}, {sr('y_true')}, {sr('y_pred')}, {sr('e', 4, 'abs_err')}, 'hard' AS kind FROM
-    (SELECT * FROM errors WHERE event_type = 'view' ORDER BY e DESC, event_type, ts LIMIT 50)
-    WHERE (SELECT count(*) FROM errors WHERE event_type = 'view' AND y_true > 500000 AND e > 1000) = 0""",
+    _case_sql("easy", "event_type = 'click'", "y_true > 20 AND y_true < 300 AND e < 5", "ASC")
+    + " UNION ALL "
+    + _case_sql("hard", "event_type = 'view'", "y_true > 500000 AND e > 1000", "DESC"),
     errors="SELECT *, abs(y_pred - y_true) AS e FROM preds",
 )
 

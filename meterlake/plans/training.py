@@ -54,6 +54,7 @@ def train_all(
 
     Returns the long score report and, per model, its family, fit time and importances.
     """
+    prep = prep.stored()
     keys = [*prep.series.keys, *prep.series.order]
     about: dict[str, dict] = {}
     context = [c for c in (*keys, "site_id", "primary_use") if c in prep.val.columns]
