@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from meterlake.functions.holidays import DEFAULT_COUNTRY, SITE_COUNTRY, calendar
@@ -77,6 +77,57 @@ def add_time_features(df: DataFrame, time: str = "timestamp") -> DataFrame:
     )
 
 
+def _merged(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, Column, Column]:
+    """Count, mean and sum of squared deviations of two disjoint sets together."""
+    (n_a, m_a, q_a), (n_b, m_b, q_b) = a, b
+    n = n_a + n_b
+    share = F.when(n > 0, n_b / n).otherwise(F.lit(0.0))
+    gap = m_b - m_a
+    return n, m_a + gap * share, q_a + q_b + gap * gap * n_a * share
+
+
+def _moments(name: str) -> tuple[Column, Column, Column]:
+    return F.col(f"_n{name}"), F.col(f"_m{name}"), F.col(f"_q{name}")
+
+
+def _lagged(rows: DataFrame, w: WindowSpec, block: int, back: int, name: str) -> DataFrame:
+    """The moments of the `block` rows that end `back` rows before, as columns named `name`; none are zero."""
+    return rows.withColumns(
+        {f"_{c}{name}": F.lag(f"_{c}{block}", back, 0.0).over(w) for c in "nmq"}
+    )
+
+
+def rolling_moments(rows: DataFrame, w: WindowSpec, value: str, windows: Sequence[int]) -> DataFrame:
+    """`_n<k>r`, `_m<k>r`, `_q<k>r`: count, mean and squared deviations of the k rows before each row.
+
+    Spark evaluates a sliding frame row by row, k steps each. Here blocks of 1, 2, 4, ... rows are merged by
+    lags on the one sort order of the series, so a frame of k rows takes about log2(k) steps. Merging moments
+    adds no cancellation.
+    """
+    known = F.col(value).isNotNull()
+    out = rows.withColumns(
+        {"_n1": known.cast("double"), "_m1": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "_q1": F.lit(0.0)}
+    )
+    block = 1
+    while 2 * block <= max(windows):
+        out = _lagged(out, w, block, block, "e")
+        n, m, q = _merged(_moments("e"), _moments(str(block)))
+        block *= 2
+        out = out.withColumns({f"_n{block}": n, f"_m{block}": m, f"_q{block}": q})
+    for k in windows:
+        back, parts = 1, []
+        for bit in reversed(range(k.bit_length())):
+            if k >> bit & 1:
+                parts.append(f"{k}p{bit}")
+                out = _lagged(out, w, 1 << bit, back, parts[-1])
+                back += 1 << bit
+        total = _moments(parts[-1])
+        for part in reversed(parts[:-1]):
+            total = _merged(total, _moments(part))
+        out = out.withColumns(dict(zip((f"_n{k}r", f"_m{k}r", f"_q{k}r"), total)))
+    return out
+
+
 @by_length
 def add_history_features(
     df: DataFrame,
@@ -85,22 +136,29 @@ def add_history_features(
     lags: Sequence[int] = (24, 168),
     windows: Sequence[int] = (24, 168),
 ) -> DataFrame:
-    """Lags and rolling statistics of earlier rows, all on one window specification.
+    """Lags and rolling mean and sample deviation of earlier rows, all on one window specification.
 
     Both count rows, not hours. A rolling frame ends one row before the current one and is null until a
     quarter of it holds values.
     """
     rows, w, finish = reaching_back(df, series, max([*lags, *windows]))
-    made = {f"lag_{k}h": F.lag(value, k).over(w) for k in lags}
-    for n in windows:
-        frame = w.rowsBetween(-n, -1)
-        enough = F.count(value).over(frame) >= max(1, n // 4)
-        made[f"rolling_mean_{n}h"] = F.when(enough, F.avg(value).over(frame))
-        made[f"rolling_std_{n}h"] = F.when(enough, F.stddev_samp(value).over(frame))
-    out = rows.withColumns(made)
+    out = rows.withColumns({f"lag_{k}h": F.lag(value, k).over(w) for k in lags}) if lags else rows
     if {24, 168} <= set(lags):
         out = out.withColumn("lag_diff_24h", F.col("lag_24h") - F.col("lag_168h"))
-    return finish(out)
+    if windows:
+        out = rolling_moments(out, w, value, windows)
+    for k in windows:
+        n, mean, squares = _moments(f"{k}r")
+        enough = n >= max(1, k // 4)
+        out = out.withColumns(
+            {
+                f"rolling_mean_{k}h": F.when(enough, mean),
+                f"rolling_std_{k}h": F.when(enough & (n > 1), F.sqrt(squares / (n - 1))),
+            }
+        )
+    made = [f"lag_{k}h" for k in lags] + [c for c in out.columns if c == "lag_diff_24h"]
+    made += [f"rolling_{s}_{k}h" for k in windows for s in ("mean", "std")]
+    return finish(out).select(*df.columns, *made)
 
 
 def add_lag_features(df: DataFrame, series: Series, value: str = "meter_reading", lags: Sequence[int] = (24, 168)) -> DataFrame:
@@ -121,28 +179,33 @@ def category_codes(dimension: DataFrame, column: str) -> Column:
     return F.coalesce(place, F.lit(0)) - 1
 
 
-def fill_age(df: DataFrame, column: str = "building_age", site: str = "site_id") -> DataFrame:
+def age_counts(df: DataFrame, column: str = "building_age", site: str = "site_id") -> DataFrame:
+    """Rows per site and known age."""
+    by = [site] if site in df.columns else []
+    return df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fill_age(df: DataFrame, column: str = "building_age", site: str = "site_id", counts: DataFrame | None = None) -> DataFrame:
     """Missing age: the median over the rows of the site, else over all rows.
 
-    Ages are whole years, so the medians come from row counts per site and age, not from the rows.
+    Ages are whole years, so the medians come from `counts`, the rows per site and age, and not from the rows.
     """
-    by = [site] if site in df.columns else []
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_age")).agg(F.count(F.lit(1)).alias("_n"))
-    median = F.percentile("_age", F.lit(0.5), F.col("_n"))
+    counts = age_counts(df, column, site) if counts is None else counts
+    median = F.percentile(column, F.lit(0.5), F.col("n"))
     overall = counts.agg(median).scalar()
-    if not by:
+    if site not in df.columns:
         return df.withColumn(column, F.coalesce(F.col(column), overall))
     medians = counts.groupBy(F.col(site).alias("_site")).agg(median.alias("_median"))
     joined = df.join(medians, df[site] == medians["_site"], "left")
     return joined.withColumn(column, F.coalesce(F.col(column), F.col("_median"), overall)).select(*df.columns)
 
 
-def add_building_features(df: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+def add_building_features(df: DataFrame, categories: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """The category code (over `categories`, by default over `df`) and the filled building age."""
     out = df
     if "primary_use" in df.columns:
         out = out.withColumn("primary_use_code", category_codes(df if categories is None else categories, "primary_use"))
-    return fill_age(out) if "building_age" in df.columns else out
+    return fill_age(out, counts=counts) if "building_age" in df.columns else out
 
 
 def add_weather_features(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.scalars import to_log
 from meterlake.operators import clean, features
 from meterlake.operators.encoding import TargetEncoder
-from meterlake.operators.joins import join_context
+from meterlake.operators.joins import join_context, join_meta
 from meterlake.operators.series import Series
 from meterlake.operators.split import split_summary
 from meterlake.session import durable
@@ -37,10 +37,12 @@ class Prepared:
         return split_summary(self.train, self.val, self.series.time)
 
 
-def add_row_features(df: DataFrame, series: Series, categories: DataFrame | None = None) -> DataFrame:
+def add_row_features(
+    df: DataFrame, series: Series, categories: DataFrame | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """The features that need no history: calendar, building, weather and their products."""
     out = features.add_time_features(df, series.time)
-    out = features.add_building_features(out, categories)
+    out = features.add_building_features(out, categories, counts)
     return features.add_interaction_features(features.add_weather_features(out))
 
 
@@ -55,25 +57,6 @@ def build_features(
     return add_row_features(features.add_history_features(df, series, lags=lags, windows=windows), series, categories)
 
 
-def encode_and_project(
-    frame: DataFrame, split: Splitter, series: Series, feature_set: str = "engineered", smoothing: float = 30, log_target: bool = True
-) -> Prepared:
-    """Split by time, encode on the training fold, keep the feature set and drop incomplete rows."""
-    train, val = split(frame)
-    encoder = TargetEncoder(["primary_use", "hour"], "meter_reading", smoothing)
-    encoder.fit(train.na.drop(subset=["meter_reading", "primary_use"]))
-    names: list[str] = []
-    folds = []
-    for fold in (train, val):
-        coded = encoder.transform(features.drop_prefixed(fold))
-        names = features.feature_set(coded, feature_set)
-        whole = coded.na.drop(subset=[*names, "meter_reading"])
-        keep = dict.fromkeys([*series.keys, *series.order, "site_id", "primary_use", "hour", "meter_reading", *names])
-        label = to_log("meter_reading") if log_target else F.col("meter_reading")
-        folds.append(whole.select(*[c for c in keep if c in whole.columns]).withColumn("label", label))
-    return Prepared(folds[0], folds[1], names, encoder, series)
-
-
 def clean_history(
     readings: DataFrame,
     meta: DataFrame,
@@ -113,13 +96,30 @@ def prepare(
     log_target: bool = True,
     **cleaning,
 ) -> Prepared:
-    """Clean, join, build features, split, encode, project. `cleaning` goes to `clean_history`.
+    """Clean, split by time, encode on the training fold, join the context, build and project the features, drop
+    incomplete rows. `cleaning` goes to `clean_history`.
 
     Caps come from all rows, as in the published numbers; `cap_rows`, a condition such as the training period,
     limits them to rows the model may know. The cleaned history is written once, because the medians, the
-    split guard, the encoder and both folds read it.
+    split guard, the encoder and both folds read it; all but the folds need only the building of a row.
     """
     history = durable(clean_history(readings, meta, series, **cleaning))
     filled = durable(clean.impute_weather(weather, weather_series))
-    frame = add_row_features(join_context(history, meta, filled), series, meta)
-    return encode_and_project(frame, split, series, feature_set, smoothing, log_target)
+    per_building = history.groupBy("building_id").agg(F.count(F.lit(1)).alias("n"))
+    ages = per_building.join(meta.select("building_id", "site_id", "building_age"), "building_id")
+
+    folds = split(history)
+    uses = join_meta(folds[0], meta.select("building_id", "primary_use")).withColumn("hour", F.hour(series.time))
+    encoder = TargetEncoder(["primary_use", "hour"], "meter_reading", smoothing)
+    encoder.fit(uses.na.drop(subset=["meter_reading", "primary_use"]))
+
+    names: list[str] = []
+    done = []
+    for fold in folds:
+        wide = encoder.transform(add_row_features(join_context(fold, meta, filled), series, meta, ages))
+        names = features.feature_set(wide, feature_set)
+        whole = wide.na.drop(subset=[*names, "meter_reading"])
+        keep = dict.fromkeys([*series.keys, *series.order, "site_id", "primary_use", "hour", "meter_reading", *names])
+        label = to_log("meter_reading") if log_target else F.col("meter_reading")
+        done.append(whole.select(*[c for c in keep if c in whole.columns]).withColumn("label", label))
+    return Prepared(done[0], done[1], names, encoder, series)

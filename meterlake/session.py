@@ -33,6 +33,7 @@ def local_session(cores: str = "8", memory: str = "8g", app: str = "meterlake")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = configure(builder.getOrCreate())
@@ -59,8 +60,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder, so that losing an executor cannot change it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write `df` as Parquet in the shared folder and read it back.
+
+    This cuts the lineage, survives lost executors, and later readers prune columns and push filters.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
