@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.operators.quantiles import global_quantiles, group_quantiles
-from meterlake.operators.series import POS, SIZE, Series, by_length, nearest_marks
+from meterlake.operators.series import POS, SIZE, Series, by_length, nearest_marks, same_keys
+from meterlake.session import small_or_shuffled
 
 # The unit rule (electricity of site 0 is metered in kBTU) and the weather columns to interpolate.
 KBTU_TO_KWH = 0.293071
@@ -142,13 +143,20 @@ def fill_streaks_forward(df: DataFrame, series: Series, value: str = "meter_read
 
 def fill_streaks_with_mean(df: DataFrame, series: Series, value: str = "meter_reading", min_hours: int = 48) -> DataFrame:
     """Replace long zero runs by the mean of the other rows of the series, or by 0 where there are none."""
-    marked = with_zero_runs(df, series, value)
+    series = series.measured(df)
+    return _fill_streaks_with_mean(with_zero_runs(df, series, value), series, value, min_hours).select(*df.columns)
+
+
+@by_length
+def _fill_streaks_with_mean(df: DataFrame, series: Series, value: str, min_hours: int) -> DataFrame:
     good = F.col("zero_run") < min_hours
-    means = marked.where(good).groupBy(*series.keys).agg(F.avg(value).alias("_mean"))
-    means = means.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(series.keys)], "_mean")
-    match = reduce(Column.__and__, [marked[k].eqNullSafe(means[f"_g{i}"]) for i, k in enumerate(series.keys)])
-    filled = F.when(good, F.col(value)).otherwise(F.coalesce("_mean", F.lit(0.0)))
-    return marked.join(means, match, "left").withColumn(value, filled).select(*df.columns)
+    mean = F.avg(F.when(good, F.col(value)))
+    if series.split:
+        means = small_or_shuffled(df.groupBy(*series.keys).agg(mean.alias("_mean")))
+        out = df.join(means, same_keys(df, means, series.keys), "left").select(*[df[c] for c in df.columns], "_mean")
+    else:
+        out = df.withColumn("_mean", mean.over(Window.partitionBy(*series.keys)))
+    return out.withColumn(value, F.when(good, F.col(value)).otherwise(F.coalesce("_mean", F.lit(0.0)))).drop("_mean")
 
 
 STRATEGIES = ("drop", "ffill", "meter_mean", "keep_zeros")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.scalars import to_log
+from meterlake.session import durable, small_or_shuffled
 
 
 class TargetEncoder:
@@ -19,31 +20,31 @@ class TargetEncoder:
         self.keys, self.target, self.smoothing = list(keys), target, float(smoothing)
         self.column = "te_" + "_x_".join(self.keys)
         self.encoding: DataFrame | None = None
-        self.overall: DataFrame | None = None
+        self.overall: float | None = None
 
     def fit(self, df: DataFrame) -> TargetEncoder:
+        """Reads the training rows once; the fitted table is written, and broadcast later if it is small."""
         if self.target not in df.columns:
             raise ValueError(f"target column {self.target} is missing")
-        cells = (
+        cells = durable(
             df.select(*self.keys, to_log(self.target).alias("_t"))
             .groupBy(*self.keys)
             .agg(F.sum("_t").alias("_sum"), F.count("_t").alias("_n"))
         )
-        # the overall mean comes from the cells, so the rows are read once
-        self.overall = cells.agg((F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("overall"))
-        total = F.coalesce(F.col("_sum"), F.lit(0.0)) + self.smoothing * self.overall.scalar()
-        self.encoding = cells.na.drop(subset=self.keys).select(
-            *self.keys, (total / (F.col("_n") + self.smoothing)).alias(self.column)
+        self.overall = cells.agg(F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).first()[0]  # one number
+        total = F.coalesce(F.col("_sum"), F.lit(0.0)) + F.lit(self.smoothing) * F.lit(self.overall)
+        self.encoding = small_or_shuffled(
+            cells.na.drop(subset=self.keys).select(*self.keys, (total / (F.col("_n") + self.smoothing)).alias(self.column))
         )
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if self.encoding is None or self.overall is None:
+        if self.encoding is None:
             raise RuntimeError("fit the encoder before transform")
         return (
             df.drop(self.column)
             .join(self.encoding, self.keys, "left")
-            .withColumn(self.column, F.coalesce(F.col(self.column), self.overall.scalar()))
+            .withColumn(self.column, F.coalesce(F.col(self.column), F.lit(self.overall)))
         )
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
@@ -51,13 +52,13 @@ class TargetEncoder:
 
     def deviation(self) -> DataFrame:
         """Encoding minus the overall mean, for each key combination."""
-        return self.encoding.withColumn("deviation", F.col(self.column) - self.overall.scalar()).drop(self.column)
+        return self.encoding.withColumn("deviation", F.col(self.column) - F.lit(self.overall)).drop(self.column)
 
     def save(self, path: str) -> None:
-        self.encoding.write.mode("overwrite").parquet(f"{path}/encoding")
-        self.overall.write.mode("overwrite").parquet(f"{path}/overall")
+        self.encoding.withColumn("_overall", F.lit(self.overall)).write.mode("overwrite").parquet(path)
 
     def load(self, spark: SparkSession, path: str) -> TargetEncoder:
-        self.encoding = spark.read.parquet(f"{path}/encoding")
-        self.overall = spark.read.parquet(f"{path}/overall")
+        stored = spark.read.parquet(path)
+        self.overall = stored.agg(F.max("_overall")).first()[0]
+        self.encoding = small_or_shuffled(stored.drop("_overall"))
         return self

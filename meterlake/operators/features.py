@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.holidays import DEFAULT_COUNTRY, SITE_COUNTRY, calendar
 from meterlake.functions.scalars import col, wave
 from meterlake.operators.series import Series, by_length, reaching_back
+from meterlake.session import small_or_shuffled
 
 # The feature names by group, and the small raw set of the ablation.
 FEATURE_GROUPS = {
@@ -189,13 +190,14 @@ def fill_age(df: DataFrame, column: str = "building_age", site: str = "site_id",
     """Missing age: the median over the rows of the site, else over all rows.
 
     Ages are whole years, so the medians come from `counts`, the rows per site and age, and not from the rows.
+    With counts of the readings this can run on the building table, which spares a join of the readings by site.
     """
     counts = age_counts(df, column, site) if counts is None else counts
     median = F.percentile(column, F.lit(0.5), F.col("n"))
     overall = counts.agg(median).scalar()
     if site not in df.columns:
         return df.withColumn(column, F.coalesce(F.col(column), overall))
-    medians = counts.groupBy(F.col(site).alias("_site")).agg(median.alias("_median"))
+    medians = small_or_shuffled(counts.groupBy(F.col(site).alias("_site")).agg(median.alias("_median")))
     joined = df.join(medians, df[site] == medians["_site"], "left")
     return joined.withColumn(column, F.coalesce(F.col(column), F.col("_median"), overall)).select(*df.columns)
 

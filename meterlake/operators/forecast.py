@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.scalars import clip, from_log, seconds, to_log
 from meterlake.operators.explore import last_rows
 from meterlake.operators.series import POS, Series, by_length, nearest_marks, reaching_back, with_position
+from meterlake.session import small_or_shuffled
 
 
 def hourly_grid(df: DataFrame, series: Series, step: str = "1 hour") -> DataFrame:
@@ -70,6 +71,29 @@ def lookback_windows(
     return finish(made).select(*series.keys, *series.order, F.col(target).alias("target"), "window")
 
 
+def naive_table(train: DataFrame, series: Series, value: str, period: int) -> DataFrame:
+    """One row per series: its number of rows, its mean log reading and the array of its last `period` readings."""
+    keys = list(series.keys)
+    seen = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_seen"), F.avg(to_log(value)).alias("_level"))
+    newest = last_rows(train, keys, series.order, period).select(*keys, (-F.col("_back")).alias("at"), clip(value, 0.0).alias("y"))
+    # at most `period` entries each
+    tails = newest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "y"))).alias("_tail"))
+    return seen.join(tails, keys)
+
+
+def _naive() -> Column:
+    period = F.size("_tail")
+    tiled = F.element_at("_tail", ((F.col("step") - 1) % period + 1).cast("int"))["y"]
+    return F.when(F.col("_seen") >= F.col("_period"), tiled).otherwise(F.expm1("_level"))
+
+
+def _forecast(val: DataFrame, series: Series, table: DataFrame, period: int, pred: Column) -> DataFrame:
+    """Validation rows with their forecast from the row of their series; rows of unknown series get none."""
+    steps = with_position(val, series, "step")
+    joined = steps.join(small_or_shuffled(table), list(series.keys), "left").withColumn("_period", F.lit(period))
+    return joined.withColumn("y_pred", pred).select(*val.columns, "y_pred")
+
+
 def seasonal_naive(
     train: DataFrame, val: DataFrame, series: Series, value: str = "meter_reading", period: int = 24
 ) -> DataFrame:
@@ -77,15 +101,7 @@ def seasonal_naive(
 
     Series with fewer rows get exp(mean log) - 1 of what they have; series without training rows no prediction.
     """
-    keys = list(series.keys)
-    tail = last_rows(train, keys, series.order, period).select(
-        *keys, (F.lit(period) - F.col("_back")).alias("_slot"), clip(value, 0.0).alias("_tiled")
-    )
-    seen = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_seen"), F.avg(to_log(value)).alias("_level"))
-    steps = with_position(val, series, "step").withColumn("_slot", ((F.col("step") - 1) % period).cast("int"))
-    joined = steps.join(seen, keys, "left").join(tail, [*keys, "_slot"], "left")
-    pred = F.when(F.col("_seen") >= period, F.col("_tiled")).otherwise(F.expm1("_level"))
-    return joined.withColumn("y_pred", pred).drop("_slot", "_tiled", "_seen", "_level", "step")
+    return _forecast(val, series, naive_table(train, series, value, period), period, _naive())
 
 
 @by_length
@@ -161,10 +177,8 @@ def _ar_at(step: Column) -> Column:
 
 
 def forecast_ar(train: DataFrame, val: DataFrame, series: Series, value: str = "meter_reading", period: int = 24) -> DataFrame:
-    """Validation rows with `y_pred` from the autoregression of their series, else from `seasonal_naive`."""
-    keys = list(series.keys)
-    fitted = fit_ar(train, series, value, 2 * period)
-    rows = seasonal_naive(train, val, series, value, period).withColumnRenamed("y_pred", "_naive")
-    rows = with_position(rows, series, "step").join(fitted, keys, "left")
-    pred = F.when(F.col("order").isNotNull(), from_log(_ar_at(F.col("step").cast("double")))).otherwise(F.col("_naive"))
-    return rows.withColumn("y_pred", pred).select(*val.columns, "y_pred")
+    """Validation rows with `y_pred` from the autoregression of their series, else as in `seasonal_naive`."""
+    fitted = fit_ar(train, series, value, 2 * period).drop("rows")
+    table = naive_table(train, series, value, period).join(fitted, list(series.keys), "left")
+    pred = F.when(F.col("order").isNotNull(), from_log(_ar_at(F.col("step").cast("double")))).otherwise(_naive())
+    return _forecast(val, series, table, period, pred)

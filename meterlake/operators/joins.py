@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.session import small_or_shuffled
+
 
 def join_meta(readings: DataFrame, meta: DataFrame) -> DataFrame:
     return readings.join(meta, "building_id", "left")
@@ -31,9 +33,10 @@ def drop_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def group_mean_lookup(train: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Mean of the training rows of the same keys, else of all training rows."""
-    cells = train.groupBy(*keys).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    sums = train.groupBy(*keys).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    cells = small_or_shuffled(sums)
     overall = cells.agg(F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0)))
-    means = cells.select(*keys, (F.col("_s") / F.nullif(F.col("_n"), F.lit(0))).alias(out))
+    means = cells.withColumn(out, F.col("_s") / F.nullif(F.col("_n"), F.lit(0))).drop("_s", "_n")
     return rows.join(means, list(keys), "left").withColumn(out, F.coalesce(F.col(out), overall.scalar()))
 
 

@@ -128,13 +128,10 @@ def _numbered(df: DataFrame, series: Series, chunk_rows: int) -> DataFrame:
 
 
 def positioned(df: DataFrame, series: Series) -> DataFrame:
-    """Rows with their 1-based position (`_pos`) and the series size (`_size`)."""
+    """Rows with their 1-based position (`_pos`); a chunked series also gets `_size` and `_chunk`."""
     if series.split:
         return _numbered(df, series, series.chunk_rows)
-    whole = Window.partitionBy(*series.keys)
-    return df.withColumn(POS, F.row_number().over(series.window()).cast("long")).withColumn(
-        SIZE, F.count(F.lit(1)).over(whole)
-    )
+    return df.withColumn(POS, F.row_number().over(series.window()).cast("long"))
 
 
 @by_length
@@ -169,7 +166,8 @@ def nearest_marks(df: DataFrame, series: Series, marks: dict[str, Column]) -> Da
     rows = rows.withColumns({f"_m_{n}": m for n, m in marks.items()})
     ahead = series.window().rowsBetween(Window.unboundedPreceding, 0)
     behind = series.backwards().rowsBetween(Window.unboundedPreceding, 0)
-    found = {}
+    # counted from the end in the window that looks back from there
+    found = {} if series.split else {SIZE: F.col(POS) + F.row_number().over(series.backwards()) - 1}
     for n in marks:
         found[f"{n}_before"] = F.last(f"_m_{n}", ignorenulls=True).over(ahead)
         found[f"{n}_after"] = F.last(f"_m_{n}", ignorenulls=True).over(behind)

@@ -37,15 +37,6 @@ class Prepared:
         return split_summary(self.train, self.val, self.series.time)
 
 
-def add_row_features(
-    df: DataFrame, series: Series, categories: DataFrame | None = None, counts: DataFrame | None = None
-) -> DataFrame:
-    """The features that need no history: calendar, building, weather and their products."""
-    out = features.add_time_features(df, series.time)
-    out = features.add_building_features(out, categories, counts)
-    return features.add_interaction_features(features.add_weather_features(out))
-
-
 def build_features(
     df: DataFrame,
     series: Series,
@@ -53,8 +44,10 @@ def build_features(
     lags: Sequence[int] = (24, 168),
     windows: Sequence[int] = (24, 168),
 ) -> DataFrame:
-    """All features but the target encoding, which has to wait for the split."""
-    return add_row_features(features.add_history_features(df, series, lags=lags, windows=windows), series, categories)
+    """All features of a joined frame but the target encoding, which has to wait for the split."""
+    out = features.add_history_features(df, series, lags=lags, windows=windows)
+    out = features.add_building_features(features.add_time_features(out, series.time), categories)
+    return features.add_interaction_features(features.add_weather_features(out))
 
 
 def clean_history(
@@ -104,9 +97,11 @@ def prepare(
     split guard, the encoder and both folds read it; all but the folds need only the building of a row.
     """
     history = durable(clean_history(readings, meta, series, **cleaning))
-    filled = durable(clean.impute_weather(weather, weather_series))
+    filled = durable(features.add_weather_features(clean.impute_weather(weather, weather_series)))
+    # what depends on the building alone is worked out on the building table
     per_building = history.groupBy("building_id").agg(F.count(F.lit(1)).alias("n"))
-    ages = per_building.join(meta.select("building_id", "site_id", "building_age"), "building_id")
+    ages = durable(per_building.join(meta.select("building_id", "site_id", "building_age"), "building_id"))
+    buildings = durable(features.add_building_features(meta, meta, ages))
 
     folds = split(history)
     uses = join_meta(folds[0], meta.select("building_id", "primary_use")).withColumn("hour", F.hour(series.time))
@@ -116,9 +111,12 @@ def prepare(
     names: list[str] = []
     done = []
     for fold in folds:
-        wide = encoder.transform(add_row_features(join_context(fold, meta, filled), series, meta, ages))
+        wide = features.add_time_features(join_context(fold, buildings, filled), series.time)
+        wide = encoder.transform(features.add_interaction_features(wide))
         names = features.feature_set(wide, feature_set)
-        whole = wide.na.drop(subset=[*names, "meter_reading"])
+        # calendar features are null only where the time is
+        fillable = [c for c in names if c not in features.FEATURE_GROUPS["time"]]
+        whole = wide.na.drop(subset=[*fillable, series.time, "meter_reading"])
         keep = dict.fromkeys([*series.keys, *series.order, "site_id", "primary_use", "hour", "meter_reading", *names])
         label = to_log("meter_reading") if log_target else F.col("meter_reading")
         done.append(whole.select(*[c for c in keep if c in whole.columns]).withColumn("label", label))

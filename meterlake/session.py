@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # SQL settings the operators rely on; all can be set on a running session.
 SQL_SETTINGS = {
@@ -67,3 +68,13 @@ def durable(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_or_shuffled(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """`df` as a written table, marked for broadcast only if its counted rows are few.
+
+    Without the mark a join with a fresh aggregate may shuffle the large side by a handful of hot keys before
+    the size of the small side is known.
+    """
+    table = durable(df)
+    return F.broadcast(table) if table.count() <= most_rows else table
