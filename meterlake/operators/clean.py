@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlake.operators.quantiles import global_quantiles, group_quantiles
 from meterlake.operators.series import POS, SIZE, Series, by_length, nearest_marks, same_keys
-from meterlake.session import small_or_shuffled
+from meterlake.session import durable, small_or_shuffled
 
 # The unit rule (electricity of site 0 is metered in kBTU) and the weather columns to interpolate.
 KBTU_TO_KWH = 0.293071
@@ -52,6 +52,7 @@ def with_zero_runs(df: DataFrame, series: Series, value: str = "meter_reading")
     return _zero_runs(df, series, value).drop("other_before", "other_after", POS, SIZE)
 
 
+@by_length
 def drop_zero_streaks(df: DataFrame, series: Series, value: str = "meter_reading", min_hours: int = 48) -> DataFrame:
     """Drop the rows of zero runs of at least `min_hours` rows."""
     return with_zero_runs(df, series, value).where(F.col("zero_run") < min_hours).drop("zero_run")
@@ -72,6 +73,7 @@ def cap_outliers(df: DataFrame, series: Series, value: str = "meter_reading", qu
     An ordinary series takes it from the partition it is windowed in, a long one from an exact count.
     """
     if series.split:
+        df = durable(df)  # read by each counting pass
         return cap_at(df, series_caps(df, series.keys, value, quantile, series.long_rows), series.keys, value)
     cap = F.percentile(value, F.lit(quantile)).over(Window.partitionBy(*series.keys))
     return df.withColumn("_cap", cap).withColumn(value, _capped(value)).drop("_cap")
@@ -133,37 +135,35 @@ def _fill_streaks_from_neighbours(df: DataFrame, series: Series, value: str) ->
     return rows.withColumn(value, F.coalesce(value, "seen_before", "seen_after")).select(*df.columns)
 
 
+@by_length
 def fill_streaks_forward(df: DataFrame, series: Series, value: str = "meter_reading", min_hours: int = 48) -> DataFrame:
     """Take long zero runs, and missing values, from the last value before; at the start from the first after."""
-    series = series.measured(df)
     marked = with_zero_runs(df, series, value)
     blanked = F.when(F.col("zero_run") < min_hours, F.col(value))
     return _fill_streaks_from_neighbours(marked.withColumn(value, blanked).drop("zero_run"), series, value)
 
 
+@by_length
 def fill_streaks_with_mean(df: DataFrame, series: Series, value: str = "meter_reading", min_hours: int = 48) -> DataFrame:
     """Replace long zero runs by the mean of the other rows of the series, or by 0 where there are none."""
-    series = series.measured(df)
-    return _fill_streaks_with_mean(with_zero_runs(df, series, value), series, value, min_hours).select(*df.columns)
-
-
-@by_length
-def _fill_streaks_with_mean(df: DataFrame, series: Series, value: str, min_hours: int) -> DataFrame:
+    marked = with_zero_runs(df, series, value)
     good = F.col("zero_run") < min_hours
     mean = F.avg(F.when(good, F.col(value)))
     if series.split:
-        means = small_or_shuffled(df.groupBy(*series.keys).agg(mean.alias("_mean")))
-        out = df.join(means, same_keys(df, means, series.keys), "left").select(*[df[c] for c in df.columns], "_mean")
+        marked = durable(marked)  # read for the means and for the rows
+        means = small_or_shuffled(marked.groupBy(*series.keys).agg(mean.alias("_mean")))
+        out = marked.join(means, same_keys(marked, means, series.keys), "left").select(*[marked[c] for c in marked.columns], "_mean")
     else:
-        out = df.withColumn("_mean", mean.over(Window.partitionBy(*series.keys)))
-    return out.withColumn(value, F.when(good, F.col(value)).otherwise(F.coalesce("_mean", F.lit(0.0)))).drop("_mean")
+        out = marked.withColumn("_mean", mean.over(Window.partitionBy(*series.keys)))
+    return out.withColumn(value, F.when(good, F.col(value)).otherwise(F.coalesce("_mean", F.lit(0.0)))).select(*df.columns)
 
 
 STRATEGIES = ("drop", "ffill", "meter_mean", "keep_zeros")
 
 
+@by_length
 def handle_streaks(
-    df: DataFrame, strategy: str, series: Series, value: str = "meter_reading", min_hours: int = 48
+    df: DataFrame, series: Series, strategy: str, value: str = "meter_reading", min_hours: int = 48
 ) -> DataFrame:
     """Negatives out, units converted, and one of four treatments of long zero runs."""
     handlers = {
@@ -174,20 +174,19 @@ def handle_streaks(
     }
     if strategy not in handlers:
         raise ValueError(f"strategy {strategy!r} is none of {sorted(handlers)}")
-    series = series.measured(df)
     return handlers[strategy](convert_units(drop_negative(df, value), value), series, value, min_hours)
 
 
+@by_length
 def apply_streak_strategy(
-    df: DataFrame, strategy: str, series: Series, value: str = "meter_reading", min_hours: int = 48, quantile: float = 0.999
+    df: DataFrame, series: Series, strategy: str, value: str = "meter_reading", min_hours: int = 48, quantile: float = 0.999
 ) -> DataFrame:
     """`handle_streaks`, then the outlier cap."""
-    series = series.measured(df)
-    return cap_outliers(handle_streaks(df, strategy, series, value, min_hours), series, value, quantile)
+    return cap_outliers(handle_streaks(df, series, strategy, value, min_hours), series, value, quantile)
 
 
 def basic_clean(
     df: DataFrame, series: Series = Series(), value: str = "meter_reading", quantile: float = 0.999, min_hours: int = 48
 ) -> DataFrame:
     """Negatives out, units converted, long zero runs out, outliers capped."""
-    return apply_streak_strategy(df, "drop", series, value, min_hours, quantile)
+    return apply_streak_strategy(df, series, "drop", value, min_hours, quantile)

@@ -12,7 +12,7 @@ from meterlake.functions.scalars import to_log
 from meterlake.operators import clean, features
 from meterlake.operators.encoding import TargetEncoder
 from meterlake.operators.joins import join_context, join_meta
-from meterlake.operators.series import Series
+from meterlake.operators.series import Series, by_length
 from meterlake.operators.split import split_summary
 from meterlake.session import durable
 
@@ -50,10 +50,11 @@ def build_features(
     return features.add_interaction_features(features.add_weather_features(out))
 
 
+@by_length
 def clean_history(
     readings: DataFrame,
-    meta: DataFrame,
     series: Series,
+    sites: DataFrame,
     strategy: str = "drop",
     quantile: float = 0.999,
     min_hours: int = 48,
@@ -61,14 +62,13 @@ def clean_history(
     windows: Sequence[int] = (24, 168),
     cap_rows: Column | None = None,
 ) -> DataFrame:
-    """Cleaned readings with lags and rolling statistics.
+    """Cleaned readings with lags and rolling statistics; `sites` gives the site of each building.
 
-    Cleaning and history need nothing but the reading and the site of its building, so the wide context is
-    joined later and one shuffle of narrow rows by series serves zero runs, caps, lags and rolling frames.
+    Cleaning and history need nothing but the reading and its site, so the wide context is joined later and one
+    shuffle of narrow rows by series serves zero runs, caps, lags and rolling frames.
     """
-    series = series.measured(readings)
-    narrow = readings.join(meta.select("building_id", "site_id"), "building_id", "left")
-    tidy = clean.handle_streaks(narrow, strategy, series, min_hours=min_hours).drop("site_id")
+    narrow = readings.join(sites.select("building_id", "site_id"), "building_id", "left")
+    tidy = clean.handle_streaks(narrow, series, strategy, min_hours=min_hours).select(*readings.columns)
     if cap_rows is None:
         tidy = clean.cap_outliers(tidy, series, quantile=quantile)
     else:
@@ -96,7 +96,7 @@ def prepare(
     limits them to rows the model may know. The cleaned history is written once, because the medians, the
     split guard, the encoder and both folds read it; all but the folds need only the building of a row.
     """
-    history = durable(clean_history(readings, meta, series, **cleaning))
+    history = durable(clean_history(readings, series, meta, **cleaning))
     filled = durable(features.add_weather_features(clean.impute_weather(weather, weather_series)))
     # what depends on the building alone is worked out on the building table
     per_building = history.groupBy("building_id").agg(F.count(F.lit(1)).alias("n"))

@@ -151,7 +151,7 @@ def imputation_strategies(spark, d):
     rows = frames.zeros(spark, d)
 
     def summed(strategy: str) -> DataFrame:
-        out = clean.apply_streak_strategy(rows, strategy, frames.ZEROS, "y", 2)
+        out = clean.apply_streak_strategy(rows, frames.ZEROS, strategy, "y", 2)
         return out.agg(F.lit(strategy).alias("strategy"), F.count(F.lit(1)).alias("n"), r(F.sum("y"), 3, "total"))
 
     return reduce(DataFrame.unionByName, map(summed, clean.STRATEGIES))
