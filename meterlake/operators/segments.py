@@ -30,7 +30,10 @@ def as_vectors(profiles: DataFrame) -> DataFrame:
 
 
 def fit_kmeans(profiles: DataFrame, k: int, seed: int = 42, max_iter: int = 300) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="profile", predictionCol="cluster").fit(as_vectors(profiles))
+    """k clusters, or one per distinct profile where these are fewer."""
+    found = profiles.select(*HOURS).distinct().limit(k).count()
+    means = KMeans(k=max(2, min(k, found)), seed=seed, maxIter=max_iter, initSteps=5, featuresCol="profile", predictionCol="cluster")
+    return means.fit(as_vectors(profiles))
 
 
 def assign_clusters(model: KMeansModel, profiles: DataFrame) -> DataFrame:

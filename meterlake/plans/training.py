@@ -15,6 +15,7 @@ from meterlake.operators.quantiles import global_quantiles
 from meterlake.operators.segments import assign_clusters, consumption_profiles, elbow_curve, fit_kmeans, pick_elbow
 from meterlake.operators.split import chrono_prefix
 from meterlake.plans.prepare import Prepared
+from meterlake.session import durable
 from meterlake.sources.tables import PredictionStore
 
 GROUPS = ("primary_use", "meter_name", "site_id")
@@ -62,7 +63,8 @@ def train_all(
     if "lag_24h" in prep.val.columns:
         baselines["baseline_lag_24h"] = baseline_lag(prep.val)
     for name, rows in baselines.items():
-        store.save(name, rows.select(*context, "y_true", "y_pred"))
+        if refit or not store.has(name):
+            store.save(name, rows.select(*context, "y_true", "y_pred"))
         about[name] = {"family": "baseline", "train_seconds": None, "importance": None}
     for name, params in models.items():
         if name in skip:
@@ -74,7 +76,8 @@ def train_all(
             store.save(name, real_scale(made.predict(prep.val)).select(*context, "y_true", "y_pred"))
             about[name].update(train_seconds=made.train_seconds, importance=made.feature_importance())
     predictions = store.load_all().where(F.col("model").isin(*about))
-    return report(predictions), about
+    # a later run may replace the stored predictions
+    return durable(report(predictions)), about
 
 
 def results_table(scores: DataFrame, about: dict[str, dict]) -> DataFrame:
