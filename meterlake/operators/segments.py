@@ -32,7 +32,9 @@ def as_vectors(profiles: DataFrame) -> DataFrame:
 def fit_kmeans(profiles: DataFrame, k: int, seed: int = 42, max_iter: int = 300) -> KMeansModel:
     """k clusters, or one per distinct profile where these are fewer."""
     found = profiles.select(*HOURS).distinct().limit(k).count()
-    means = KMeans(k=max(2, min(k, found)), seed=seed, maxIter=max_iter, initSteps=5, featuresCol="profile", predictionCol="cluster")
+    if found < 2:
+        raise ValueError("clustering needs at least two distinct profiles")
+    means = KMeans(k=min(k, found), seed=seed, maxIter=max_iter, initSteps=5, featuresCol="profile", predictionCol="cluster")
     return means.fit(as_vectors(profiles))
 
 

@@ -6,12 +6,11 @@ columns do.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from meterlake.functions.scalars import to_log, wave
 from meterlake.operators import models, sampling, segments
+from meterlake.operators.series import Series
 from meterlake.operators.split import split_at
 from meterlake.plans import training
 from meterlake.plans.prepare import Prepared
@@ -190,14 +189,25 @@ def cluster_means(spark, d):
     return segments.cluster_means(p, segments.assign_clusters(segments.fit_kmeans(p, 3), p), ["user_id"])
 
 
+def prepared_events(spark, d) -> Prepared:
+    """Events as readings of their user, with calendar waves and the size of the user's building."""
+    events = frames.table(spark, d, "events").withColumns(
+        {"building_id": F.col("user_id"), "meter_reading": F.col("value"), "label": to_log("value"), "timestamp": F.col("ts")}
+    )
+    rows = events.join(frames.meta(spark, d), "building_id").withColumns(
+        {f"hour_{s}": wave(F.hour("timestamp"), 24, s) for s in ("sin", "cos")}
+    )
+    train, val = split_at(rows, "2024-01-22")
+    return Prepared(train, val, ["hour_sin", "hour_cos", "square_feet"], None, Series(("building_id",), "timestamp", ("event_id",)))
+
+
 @query("cluster_segments")
 def cluster_segments(spark, d):
-    """A model per cluster of suppliers against one model for all."""
-    prep = prepared(spark, d)
-    prep.series = replace(frames.READINGS, keys=("building_id",))
+    """A model per cluster of users against one model for all."""
+    prep = prepared_events(spark, d)
     labels, _ = training.cluster_meters(prep, [2, 3, 4])
     train, val = (fold.join(labels, "building_id") for fold in (prep.train, prep.val))
-    return training.segment_vs_global(train, val, prep.features, "cluster", "decision_tree", 100, 10, **SMALL_TREES)
+    return training.segment_vs_global(train, val, prep.features, "cluster", "decision_tree", 20, 5, **SMALL_TREES)
 
 
 # ---- samples
