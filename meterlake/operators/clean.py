@@ -115,6 +115,13 @@ def fill_with_median(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), median.scalar()))
 
 
+def fill_with_common_median(df: DataFrame, column: str) -> DataFrame:
+    """The same for a column of few distinct values, by counting each value."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    median = counts.agg(F.percentile(column, F.lit(0.5), F.col("n")))
+    return df.withColumn(column, F.coalesce(F.col(column), median.scalar()))
+
+
 def fill_with(df: DataFrame, column: str, value: float) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
 
@@ -123,7 +130,7 @@ def impute_weather(weather: DataFrame, series: Series = Series(keys=("site_id",)
     """Interpolate the continuous columns by site, cloud cover gets the global median, precipitation 0."""
     out = interpolate(weather, series, [c for c in INTERPOLATED if c in weather.columns])
     if "cloud_coverage" in weather.columns:
-        out = fill_with_median(out, "cloud_coverage")
+        out = fill_with_common_median(out, "cloud_coverage")  # eighths of the sky
     if "precip_depth_1_hr" in weather.columns:
         out = fill_with(out, "precip_depth_1_hr", 0.0)
     return out

@@ -91,11 +91,19 @@ def _moments(name: str) -> tuple[Column, Column, Column]:
     return F.col(f"_n{name}"), F.col(f"_m{name}"), F.col(f"_q{name}")
 
 
-def _lagged(rows: DataFrame, w: WindowSpec, block: int, back: int, name: str) -> DataFrame:
+def _lagged(w: WindowSpec, block: int, back: int, name: str) -> dict[str, Column]:
     """The moments of the `block` rows that end `back` rows before, as columns named `name`; none are zero."""
-    return rows.withColumns(
-        {f"_{c}{name}": F.lag(f"_{c}{block}", back, 0.0).over(w) for c in "nmq"}
-    )
+    return {f"_{c}{name}": F.lag(f"_{c}{block}", back, 0.0).over(w) for c in "nmq"}
+
+
+def _blocks(k: int) -> list[tuple[int, int]]:
+    """The powers of two that make up k, largest first, each with the rows between it and the current row."""
+    parts, back = [], 1
+    for bit in reversed(range(k.bit_length())):
+        if k >> bit & 1:
+            parts.append((1 << bit, back))
+            back += 1 << bit
+    return parts
 
 
 def rolling_moments(rows: DataFrame, w: WindowSpec, value: str, windows: Sequence[int]) -> DataFrame:
@@ -111,22 +119,20 @@ def rolling_moments(rows: DataFrame, w: WindowSpec, value: str, windows: Sequenc
     )
     block = 1
     while 2 * block <= max(windows):
-        out = _lagged(out, w, block, block, "e")
-        n, m, q = _merged(_moments("e"), _moments(str(block)))
+        out = out.withColumns(_lagged(w, block, block, "e"))
+        merged = _merged(_moments("e"), _moments(str(block)))
         block *= 2
-        out = out.withColumns({f"_n{block}": n, f"_m{block}": m, f"_q{block}": q})
+        out = out.withColumns(dict(zip((f"_n{block}", f"_m{block}", f"_q{block}"), merged)))
+    ends, totals = {}, {}
     for k in windows:
-        back, parts = 1, []
-        for bit in reversed(range(k.bit_length())):
-            if k >> bit & 1:
-                parts.append(f"{k}p{bit}")
-                out = _lagged(out, w, 1 << bit, back, parts[-1])
-                back += 1 << bit
+        parts = [f"{k}p{back}" for _, back in _blocks(k)]
+        for (size, back), part in zip(_blocks(k), parts):
+            ends |= _lagged(w, size, back, part)
         total = _moments(parts[-1])
         for part in reversed(parts[:-1]):
             total = _merged(total, _moments(part))
-        out = out.withColumns(dict(zip((f"_n{k}r", f"_m{k}r", f"_q{k}r"), total)))
-    return out
+        totals |= dict(zip((f"_n{k}r", f"_m{k}r", f"_q{k}r"), total))
+    return out.withColumns(ends).withColumns(totals)
 
 
 @by_length
@@ -194,11 +200,14 @@ def fill_age(df: DataFrame, column: str = "building_age", site: str = "site_id",
     """
     counts = age_counts(df, column, site) if counts is None else counts
     median = F.percentile(column, F.lit(0.5), F.col("n"))
-    overall = counts.agg(median).scalar()
     if site not in df.columns:
-        return df.withColumn(column, F.coalesce(F.col(column), overall))
-    medians = small_or_shuffled(counts.groupBy(F.col(site).alias("_site")).agg(median.alias("_median")))
-    joined = df.join(medians, df[site] == medians["_site"], "left")
+        return df.withColumn(column, F.coalesce(F.col(column), counts.agg(median).scalar()))
+    # one row per site and one for all of them
+    medians = counts.groupingSets([[site], []], site).agg(F.grouping(site).alias("_all"), median.alias("_median"))
+    medians = small_or_shuffled(medians)
+    overall = medians.where(F.col("_all") == 1).select("_median").scalar()
+    by_site = medians.where(F.col("_all") == 0).select(F.col(site).alias("_site"), "_median")
+    joined = df.join(by_site, df[site] == by_site["_site"], "left")
     return joined.withColumn(column, F.coalesce(F.col(column), F.col("_median"), overall)).select(*df.columns)
 
 

@@ -18,6 +18,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# A written table of at most this many rows may be broadcast.
+FEW_ROWS = 500_000
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings to a session that already runs; cluster sizing stays untouched."""
@@ -70,7 +73,7 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+def small_or_shuffled(df: DataFrame, most_rows: int = FEW_ROWS) -> DataFrame:
     """`df` as a written table, marked for broadcast only if its counted rows are few.
 
     Without the mark a join with a fresh aggregate may shuffle the large side by a handful of hot keys before
