@@ -19,12 +19,15 @@ def join_meta(readings: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def join_context(readings: DataFrame, meta: DataFrame, weather: DataFrame) -> DataFrame:
-    """Readings with the metadata of the building and the weather of its site and hour."""
+    """Readings with the metadata of the building and the weather of its site and hour.
+
+    Both dimensions should be written tables, whose size Spark knows, or come through `small_or_shuffled`.
+    """
     return join_meta(readings, meta).join(weather, ["site_id", "timestamp"], "left")
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.join(keys, list(on), "left_semi")
+    return df.join(small_or_shuffled(keys.select(*on).distinct()), list(on), "left_semi")
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:

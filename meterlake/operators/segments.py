@@ -9,6 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.session import durable
+
 HOURS = [f"h{hour:02d}" for hour in range(24)]
 
 
@@ -61,6 +63,7 @@ def elbow_curve(profiles: DataFrame, ks: Iterable[int], seed: int = 42) -> DataF
 
 def pick_elbow(curve: DataFrame) -> DataFrame:
     """The k farthest from the line between the first and the last point; the first k where points are fewer than 3."""
+    curve = durable(curve)  # a few rows, read several times below
     first = F.struct("k", "inertia")
     ends = curve.agg(
         F.min_by(first, "k").alias("a"), F.max_by(first, "k").alias("b"), F.count(F.lit(1)).alias("n")

@@ -12,6 +12,7 @@ from meterlake.plans.prepare import prepare
 from meterlake.plans.queries.catalog import on, query, r, rounded_scores, scores, sr, sstamp, stamp
 from meterlake.plans.queries.tables import CUT, KEYS, us_holiday
 from meterlake.plans.training import baseline_lag
+from meterlake.session import durable
 from meterlake.sources import frames, tables
 
 # ---- lags and rolling frames
@@ -255,7 +256,7 @@ def lookback_windows(spark, d):
     ),
 )
 def cv_folds(spark, d):
-    folds = split.expanding_folds(frames.hourly(spark, d), 3, "ts")
+    folds = split.expanding_folds(durable(frames.hourly(spark, d)), 3, "ts")
     sizes = [
         train.agg(F.lit(i).alias("fold"), F.count(F.lit(1)).alias("n_train")).join(
             test.agg(F.lit(i).alias("fold"), F.count(F.lit(1)).alias("n_test")), "fold"
@@ -277,7 +278,7 @@ def cv_folds(spark, d):
     ),
 )
 def chrono_prefix(spark, d):
-    rows = frames.hourly(spark, d)
+    rows = durable(frames.hourly(spark, d))
     parts = [
         split.chrono_prefix(rows, share, "ts")
         .agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))

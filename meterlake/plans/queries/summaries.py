@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterlake.operators import clean, evaluate, explore, features, segments
+from meterlake.operators.joins import group_mean_lookup, join_context
 from meterlake.operators.split import split_at, split_summary
 from meterlake.plans.queries.catalog import on, query, r, rounded_scores, scores, sr, sstamp, stamp
 from meterlake.plans.queries.tables import CUT, us_holiday
 from meterlake.plans.training import GROUPS
+from meterlake.session import small_or_shuffled
 from meterlake.sources import frames
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -20,8 +22,8 @@ ERRORS = ["rmse", "mae", "cv_rmse", "rmsle"]
 def building_preds(spark, d):
     """Orders predicted by nine tenths of the mean of their building."""
     daily = frames.daily(spark, d)
-    means = daily.groupBy("building_id").agg((F.avg("y") * 0.9).alias("y_pred"))
-    return daily.join(means, "building_id").withColumnRenamed("y", "y_true")
+    rows = group_mean_lookup(daily, daily, ["building_id"], "y", "y_pred")
+    return rows.withColumn("y_pred", F.col("y_pred") * 0.9).withColumnRenamed("y", "y_true")
 
 
 # ---- scores
@@ -383,7 +385,7 @@ _MEASURES = ["y", "square_feet", "year_built", "air_temperature"]
 )
 def correlation_matrix(spark, d):
     daily = frames.daily(spark, d).withColumnRenamed("ts", "timestamp")
-    joined = daily.join(frames.weather(spark, d), ["site_id", "timestamp"], "left")
+    joined = daily.join(small_or_shuffled(frames.weather(spark, d)), ["site_id", "timestamp"], "left")
     return explore.correlation_matrix(joined, _MEASURES).withColumn("corr", r("corr", 5))
 
 
@@ -452,9 +454,7 @@ def density_by_site(spark, d):
     ),
 )
 def temperature_response(spark, d):
-    from meterlake.operators.joins import join_context
-
-    joined = join_context(frames.readings(spark, d), frames.meta(spark, d), frames.weather(spark, d))
+    joined = join_context(frames.readings(spark, d), frames.meta(spark, d), small_or_shuffled(frames.weather(spark, d)))
     return explore.temperature_response(joined).withColumn("mean_log", r("mean_log", 5))
 
 
