@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlake.operators.quantiles import global_quantiles, group_quantiles
 from meterlake.operators.series import POS, SIZE, Series, by_length, nearest_marks, same_keys
-from meterlake.session import durable, small_or_shuffled
+from meterlake.session import durable
 
 # The unit rule (electricity of site 0 is metered in kBTU) and the weather columns to interpolate.
 KBTU_TO_KWH = 0.293071
@@ -158,7 +158,7 @@ def fill_streaks_with_mean(df: DataFrame, series: Series, value: str = "meter_re
     mean = F.avg(F.when(good, F.col(value)))
     if series.split:
         marked = durable(marked)  # read for the means and for the rows
-        means = small_or_shuffled(marked.groupBy(*series.keys).agg(mean.alias("_mean")))
+        means = durable(marked.groupBy(*series.keys).agg(mean.alias("_mean")))
         out = marked.join(means, same_keys(marked, means, series.keys), "left").select(*[marked[c] for c in marked.columns], "_mean")
     else:
         out = marked.withColumn("_mean", mean.over(Window.partitionBy(*series.keys)))

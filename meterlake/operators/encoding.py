@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.scalars import to_log
-from meterlake.session import FEW_ROWS, durable, small_or_shuffled
+from meterlake.session import durable
 
 
 class TargetEncoder:
@@ -23,7 +23,7 @@ class TargetEncoder:
         self.overall: float | None = None
 
     def fit(self, df: DataFrame) -> TargetEncoder:
-        """Reads the training rows once; the fitted table is written, and broadcast later if it is small."""
+        """Reads the training rows once and writes the fitted cells."""
         if self.target not in df.columns:
             raise ValueError(f"target column {self.target} is missing")
         cells = durable(
@@ -31,11 +31,11 @@ class TargetEncoder:
             .groupBy(*self.keys)
             .agg(F.sum("_t").alias("_sum"), F.count("_t").alias("_n"))
         )
-        mean, rows = cells.agg(F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()  # two numbers
-        total = F.coalesce(F.col("_sum"), F.lit(0.0)) + F.lit(self.smoothing) * F.lit(mean)
-        fitted = cells.na.drop(subset=self.keys).select(*self.keys, (total / (F.col("_n") + self.smoothing)).alias(self.column))
-        self.overall = mean
-        self.encoding = F.broadcast(fitted) if rows <= FEW_ROWS else fitted
+        self.overall = cells.agg(F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).first()[0]  # one number
+        total = F.coalesce(F.col("_sum"), F.lit(0.0)) + F.lit(self.smoothing) * F.lit(self.overall)
+        self.encoding = cells.na.drop(subset=self.keys).select(
+            *self.keys, (total / (F.col("_n") + self.smoothing)).alias(self.column)
+        )
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -60,5 +60,5 @@ class TargetEncoder:
     def load(self, spark: SparkSession, path: str) -> TargetEncoder:
         stored = spark.read.parquet(path)
         self.overall = stored.agg(F.max("_overall")).first()[0]
-        self.encoding = small_or_shuffled(stored.drop("_overall"))
+        self.encoding = stored.drop("_overall")
         return self

@@ -12,7 +12,7 @@ from pyspark.sql.types import NumericType
 
 from meterlake.functions.scalars import to_log
 from meterlake.operators.quantiles import group_quantiles
-from meterlake.session import small_or_shuffled
+from meterlake.session import durable
 
 
 def _rows() -> Column:
@@ -148,7 +148,7 @@ def log_spaced_histogram(df: DataFrame, value: str, decades: int = 4, bins: int
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles per group and the whiskers: the outermost values within 1.5 interquartile ranges."""
-    quartiles = small_or_shuffled(
+    quartiles = durable(
         group_quantiles(df, [group], value, [0.25, 0.5, 0.75]).select(
             F.col(group).alias("_g"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
         )

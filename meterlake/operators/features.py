@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.holidays import DEFAULT_COUNTRY, SITE_COUNTRY, calendar
 from meterlake.functions.scalars import col, wave
 from meterlake.operators.series import Series, by_length, reaching_back
-from meterlake.session import small_or_shuffled
+from meterlake.session import durable
 
 # The feature names by group, and the small raw set of the ablation.
 FEATURE_GROUPS = {
@@ -204,7 +204,7 @@ def fill_age(df: DataFrame, column: str = "building_age", site: str = "site_id",
         return df.withColumn(column, F.coalesce(F.col(column), counts.agg(median).scalar()))
     # one row per site and one for all of them
     medians = counts.groupingSets([[site], []], site).agg(F.grouping(site).alias("_all"), median.alias("_median"))
-    medians = small_or_shuffled(medians)
+    medians = durable(medians)
     overall = medians.where(F.col("_all") == 1).select("_median").scalar()
     by_site = medians.where(F.col("_all") == 0).select(F.col(site).alias("_site"), "_median")
     joined = df.join(by_site, df[site] == by_site["_site"], "left")

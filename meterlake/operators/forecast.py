@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.scalars import clip, from_log, seconds, to_log
 from meterlake.operators.explore import last_rows
 from meterlake.operators.series import POS, Series, by_length, nearest_marks, reaching_back, with_position
-from meterlake.session import small_or_shuffled
+from meterlake.session import durable
 
 
 def hourly_grid(df: DataFrame, series: Series, step: str = "1 hour") -> DataFrame:
@@ -90,7 +90,7 @@ def _naive() -> Column:
 def _forecast(val: DataFrame, series: Series, table: DataFrame, period: int, pred: Column) -> DataFrame:
     """Validation rows with their forecast from the row of their series; rows of unknown series get none."""
     steps = with_position(val, series, "step")
-    joined = steps.join(small_or_shuffled(table), list(series.keys), "left").withColumn("_period", F.lit(period))
+    joined = steps.join(durable(table), list(series.keys), "left").withColumn("_period", F.lit(period))
     return joined.withColumn("y_pred", pred).select(*val.columns, "y_pred")
 
 

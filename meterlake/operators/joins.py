@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.session import small_or_shuffled
+from meterlake.session import durable
 
 
 def join_meta(readings: DataFrame, meta: DataFrame) -> DataFrame:
@@ -21,13 +21,13 @@ def join_meta(readings: DataFrame, meta: DataFrame) -> DataFrame:
 def join_context(readings: DataFrame, meta: DataFrame, weather: DataFrame) -> DataFrame:
     """Readings with the metadata of the building and the weather of its site and hour.
 
-    Both dimensions should be written tables, whose size Spark knows, or come through `small_or_shuffled`.
+    Both dimensions should be files or written tables (`durable`), whose size Spark knows.
     """
     return join_meta(readings, meta).join(weather, ["site_id", "timestamp"], "left")
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.join(small_or_shuffled(keys.select(*on).distinct()), list(on), "left_semi")
+    return df.join(durable(keys.select(*on).distinct()), list(on), "left_semi")
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 def group_mean_lookup(train: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Mean of the training rows of the same keys, else of all training rows."""
     sums = train.groupBy(*keys).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    cells = small_or_shuffled(sums)
+    cells = durable(sums)
     overall = cells.agg(F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0)))
     means = cells.withColumn(out, F.col("_s") / F.nullif(F.col("_n"), F.lit(0))).drop("_s", "_n")
     return rows.join(means, list(keys), "left").withColumn(out, F.coalesce(F.col(out), overall.scalar()))

@@ -35,6 +35,7 @@ class Series:
     split: bool | None = None
     counted: bool = False
     longs: DataFrame | None = field(default=None, compare=False, repr=False)
+    parts: int = 0  # tasks to spread the long series over
 
     @property
     def order(self) -> list[str]:
@@ -44,7 +45,11 @@ class Series:
         """Count the series of `df` once. Holds for every frame made from `df` by dropping or filling rows."""
         if self.split is not None or self.counted:
             return self
-        return replace(self, counted=True, longs=long_series(df, self))
+        longs = long_series(df, self)
+        if longs is None:
+            return replace(self, counted=True)
+        rows = longs.agg(F.sum("_rows")).first()[0]  # one number
+        return replace(self, counted=True, longs=longs.select(*self.keys), parts=-(-rows // self.chunk_rows))
 
     def window(self) -> WindowSpec:
         if self.split:
@@ -63,12 +68,12 @@ def same_keys(left: DataFrame, right: DataFrame, keys) -> Column:
 
 
 def long_series(df: DataFrame, series: Series) -> DataFrame | None:
-    """Keys of the series above `long_rows`, or None where there are none.
+    """Keys and rows of the series above `long_rows`, or None where there are none.
 
     At most (rows / long_rows) keys can be long, which bounds the list that callers broadcast.
     """
     counts = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("_rows"))
-    longs = counts.where(F.col("_rows") > series.long_rows).select(*series.keys)
+    longs = counts.where(F.col("_rows") > series.long_rows)
     return None if longs.isEmpty() else durable(longs)
 
 
@@ -98,7 +103,7 @@ def _numbered(df: DataFrame, series: Series, chunk_rows: int) -> DataFrame:
     partition and the place in it, and one row per (series, partition) gives the offset to add.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), series.parts)
     by = [*series.keys, *series.order]
     rows = durable(
         df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())

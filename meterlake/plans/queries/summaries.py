@@ -10,7 +10,7 @@ from meterlake.operators.split import split_at, split_summary
 from meterlake.plans.queries.catalog import on, query, r, rounded_scores, scores, sr, sstamp, stamp
 from meterlake.plans.queries.tables import CUT, us_holiday
 from meterlake.plans.training import GROUPS
-from meterlake.session import small_or_shuffled
+from meterlake.session import durable
 from meterlake.sources import frames
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -385,7 +385,7 @@ _MEASURES = ["y", "square_feet", "year_built", "air_temperature"]
 )
 def correlation_matrix(spark, d):
     daily = frames.daily(spark, d).withColumnRenamed("ts", "timestamp")
-    joined = daily.join(small_or_shuffled(frames.weather(spark, d)), ["site_id", "timestamp"], "left")
+    joined = daily.join(durable(frames.weather(spark, d)), ["site_id", "timestamp"], "left")
     return explore.correlation_matrix(joined, _MEASURES).withColumn("corr", r("corr", 5))
 
 
@@ -454,7 +454,7 @@ def density_by_site(spark, d):
     ),
 )
 def temperature_response(spark, d):
-    joined = join_context(frames.readings(spark, d), frames.meta(spark, d), small_or_shuffled(frames.weather(spark, d)))
+    joined = join_context(frames.readings(spark, d), frames.meta(spark, d), durable(frames.weather(spark, d)))
     return explore.temperature_response(joined).withColumn("mean_log", r("mean_log", 5))
 
 
@@ -496,14 +496,14 @@ def first_last_per_group(spark, d):
 # ---- profiles
 
 
-def _profile_sql() -> str:
-    means = ", ".join(f"coalesce(avg(value) FILTER (hour(ts) = {h}), 0) AS h{h:02d}" for h in range(24))
-    total = " + ".join(f"h{h:02d}" for h in range(24))
-    cells = ", ".join(sr(f"h{h:02d} / CASE WHEN {total} > 0 THEN {total} ELSE 1 END", 6, f"h{h:02d}") for h in range(24))
-    return f"WITH means AS (SELECT user_id, {means} FROM events GROUP BY user_id) SELECT user_id, {cells} FROM means"
+PROFILE_MEANS = (
+    "SELECT user_id, " + ", ".join(f"coalesce(avg(value) FILTER (hour(ts) = {h}), 0) AS h{h:02d}" for h in range(24)) + " FROM events GROUP BY user_id"
+)
+PROFILE_TOTAL = "(" + " + ".join(segments.HOURS) + ")"
+_SHARES = ", ".join(sr(f"{h} / CASE WHEN {PROFILE_TOTAL} > 0 THEN {PROFILE_TOTAL} ELSE 1 END", 6, h) for h in segments.HOURS)
 
 
-@query("consumption_profile", _profile_sql())
+@query("consumption_profile", f"WITH means AS ({PROFILE_MEANS}) SELECT user_id, {_SHARES} FROM means")
 def consumption_profile(spark, d):
     out = segments.consumption_profiles(frames.table(spark, d, "events"), ["user_id"], "ts", "value")
     return out.select("user_id", *[r(h, 6) for h in segments.HOURS])

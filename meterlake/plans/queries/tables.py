@@ -10,7 +10,7 @@ from meterlake.operators.encoding import TargetEncoder
 from meterlake.operators.split import split_at
 from meterlake.plans.queries.catalog import on, query, r, sr, sstamp, stamp
 from meterlake.plans.training import baseline_group_mean
-from meterlake.session import scratch_path, small_or_shuffled
+from meterlake.session import durable, scratch_path
 from meterlake.sources import frames, tables
 
 CUT = "2024-01-22"
@@ -141,7 +141,7 @@ def time_slice(spark, d):
 )
 def drop_incomplete(spark, d):
     daily = frames.daily(spark, d).withColumnRenamed("ts", "timestamp")
-    joined = daily.join(small_or_shuffled(frames.weather(spark, d)), ["site_id", "timestamp"], "left")
+    joined = daily.join(durable(frames.weather(spark, d)), ["site_id", "timestamp"], "left")
     return joined.na.drop(subset=["air_temperature", "year_built", "y"]).select("o_orderkey", "site_id", "year_built", "y")
 
 
@@ -170,7 +170,7 @@ def fill_const_median(spark, d):
 )
 def feature_matrix(spark, d):
     daily = frames.daily(spark, d).withColumnRenamed("ts", "timestamp")
-    rows = tables.derive_meta(daily.join(small_or_shuffled(frames.weather(spark, d)), ["site_id", "timestamp"], "left"))
+    rows = tables.derive_meta(daily.join(durable(frames.weather(spark, d)), ["site_id", "timestamp"], "left"))
     rows = rows.withColumns(
         {"hour": F.hour("timestamp"), "primary_use_code": features.category_codes(frames.meta(spark, d), "primary_use")}
     )
@@ -340,7 +340,7 @@ def join_meta(spark, d):
     ),
 )
 def join_context(spark, d):
-    joined = joins.join_context(frames.readings(spark, d), frames.meta(spark, d), small_or_shuffled(frames.weather(spark, d)))
+    joined = joins.join_context(frames.readings(spark, d), frames.meta(spark, d), durable(frames.weather(spark, d)))
     return joined.select("building_id", "meter", stamp("timestamp", "ts"), "meter_reading", "site_id", r("air_temperature"))
 
 

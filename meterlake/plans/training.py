@@ -155,7 +155,7 @@ def segment_vs_global(
     Segments (clusters or uses) are few; each fit is a distributed job on its rows. Segments with too few rows
     are left out.
     """
-    train, val = train.persist(), val.persist()
+    train, val = durable(train), durable(val)
     sizes = train.groupBy(segment).agg(F.count(F.lit(1)).alias("n_train")).join(
         val.groupBy(segment).agg(F.count(F.lit(1)).alias("n_val")), segment
     )

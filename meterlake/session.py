@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # SQL settings the operators rely on; all can be set on a running session.
 SQL_SETTINGS = {
@@ -18,10 +17,6 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# A written table of at most this many rows may be broadcast.
-FEW_ROWS = 500_000
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings to a session that already runs; cluster sizing stays untouched."""
     for key, value in SQL_SETTINGS.items():
@@ -53,31 +48,35 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    folder = os.path.join(tempfile.gettempdir(), f"meterlake-{spark.sparkContext.applicationId}")
+    folder = os.path.join(tempfile.gettempdir(), "meterlake")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _scratch_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/meterlake-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one written table."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage, survives lost executors, and later readers prune columns and push filters.
+    This cuts the lineage, survives lost executors, and later readers prune columns and push filters. Spark also
+    knows the size of a written table: below `spark.sql.autoBroadcastJoinThreshold` a join broadcasts it, above
+    it shuffles. A fresh aggregate has no known size, and a join with it may shuffle the large side by a handful
+    of hot keys first.
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, most_rows: int = FEW_ROWS) -> DataFrame:
-    """`df` as a written table, marked for broadcast only if its counted rows are few.
-
-    Without the mark a join with a fresh aggregate may shuffle the large side by a handful of hot keys before
-    the size of the small side is known.
-    """
-    table = durable(df)
-    return F.broadcast(table) if table.count() <= most_rows else table
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application has written for itself; frames that read them end with it."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
