@@ -93,7 +93,7 @@ def _moments(name: str) -> tuple[Column, Column, Column]:
 
 def _lagged(w: WindowSpec, block: int, back: int, name: str) -> dict[str, Column]:
     """The moments of the `block` rows that end `back` rows before, as columns named `name`; none are zero."""
-    return {f"_{c}{name}": F.lag(f"_{c}{block}", back, 0.0).over(w) for c in "nmq"}
+    return {f"_{c}{name}": F.lead(f"_{c}{block}", back, 0.0).over(w) for c in "nmq"}
 
 
 def _blocks(k: int) -> list[tuple[int, int]]:
@@ -109,9 +109,9 @@ def _blocks(k: int) -> list[tuple[int, int]]:
 def rolling_moments(rows: DataFrame, w: WindowSpec, value: str, windows: Sequence[int]) -> DataFrame:
     """`_n<k>r`, `_m<k>r`, `_q<k>r`: count, mean and squared deviations of the k rows before each row.
 
-    Spark evaluates a sliding frame row by row, k steps each. Here blocks of 1, 2, 4, ... rows are merged by
-    lags on the one sort order of the series, so a frame of k rows takes about log2(k) steps. Merging moments
-    adds no cancellation.
+    `w` runs from the newest row to the oldest. Spark evaluates a sliding frame row by row, k steps each. Here
+    blocks of 1, 2, 4, ... rows are merged on the one sort order of the series, so a frame of k rows takes about
+    log2(k) steps. Merging moments adds no cancellation.
     """
     known = F.col(value).isNotNull()
     out = rows.withColumns(
@@ -148,8 +148,10 @@ def add_history_features(
     Both count rows, not hours. A rolling frame ends one row before the current one and is null until a
     quarter of it holds values.
     """
-    rows, w, finish = reaching_back(df, series, max([*lags, *windows]))
-    out = rows.withColumns({f"lag_{k}h": F.lag(value, k).over(w) for k in lags}) if lags else rows
+    rows, _, finish = reaching_back(df, series, max([*lags, *windows]))
+    # newest first, the order in which the search for zero runs leaves a series, so a chain sorts once less
+    w = series.backwards()
+    out = rows.withColumns({f"lag_{k}h": F.lead(value, k).over(w) for k in lags}) if lags else rows
     if {24, 168} <= set(lags):
         out = out.withColumn("lag_diff_24h", F.col("lag_24h") - F.col("lag_168h"))
     if windows:

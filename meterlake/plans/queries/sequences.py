@@ -189,7 +189,7 @@ _IMPUTED = dict(
     ),
 )
 def impute_weather(spark, d):
-    out = clean.impute_weather(frames.weather(spark, d), frames.WEATHER)
+    out = clean.impute_weather(durable(frames.weather(spark, d)), frames.WEATHER)
     return out.select("site_id", stamp("timestamp", "ts"), r("air_temperature"), r("dew_temperature"), "cloud_coverage", "precip_depth_1_hr")
 
 
@@ -430,6 +430,6 @@ def prepare_lines(spark, d, **settings):
     """The prepare job on the line items, runs of two zeros counting as an outage."""
     chosen = {"min_hours": 2, "quantile": 0.99, **settings}
     return prepare(
-        frames.readings(spark, d), tables.derive_meta(frames.meta(spark, d)), frames.weather(spark, d),
+        frames.readings(spark, d), tables.derive_meta(frames.meta(spark, d)), durable(frames.weather(spark, d)),
         lambda frame: split.split_at(frame, CUTOFF), frames.READINGS, frames.WEATHER, **chosen,
     )
