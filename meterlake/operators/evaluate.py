@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,8 +177,3 @@ def pick_cases(df: DataFrame, condition, smallest_error: bool, among, k: int = 5
     fallback = rows.where(among).orderBy(order, *rest).limit(k)
     found = hits.agg(F.count(F.lit(1)))
     return hits.unionByName(fallback.where(found.scalar() == 0))
-
-
-def stack_models(frames: dict[str, DataFrame]) -> DataFrame:
-    """Predictions of several models as one long table."""
-    return reduce(DataFrame.unionByName, [f.withColumn("model", F.lit(m)) for m, f in frames.items()])

@@ -114,9 +114,11 @@ class _Linear(Regressor):
         Spark divides by the deviation of the label, which weakens the squared part by that factor. `per_row`
         is the penalty against the mean error (lasso, elastic net), otherwise against the sum (ridge).
         """
-        stats = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_label").alias("s")).first()
         l1 = alpha * l1_ratio
-        l2 = alpha * (1 - l1_ratio) * (stats["s"] or 1.0) / (1 if per_row else stats["n"])
+        l2 = alpha * (1 - l1_ratio)
+        if l2:
+            n, spread = rows.agg(F.count(F.lit(1)), F.stddev_pop("_label")).first()
+            l2 *= (spread or 1.0) / (1 if per_row else n)
         total = l1 + l2
         return LinearRegression(
             featuresCol=VECTOR, labelCol="_label", predictionCol="_prediction", standardization=False,

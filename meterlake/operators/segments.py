@@ -36,7 +36,7 @@ def fit_kmeans(profiles: DataFrame, k: int, seed: int = 42, max_iter: int = 300)
     found = profiles.select(*HOURS).distinct().limit(k).count()
     if found < 2:
         raise ValueError("clustering needs at least two distinct profiles")
-    means = KMeans(k=min(k, found), seed=seed, maxIter=max_iter, initSteps=5, featuresCol="profile", predictionCol="cluster")
+    means = KMeans(k=min(k, found), seed=seed, maxIter=max_iter, featuresCol="profile", predictionCol="cluster")
     return means.fit(as_vectors(profiles))
 
 

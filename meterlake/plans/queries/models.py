@@ -17,7 +17,7 @@ from meterlake.plans.prepare import Prepared
 from meterlake.plans.queries.catalog import on, query, r, sr
 from meterlake.plans.queries.sequences import prepare_lines
 from meterlake.plans.queries.summaries import PROFILE_MEANS, PROFILE_TOTAL
-from meterlake.session import scratch_path
+from meterlake.session import durable, scratch_path
 from meterlake.sources import frames, tables
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "month_sin", "month_cos", "dayofweek_sin", "dayofweek_cos"]
@@ -157,7 +157,8 @@ def train_leaderboard(spark, d):
 
 
 def profiles(spark, d):
-    return segments.consumption_profiles(frames.table(spark, d, "events"), ["user_id"], "ts", "value")
+    # one row per user, read by every fit
+    return durable(segments.consumption_profiles(frames.table(spark, d, "events"), ["user_id"], "ts", "value"))
 
 
 @query("kmeans_assign")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterlake.operators import clean, evaluate, explore, features, forecast, split
 from meterlake.plans.prepare import prepare
 from meterlake.plans.queries.catalog import on, query, r, rounded_scores, scores, sr, sstamp, stamp
-from meterlake.plans.queries.tables import CUT, KEYS, us_holiday
+from meterlake.plans.queries.tables import CUT, KEYS
 from meterlake.plans.training import baseline_lag
 from meterlake.session import durable
 from meterlake.sources import frames, tables

@@ -6,14 +6,16 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from meterlake.session import local_session  # noqa: E402
+from meterlake.session import drop_scratch, local_session  # noqa: E402
 
 TESTDATA = os.environ.get("METERLAKE_TESTDATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(memory="6g", app="meterlake-tests")
+    session = local_session(memory="6g", app="meterlake-tests")
+    yield session
+    drop_scratch(session)
 
 
 @pytest.fixture(scope="session")
