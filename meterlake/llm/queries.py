@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, media, packing, secrets
+from meterlake.llm import decontaminate, licenses, line_dedup, media, packing, pages, quality, secrets, urls
 from meterlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,15 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+SQL["op3_line_dedup"] = line_dedup.dedup_sql()
+
+
 @query
 def op5_media(spark: SparkSession, folder: str) -> DataFrame:
     stored = media.store_texts(table(spark, folder, "documents")).withColumn("declared", F.lit("application/octet-stream"))
@@ -74,6 +83,34 @@ def op5_media(spark: SparkSession, folder: str) -> DataFrame:
     return media.read_back(found, "key", "body").select("key.*", "*").drop("key")
 
 
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+    predicted = (F.col("score") >= quality.KEEP_FROM).cast("int").alias("predicted")
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", predicted)
+
+
+@query
+def op7_pages(spark: SparkSession, folder: str) -> DataFrame:
+    found = pages.extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+RULES = (
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+)
+
+
+@query
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), RULES)
+
+
 @query
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(table(spark, folder, "documents"))
@@ -91,3 +128,17 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
     )
+
+
+@query
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("sentences").cast("long").alias("n_sentences"),
+        F.array_join("licences", ",").alias("licences"),
+        F.array_join("unmatched", ",").alias("unmatched"),
+    )
+
+
+SQL["op10_licenses"] = licenses.scan_sql()
