@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.session import configure
+from meterlake.session import configure, durable
 
 BATCH_ROWS = 500  # rows of an Arrow batch; texts may be long
 
@@ -16,6 +16,16 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def released(df: DataFrame) -> DataFrame:
+    """`durable`, after which Spark may delete the shuffle files of the plan that the written table replaces.
+
+    Spark does so when the driver collects its garbage, which may be long after; big steps ask for it.
+    """
+    out = durable(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, licenses, line_dedup, media, packing, pages, quality, secrets, urls
+from meterlake.llm import decontaminate, jaccard_groups, licenses, line_dedup, media, packing, pages, quality, secrets, urls
 from meterlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,28 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op3_line_dedup"] = line_dedup.dedup_sql()
 
 
+@query
+def op4_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_groups.link(table(spark, folder, "documents"), words=4, percent=85).drop("th")
+
+
+SHINGLE_WORDS = "regexp_extract_all(" + ASCII_LOWER.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
+SQL["op4_jaccard_groups"] = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {SHINGLE_WORDS} AS w FROM documents),
+grams AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 4) - 1], ' ') AS gram
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM d WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
+    FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+    WHERE 100 * o >= 85 * (x.n + y.n - o)),
+both AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+least_id AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least_id l ON d.doc_id = l.a"""
+
+
 @query
 def op5_media(spark: SparkSession, folder: str) -> DataFrame:
     stored = media.store_texts(table(spark, folder, "documents")).withColumn("declared", F.lit("application/octet-stream"))
