@@ -90,8 +90,8 @@ pairs AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
     FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS MATERIALIZED (SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
     WHERE 100 * o >= 85 * (x.n + y.n - o)),
-both AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(a, b) AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, e.b FROM reach r JOIN sides e ON r.b = e.a),
 least_id AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id
 FROM d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least_id l ON d.doc_id = l.a"""
