@@ -124,7 +124,7 @@ def country_holidays(country: str, year: int) -> set[date]:
     return RULES[country](year)
 
 
-def calendar(spark: SparkSession, first_year: int = 1990, last_year: int = 2040) -> DataFrame:
+def calendar(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """(country, day) of every holiday: about a dozen days per country and year."""
     rows = [
         (country, day)

@@ -40,9 +40,9 @@ def from_log(c: str | Column) -> Column:
     return F.expm1(clip(c, 0.0, LOG_CEILING))
 
 
-def clip_real(c: str | Column) -> Column:
-    """Limit a raw value to the range that `from_log` can give."""
-    return clip(c, 0.0, math.expm1(LOG_CEILING))
+def clip_real(c: str | Column, ceiling: float | None = LOG_CEILING) -> Column:
+    """Limit a raw value to the range that `from_log` can give; without a ceiling only from below."""
+    return clip(c, 0.0, None if ceiling is None else math.expm1(ceiling))
 
 
 def seconds(c: str | Column) -> Column:

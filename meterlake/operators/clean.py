@@ -70,12 +70,14 @@ def zero_run_starts(df: DataFrame, series: Series, value: str = "meter_reading")
 def cap_outliers(df: DataFrame, series: Series, value: str = "meter_reading", quantile: float = 0.999) -> DataFrame:
     """Replace values above the quantile of their series by that quantile.
 
-    An ordinary series takes it from the partition it is windowed in, a long one from an exact count.
+    An ordinary series takes it from the partition it is windowed in, a long one from an exact count. Rows with a null
+    among their keys belong to no series and stay as they are.
     """
     if series.split:
         df = durable(df)  # read by each counting pass
-        return cap_at(df, series_caps(df, series.keys, value, quantile, series.long_rows), series.keys, value)
-    cap = F.percentile(value, F.lit(quantile)).over(Window.partitionBy(*series.keys))
+        return cap_at(df, durable(series_caps(df, series.keys, value, quantile, series.long_rows)), series.keys, value)
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in series.keys])
+    cap = F.when(known, F.percentile(value, F.lit(quantile)).over(Window.partitionBy(*series.keys)))
     return df.withColumn("_cap", cap).withColumn(value, _capped(value)).drop("_cap")
 
 
@@ -84,7 +86,10 @@ def _capped(value: str) -> Column:
 
 
 def cap_at(df: DataFrame, caps: DataFrame, keys: Sequence[str], value: str = "meter_reading") -> DataFrame:
-    """Replace values above the cap of their series; `caps` (keys, cap) may come from other rows, such as training."""
+    """Replace values above the cap of their series; `caps` (keys, cap) may come from other rows, such as training.
+
+    `caps` should be a written table: Spark shuffles rows by a few hot keys where it cannot see that the caps are few.
+    """
     caps = caps.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], F.col("cap").alias("_cap"))
     match = reduce(Column.__and__, [df[k] == caps[f"_c{i}"] for i, k in enumerate(keys)])
     return df.join(caps, match, "left").withColumn(value, _capped(value)).select(*df.columns)

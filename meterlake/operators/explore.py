@@ -114,9 +114,11 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def histogram(df: DataFrame, value, bins: int = 80, low: float | None = None, high: float | None = None) -> DataFrame:
+def histogram(
+    df: DataFrame, value, bins: int = 80, low: float | None = None, high: float | None = None, outside: bool = False
+) -> DataFrame:
     """Counts in equal bins between the bounds (by default the smallest and largest value); the last bin
-    includes its upper bound, and values outside are left out.
+    includes its upper bound. Values outside are left out, or with `outside` counted in bins -1 and `bins`.
     """
     rows = df.select((F.col(value) if isinstance(value, str) else value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     if low is None or high is None:
@@ -129,7 +131,11 @@ def histogram(df: DataFrame, value, bins: int = 80, low: float | None = None, hi
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
     place = F.least(F.floor((F.col("_x") - low) / width), F.lit(bins - 1)).cast("int")
-    counted = rows.where(F.col("_x").between(low, high)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    if outside:
+        place = F.when(F.col("_x") < low, -1).when(F.col("_x") > high, bins).otherwise(place)
+    else:
+        rows = rows.where(F.col("_x").between(low, high))
+    counted = rows.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return counted.select("bin", (F.lit(low) + F.col("bin") * F.lit(width)).alias("low"), "n")
 
 
@@ -142,8 +148,8 @@ def log_target_histogram(df: DataFrame, value: str = "meter_reading", bins: int
 
 
 def log_spaced_histogram(df: DataFrame, value: str, decades: int = 4, bins: int = 49) -> DataFrame:
-    """Counts in bins of equal width on the log10 scale from 1 to 10 ** decades."""
-    return histogram(df.where(F.col(value) > 0), F.log10(value), bins, 0.0, float(decades))
+    """Counts in bins of equal width on the log10 scale from 1 to 10 ** decades; one bin on each side for the rest."""
+    return histogram(df.where(F.col(value) > 0), F.log10(value), bins, 0.0, float(decades), outside=True)
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -164,15 +170,17 @@ def density_by(df: DataFrame, group: str, value: str, cells: int = 256, points:
 
     Values are first counted in `cells` fine cells per group, so the kernel sum meets cells, not rows.
     """
-    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    low, high = float(ends["lo"]), float(ends["hi"])
+    ends = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).first()
+    if ends["lo"] is None:
+        empty = F.lit(None).cast("double")
+        return df.where(F.lit(False)).select(group, F.lit(0).alias("point"), empty.alias("x"), empty.alias("density"))
+    low, high = ends["lo"], ends["hi"]
     width = (high - low) / cells or 1.0
     cell = F.least(F.floor((F.col(value) - low) / width), F.lit(cells - 1))
-    counted = df.where(F.col(value).isNotNull()).groupBy(group, cell.alias("cell")).agg(
-        F.count(F.lit(1)).alias("c"), F.sum(value).alias("s"), F.sum(F.pow(value, 2)).alias("ss")
-    )
-    totals = counted.groupBy(group).agg(F.sum("c").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    spread = F.sqrt(F.greatest((F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0)))
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"))
+    # the variance of the rows themselves: differences of large sums would lose its digits
+    totals = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.var_samp(value).alias("var"))
+    spread = F.sqrt("var")
     widths = totals.where(F.col("n") > 1).select(F.col(group).alias("_g"), "n", (spread * F.pow("n", F.lit(-0.2))).alias("bw"))
     step = (high - low) / (points - 1)
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")

@@ -57,7 +57,9 @@ def lookup(key: str | Column, entries: dict, default=None) -> Column:
 def with_holiday_flag(df: DataFrame, time: str = "timestamp") -> DataFrame:
     """`is_holiday`: 1 on a public holiday of the site's country (US where no site is known)."""
     country = lookup(F.col("site_id").cast("int"), SITE_COUNTRY, DEFAULT_COUNTRY) if "site_id" in df.columns else F.lit(DEFAULT_COUNTRY)
-    days = F.broadcast(calendar(df.sparkSession))  # a few thousand rows whatever the data
+    ends = df.agg(F.min(F.year(time)), F.max(F.year(time))).first()
+    # about fifty rows a year, for the years between the ends of the data
+    days = F.broadcast(calendar(df.sparkSession, ends[0] or 1970, ends[1] or 1970))
     match = (country == days["holiday_country"]) & (F.to_date(df[time]) == days["holiday_day"])
     return df.join(days, match, "left").select(
         *[df[c] for c in df.columns], F.col("holiday_day").isNotNull().cast("int").alias("is_holiday")

@@ -7,6 +7,7 @@ slice that holds the wanted rank, until few rows are left.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,17 +17,18 @@ from meterlake.operators.series import same_keys
 from meterlake.session import durable
 
 SLICES = 4096
+MOST = sys.float_info.max
 
 
 def group_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], large_rows: int = 5_000_000
 ) -> DataFrame:
-    """One row per group with `q`, the array of linearly interpolated quantiles; nulls are skipped.
+    """One row per group with `q`, the array of linearly interpolated quantiles; nulls and NaN are skipped.
 
     Without keys the whole table is one group.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     probs_array = F.array(*[F.lit(float(p)) for p in probs])
     exact = F.percentile("_v", probs_array).alias("q")
     by = keys or ["_all"]
@@ -37,7 +39,7 @@ def group_quantiles(
     if large.isEmpty():
         # a global aggregate over no rows still gives its one (null) row
         return rows.groupBy(*keys).agg(exact) if keys else rows.agg(exact)
-    large = F.broadcast(durable(large))  # at most rows / large_rows groups
+    large = durable(large)  # Spark knows its size then
     small = rows.join(large, same_keys(rows, large, by), "left_anti").groupBy(*by).agg(exact)
     out = small.unionByName(_by_counting(rows, large, by, probs, large_rows))
     return out.select(*keys, "q")
@@ -89,9 +91,13 @@ def _holding_rank(counted: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def _narrower(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
-    # every step is monotone in the value, so a slice never mixes ranks with its neighbours
-    share = (F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    slice_no = F.least(F.floor(share * SLICES), F.lit(SLICES - 1))
+    # Every step is monotone in the value, so a slice never mixes ranks with its neighbours. Infinities are slices of
+    # their own; halves keep the width of the others finite. A bracket ends at values that occur, its ends fall into
+    # different slices, and so every pass narrows it.
+    low, high = (F.greatest(F.least(F.col(c), F.lit(MOST)), F.lit(-MOST)) / 2 for c in ("lo", "hi"))
+    share = F.when(high > low, (F.col("_v") / 2 - low) / (high - low)).otherwise(0.0)
+    inner = F.greatest(F.least(F.floor(share * SLICES), F.lit(SLICES - 1)), F.lit(0))
+    slice_no = F.when(F.col("_v") > MOST, SLICES).when(F.col("_v") < -MOST, -1).otherwise(inner)
     counted = (
         _inside(rows, brackets, by)
         .groupBy(*by, "rank", "below", slice_no.alias("slice"))
@@ -117,7 +123,9 @@ def _interpolate(wanted: DataFrame, values: DataFrame, by: list[str]) -> DataFra
 
     both = read(wanted, F.floor(wanted["at"]), "v0")
     both = read(both, F.ceil(both["at"]), "v1")
-    value = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("at") - F.floor("at"))
+    # as `percentile` does, so that the size of a group makes no difference
+    between = (F.ceil("at") - F.col("at")) * F.col("v0") + (F.col("at") - F.floor("at")) * F.col("v1")
+    value = F.when((F.ceil("at") == F.floor("at")) | (F.col("v0") == F.col("v1")), F.col("v0")).otherwise(between)
     # one entry per requested probability
     pairs = F.array_sort(F.collect_list(F.struct("i", value.alias("x"))))
     return both.groupBy(*by).agg(F.transform(pairs, lambda s: s["x"]).alias("q"))

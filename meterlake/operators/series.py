@@ -70,7 +70,7 @@ def same_keys(left: DataFrame, right: DataFrame, keys) -> Column:
 def long_series(df: DataFrame, series: Series) -> DataFrame | None:
     """Keys and rows of the series above `long_rows`, or None where there are none.
 
-    At most (rows / long_rows) keys can be long, which bounds the list that callers broadcast.
+    At most (rows / long_rows) keys can be long. The list is written, so that Spark knows whether to broadcast it.
     """
     counts = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("_rows"))
     longs = counts.where(F.col("_rows") > series.long_rows)
@@ -88,7 +88,7 @@ def by_length(step: Callable) -> Callable:
         plain, chunked = replace(series, split=False), replace(series, split=True)
         if series.longs is None:
             return step(df, plain, *args, **kwargs)
-        longs = F.broadcast(series.longs)
+        longs = series.longs
         match = same_keys(df, longs, series.keys)
         ordinary = step(df.join(longs, match, "left_anti"), plain, *args, **kwargs)
         return ordinary.unionByName(step(df.join(longs, match, "left_semi"), chunked, *args, **kwargs))
@@ -118,14 +118,15 @@ def _numbered(df: DataFrame, series: Series, chunk_rows: int) -> DataFrame:
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(whole).alias(SIZE),
     )
-    # Rows come range-partitioned, so there are at most (series + partitions) cells.
+    # Rows come range-partitioned, so there are at most (series + partitions) cells; written, so that Spark knows.
+    cells = durable(cells)
     match = reduce(
         Column.__and__,
         [rows[k].eqNullSafe(cells[f"_k{i}"]) for i, k in enumerate(series.keys)],
         rows["_part"] == cells["_p"],
     )
     return (
-        rows.join(F.broadcast(cells), match)
+        rows.join(cells, match)
         .withColumn(POS, F.col("_id") - F.col("_first") + F.col("_before") + 1)
         .withColumn(CHUNK, F.floor((F.col(POS) - 1) / chunk_rows))
         .select(*df.columns, POS, SIZE, CHUNK)

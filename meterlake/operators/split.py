@@ -77,7 +77,7 @@ def with_fold_block(df: DataFrame, n_splits: int = 3, time: str = "timestamp") -
     return df.withColumn("block", block)
 
 
-def chrono_prefix(df: DataFrame, share: float, time: str = "timestamp", at_least: int = 1000) -> DataFrame:
+def chrono_prefix(df: DataFrame, share: float, time: str = "timestamp", at_least: int = 1) -> DataFrame:
     """The earliest share of the rows, at least `at_least`; rows of the last time taken stay together."""
     rows = df.count()
     wanted = min(rows, max(at_least, int(rows * share)))

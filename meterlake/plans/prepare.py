@@ -21,13 +21,14 @@ Splitter = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 @dataclass
 class Prepared:
-    """Both folds with features, the raw target `meter_reading` and its log `label`."""
+    """Both folds with features, the raw target `meter_reading` and the `label` that models learn."""
 
     train: DataFrame
     val: DataFrame
     features: list[str]
     encoder: TargetEncoder
     series: Series
+    log_target: bool = True  # whether `label` is the log of the reading
 
     def stored(self) -> Prepared:
         """Both folds written once, for jobs that read them many times."""
@@ -120,4 +121,4 @@ def prepare(
         keep = dict.fromkeys([*series.keys, *series.order, "site_id", "primary_use", "hour", "meter_reading", *names])
         label = to_log("meter_reading") if log_target else F.col("meter_reading")
         done.append(whole.select(*[c for c in keep if c in whole.columns]).withColumn("label", label))
-    return Prepared(done[0], done[1], names, encoder, series)
+    return Prepared(done[0], done[1], names, encoder, series, log_target)

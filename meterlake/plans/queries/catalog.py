@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,7 +92,9 @@ def on(frames: str, body: str, **more: str) -> str:
         for f in [*NEEDS.get(name, []), name]:
             parts[f] = FRAMES[f]
     parts.update(more)
-    return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in parts.items()) + " " + body
+    uses = " ".join([*parts.values(), body])
+    often = {n for n in parts if len(re.findall(rf"\b{n}\b", uses)) > 1}  # worked out once
+    return "WITH " + ", ".join(f"{n} AS {'MATERIALIZED ' * (n in often)}({q})" for n, q in parts.items()) + " " + body
 
 
 def scores(true: str = "y_true", pred: str = "y_pred", places: int = 4) -> str:

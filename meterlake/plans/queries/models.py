@@ -142,7 +142,7 @@ def sample_complexity(spark, d):
 @query("segment_vs_global")
 def segment_vs_global(spark, d):
     prep = prepared(spark, d)
-    return training.segment_vs_global(prep.train, prep.val, prep.features, "meter", "decision_tree", 100, 10, **SMALL_TREES)
+    return training.segment_vs_global(prep.train, prep.val, prep.features, "meter", "decision_tree", 100, **SMALL_TREES)
 
 
 @query("train_leaderboard")
@@ -224,7 +224,7 @@ def cluster_segments(spark, d):
     prep = prepared_events(spark, d)
     labels, _ = training.cluster_meters(prep, [2, 3, 4])
     train, val = (fold.join(labels, "building_id") for fold in (prep.train, prep.val))
-    return training.segment_vs_global(train, val, prep.features, "cluster", "decision_tree", 20, 5, **SMALL_TREES)
+    return training.segment_vs_global(train, val, prep.features, "cluster", "decision_tree", 20, **SMALL_TREES)
 
 
 # ---- samples

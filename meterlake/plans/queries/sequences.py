@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meterlake.operators import clean, evaluate, explore, features, forecast, split
 from meterlake.plans.prepare import prepare
 from meterlake.plans.queries.catalog import on, query, r, rounded_scores, scores, sr, sstamp, stamp
+from meterlake.plans.queries.tables import EASTER, site_holiday
 from meterlake.plans.queries.tables import CUT, KEYS
 from meterlake.plans.training import baseline_lag
 from meterlake.session import durable
@@ -174,8 +175,8 @@ def _interpolated(c: str) -> str:
 _IMPUTED = dict(
     numbered='SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY "timestamp") AS rn FROM weather',
     imputed=f"""SELECT site_id, "timestamp", {_interpolated('air_temperature')} AS air_temperature, {_interpolated('dew_temperature')} AS dew_temperature,
-        coalesce(cloud_coverage, (SELECT quantile_cont(cloud_coverage, 0.5) FROM weather)) AS cloud_coverage,
-        coalesce(precip_depth_1_hr, 0) AS precip_depth_1_hr FROM numbered""",
+        coalesce(cloud_coverage, cloud) AS cloud_coverage,
+        coalesce(precip_depth_1_hr, 0) AS precip_depth_1_hr FROM numbered, (SELECT quantile_cont(cloud_coverage, 0.5) AS cloud FROM weather)""",
 )
 
 
@@ -272,7 +273,7 @@ def cv_folds(spark, d):
         "hourly",
         " UNION ALL ".join(
             f"""SELECT {share} AS share, count(*) AS n, {sstamp('max(ts)', 'last')} FROM hourly WHERE ts <= (SELECT max(ts) FROM
-            (SELECT ts FROM hourly ORDER BY ts LIMIT (SELECT CAST(greatest(1000, floor(count(*) * {share})) AS BIGINT) FROM hourly)))"""
+            (SELECT ts FROM hourly ORDER BY ts LIMIT (SELECT CAST(greatest(1, floor(count(*) * {share})) AS BIGINT) FROM hourly)))"""
             for share in (0.25, 0.5, 0.75)
         ).replace("SELECT 0.", "SELECT CAST(0.").replace(" AS share", " AS DOUBLE) AS share"),
     ),
@@ -391,18 +392,23 @@ _PREPARED = dict(
         (SELECT building_id, meter, quantile_cont(meter_reading, 0.99) AS cap FROM kept GROUP BY ALL) USING (building_id, meter)""",
     history=f"""SELECT *, lag(meter_reading, 24) OVER w AS lag_24h, lag(meter_reading, 168) OVER w AS lag_168h, {_rolls()}
         FROM capped WINDOW w AS (PARTITION BY building_id, meter ORDER BY {_ORDER})""",
+    site_ages="SELECT site_id, quantile_cont(age, 0.5) AS site_age FROM history GROUP BY site_id",
+    any_ages="SELECT quantile_cont(age, 0.5) AS any_age FROM history",
+    use_codes="""SELECT primary_use, CAST(row_number() OVER (ORDER BY primary_use) - 1 AS BIGINT) AS code
+        FROM (SELECT DISTINCT primary_use FROM meta WHERE primary_use IS NOT NULL)""",
+    easter=EASTER,
     featured=f"""SELECT *, lag_24h - lag_168h AS lag_diff_24h, CAST(hour("timestamp") AS INTEGER) AS hour,
         {', '.join(f"{f}(2 * pi() * {x} / {p}) AS {n}_{f}" for n, x, p in (('hour', 'hour("timestamp")', 24), ('dayofweek', '(isodow("timestamp") - 1)', 7), ('month', 'month("timestamp")', 12)) for f in ('sin', 'cos'))},
         CASE WHEN isodow("timestamp") >= 6 THEN 1 ELSE 0 END AS is_weekend, air_temperature * air_temperature AS temp_squared,
-        coalesce(age, (SELECT quantile_cont(age, 0.5) FROM history h WHERE h.site_id = history.site_id), (SELECT quantile_cont(age, 0.5) FROM history)) AS building_age,
-        (SELECT count(DISTINCT primary_use) FROM meta m WHERE m.primary_use < history.primary_use) AS primary_use_code,
+        coalesce(age, site_age, any_age) AS building_age, code AS primary_use_code, CAST({site_holiday('"timestamp"')} AS INTEGER) AS is_holiday,
         hour("timestamp") * CASE WHEN isodow("timestamp") >= 6 THEN 1 ELSE 0 END AS hour_x_weekend,
-        log_square_feet * coalesce(air_temperature, 0) AS sqft_x_temp, "timestamp" < TIMESTAMP '{CUTOFF}' AS is_train FROM history""",
+        log_square_feet * coalesce(air_temperature, 0) AS sqft_x_temp, "timestamp" < TIMESTAMP '{CUTOFF}' AS is_train
+        FROM history LEFT JOIN site_ages USING (site_id) LEFT JOIN use_codes USING (primary_use), any_ages""",
     overall="SELECT avg(ln(1 + meter_reading)) AS m FROM featured WHERE is_train",
     te="""SELECT primary_use, hour, (count(*) * avg(ln(1 + meter_reading)) + 30 * any_value(m)) / (count(*) + 30) AS te
         FROM featured, overall WHERE is_train GROUP BY primary_use, hour""",
 )
-_OUT = [c for c in _FEATURES if c not in ("te_primary_use_x_hour", "is_holiday")]
+_OUT = [c for c in _FEATURES if c != "te_primary_use_x_hour"]
 
 
 @query(

@@ -288,33 +288,34 @@ def time_features(spark, d):
     return out.select("event_type", stamp("ts"), "hour", "dayofweek", "month", "is_weekend", "is_holiday", *waves)
 
 
-_EASTER = """WITH a AS (SELECT y, y % 19 AS g, y // 100 AS c, y % 100 AS q FROM (SELECT unnest(generate_series(1990, 2030)) AS y)),
+EASTER = """WITH a AS (SELECT y, y % 19 AS g, y // 100 AS c, y % 100 AS q FROM (SELECT unnest(generate_series(1990, 2030)) AS y)),
     b AS (SELECT *, (19 * g + c - c // 4 - (c - (c + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a),
     e AS (SELECT *, (32 + 2 * (c % 4) + 2 * (q // 4) - h - q % 4) % 7 AS l FROM b),
     f AS (SELECT *, h + l - 7 * ((g + 11 * h + 22 * l) // 451) + 114 AS k FROM e)
     SELECT make_date(y, k // 31, k % 31 + 1) AS sunday FROM f"""
 
 
+def site_holiday(time: str = "ts", site: str = "site_id") -> str:
+    """Whether a day is a public holiday at a site, over the frame `easter`."""
+    easter = f"{time} IN (SELECT sunday {{}} FROM easter)"
+    full, short = f"strftime({time}, '%Y-%m-%d')", f"strftime({time}, '%m-%d')"
+    month, day, weekday = f"month({time})", f"day({time})", f"isodow({time})"
+    return f"""CASE
+        WHEN {site} IN (1, 5) THEN ({easter.format('- 2')}
+            OR ({month} = 5 AND {weekday} = 1 AND ({day} <= 7 OR {day} >= 25) AND {full} NOT IN ('1995-05-01', '2002-05-27'))
+            OR {full} IN ('1995-05-08', '1999-12-31', '2002-06-03', '2002-06-04') OR {short} IN ('01-01', '12-25', '12-26')
+            OR ({month} = 1 AND {weekday} = 1 AND {day} IN (2, 3))
+            OR ({month} = 12 AND {weekday} = 1 AND {day} IN (27, 28)) OR ({month} = 12 AND {weekday} = 2 AND {day} IN (27, 28)))
+        WHEN {site} IN (7, 11) THEN ({easter.format('- 2')} OR {short} IN ('01-01', '07-01', '12-25')
+            OR ({month} = 9 AND {weekday} = 1 AND {day} <= 7))
+        WHEN {site} = 12 THEN ({easter.format('+ 1')} OR {short} IN ('01-01', '03-17', '12-25', '12-26')
+            OR ({weekday} = 1 AND (({month} IN (5, 6, 8) AND {day} <= 7) OR ({month} = 10 AND {day} >= 25))) OR {full} = '1999-12-31')
+        ELSE {us_holiday(time)} END"""
+
+
 @query(
     "holiday_flag",
-    on(
-        "daily",
-        f"""SELECT o_orderkey, site_id, CAST(CASE
-        WHEN site_id IN (1, 5) THEN (ts IN (SELECT sunday - 2 FROM easter)
-            OR (month(ts) = 5 AND isodow(ts) = 1 AND (day(ts) <= 7 OR day(ts) >= 25)
-                AND strftime(ts, '%Y-%m-%d') NOT IN ('1995-05-01', '2002-05-27'))
-            OR strftime(ts, '%Y-%m-%d') IN ('1995-05-08', '1999-12-31', '2002-06-03', '2002-06-04')
-            OR strftime(ts, '%m-%d') IN ('01-01', '12-25', '12-26')
-            OR (month(ts) = 1 AND isodow(ts) = 1 AND day(ts) IN (2, 3))
-            OR (month(ts) = 12 AND isodow(ts) = 1 AND day(ts) IN (27, 28)) OR (month(ts) = 12 AND isodow(ts) = 2 AND day(ts) IN (27, 28)))
-        WHEN site_id IN (7, 11) THEN (ts IN (SELECT sunday - 2 FROM easter) OR strftime(ts, '%m-%d') IN ('01-01', '07-01', '12-25')
-            OR (month(ts) = 9 AND isodow(ts) = 1 AND day(ts) <= 7))
-        WHEN site_id = 12 THEN (ts IN (SELECT sunday + 1 FROM easter) OR strftime(ts, '%m-%d') IN ('01-01', '03-17', '12-25', '12-26')
-            OR (isodow(ts) = 1 AND ((month(ts) IN (5, 6, 8) AND day(ts) <= 7) OR (month(ts) = 10 AND day(ts) >= 25)))
-            OR strftime(ts, '%Y-%m-%d') = '1999-12-31')
-        ELSE {us_holiday('ts')} END AS INTEGER) AS is_holiday FROM daily""",
-        easter=_EASTER,
-    ),
+    on("daily", f"SELECT o_orderkey, site_id, CAST({site_holiday()} AS INTEGER) AS is_holiday FROM daily", easter=EASTER),
 )
 def holiday_flag(spark, d):
     return features.with_holiday_flag(frames.daily(spark, d), "ts").select("o_orderkey", "site_id", "is_holiday")

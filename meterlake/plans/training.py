@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.functions.scalars import clip_real, from_log
+from meterlake.functions.metrics import score_columns
+from meterlake.functions.scalars import LOG_CEILING, clip_real, from_log
 from meterlake.operators import evaluate
 from meterlake.operators.joins import compare_runs, group_mean_lookup
 from meterlake.operators.models import REGISTRY, Regressor
@@ -21,20 +23,30 @@ from meterlake.sources.tables import PredictionStore
 GROUPS = ("primary_use", "meter_name", "site_id")
 
 
-def baseline_group_mean(train: DataFrame, val: DataFrame, keys: Sequence[str], value: str = "meter_reading") -> DataFrame:
-    """Predict the training mean of the meter, else of all meters."""
+def baseline_group_mean(
+    train: DataFrame, val: DataFrame, keys: Sequence[str], value: str = "meter_reading", ceiling: float | None = LOG_CEILING
+) -> DataFrame:
+    """Predict the training mean of the meter, else of all meters. `ceiling` limits actual and predicted readings on the
+    log scale, as for models of the log; None limits them from below only, as for models of the reading."""
     rows = group_mean_lookup(train, val, keys, value, "_mean")
-    return rows.withColumns({"y_true": clip_real(value), "y_pred": clip_real("_mean")}).drop("_mean")
+    return rows.withColumns({"y_true": clip_real(value, ceiling), "y_pred": clip_real("_mean", ceiling)}).drop("_mean")
 
 
-def baseline_lag(val: DataFrame, value: str = "meter_reading", lag: str = "lag_24h") -> DataFrame:
+def baseline_lag(
+    val: DataFrame, value: str = "meter_reading", lag: str = "lag_24h", ceiling: float | None = LOG_CEILING
+) -> DataFrame:
     """Predict the lagged reading, else the median of the validation readings."""
     median = global_quantiles(val, value, [0.5]).select(F.col("q")[0])
-    return val.withColumns({"y_true": clip_real(value), "y_pred": clip_real(F.coalesce(F.col(lag), median.scalar()))})
+    pred = F.coalesce(F.col(lag), median.scalar())
+    return val.withColumns({"y_true": clip_real(value, ceiling), "y_pred": clip_real(pred, ceiling)})
 
 
-def real_scale(predicted: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Actual and predicted readings from the log scale, both limited to its range."""
+def real_scale(
+    predicted: DataFrame, label: str = "label", prediction: str = "prediction", log_target: bool = True
+) -> DataFrame:
+    """Actual and predicted readings: back from the log scale, both limited to its range, or as they are, not below 0."""
+    if not log_target:
+        return predicted.withColumns({"y_true": clip_real(label, None), "y_pred": clip_real(prediction, None)})
     return predicted.withColumns({"y_true": from_log(label), "y_pred": from_log(prediction)})
 
 
@@ -59,9 +71,10 @@ def train_all(
     keys = [*prep.series.keys, *prep.series.order]
     about: dict[str, dict] = {}
     context = [c for c in (*keys, "site_id", "primary_use") if c in prep.val.columns]
-    baselines = {"baseline_group_mean": baseline_group_mean(prep.train, prep.val, prep.series.keys)}
+    ceiling = LOG_CEILING if prep.log_target else None
+    baselines = {"baseline_group_mean": baseline_group_mean(prep.train, prep.val, prep.series.keys, ceiling=ceiling)}
     if "lag_24h" in prep.val.columns:
-        baselines["baseline_lag_24h"] = baseline_lag(prep.val)
+        baselines["baseline_lag_24h"] = baseline_lag(prep.val, ceiling=ceiling)
     for name, rows in baselines.items():
         if refit or not store.has(name):
             store.save(name, rows.select(*context, "y_true", "y_pred"))
@@ -73,7 +86,7 @@ def train_all(
         about[name] = {"family": made.family, "train_seconds": None, "importance": None}
         if refit or not store.has(name):
             made.fit(prep.train, prep.features, time_col=prep.series.time)
-            store.save(name, real_scale(made.predict(prep.val)).select(*context, "y_true", "y_pred"))
+            store.save(name, real_scale(made.predict(prep.val), log_target=prep.log_target).select(*context, "y_true", "y_pred"))
             about[name].update(train_seconds=made.train_seconds, importance=made.feature_importance())
     predictions = store.load_all().where(F.col("model").isin(*about))
     # a later run may replace the stored predictions
@@ -91,7 +104,7 @@ def results_table(scores: DataFrame, about: dict[str, dict]) -> DataFrame:
 def score_model(model: Regressor, prep: Prepared, train: DataFrame | None = None) -> dict:
     """Fit on `train` (by default the whole fold) and score on validation."""
     model.fit(prep.train if train is None else train, prep.features, time_col=prep.series.time)
-    scored = evaluate.score_overall(real_scale(model.predict(prep.val))).first().asDict()
+    scored = evaluate.score_overall(real_scale(model.predict(prep.val), log_target=prep.log_target)).first().asDict()
     return {"model": model.name, "train_seconds": model.train_seconds, **scored}
 
 
@@ -114,7 +127,7 @@ def ablation(prep_of: Callable[[str], Prepared], models: dict[str, dict]) -> Dat
 
 
 def sample_complexity(
-    prep: Prepared, models: dict[str, dict], shares: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 1.0), at_least: int = 1000
+    prep: Prepared, models: dict[str, dict], shares: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 1.0), at_least: int = 1
 ) -> DataFrame:
     """Scores of models trained on growing chronological prefixes."""
     rows = []
@@ -139,44 +152,64 @@ def imputation_experiment(
     return _as_table(spark, rows, "strategy string, n_train long, " + SCORE_SCHEMA)
 
 
-def segment_vs_global(
+def segment_predictions(
     train: DataFrame,
     val: DataFrame,
     features: Sequence[str],
     segment: str,
     model: str = "boosted_trees",
     min_train: int = 1000,
-    min_val: int = 1,
     time_col: str = "timestamp",
+    log_target: bool = True,
+    most: int = 200,
     **params,
 ) -> DataFrame:
-    """RMSE per segment of a model of its own and of one model for all, with the gain.
+    """Validation rows with y_true and y_pred, by `model`: "global" for one model of all rows, "own" for a model per
+    segment. Segments of fewer than `min_train` training rows have no model of their own.
 
-    Segments (clusters or uses) are few; each fit is a distributed job on its rows. Segments with too few rows
-    are left out.
+    Each own model is a distributed job of its own; more than `most` segments are an error.
     """
     train, val = durable(train), durable(val)
-    sizes = train.groupBy(segment).agg(F.count(F.lit(1)).alias("n_train")).join(
-        val.groupBy(segment).agg(F.count(F.lit(1)).alias("n_val")), segment
-    )
-    chosen = sizes.where((F.col("n_train") >= min_train) & (F.col("n_val") >= min_val)).orderBy(segment).collect()
+    rows = train.groupBy(segment).count().where(F.col("count") >= min_train).orderBy(segment).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} segments to fit")
     shared = REGISTRY[model](**params).fit(train, features, time_col=time_col)
-    scored = [real_scale(shared.predict(val)).select(segment, "y_true", "y_pred", F.lit("global").alias("model"))]
-    for row in chosen:
-        own = REGISTRY[model](**params).fit(train.where(F.col(segment) == row[segment]), features, time_col=time_col)
-        rows = own.predict(val.where(F.col(segment) == row[segment]))
-        scored.append(real_scale(rows).select(segment, "y_true", "y_pred", F.lit("own").alias("model")))
-    both = scored[0]
-    for frame in scored[1:]:
-        both = both.unionByName(frame)
-    covered = both.where(F.col(segment).isin([row[segment] for row in chosen]))
-    return evaluate.compare_models(covered, segment, "own", "global")
+    scored = [(shared.predict(val), "global")]
+    for row in rows:
+        here = F.col(segment).eqNullSafe(F.lit(row[segment]))
+        own = REGISTRY[model](**params).fit(train.where(here), features, time_col=time_col)
+        scored.append((own.predict(val.where(here)), "own"))
+    frames = [
+        real_scale(p, log_target=log_target).select(segment, "y_true", "y_pred", F.lit(name).alias("model")) for p, name in scored
+    ]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def compare_segments(predictions: DataFrame, segment: str) -> DataFrame:
+    """Per segment, and for all segments that have both models (`segment` null, `pooled` true): rows, RMSE, MAE, CV-RMSE and
+    RMSLE of the own and of the global model, and the gain in RMSE. A segment without a model of its own keeps its row
+    with the scores of the global one."""
+    known = predictions.where(F.col("model") == "own").select(F.col(segment).alias("_own")).distinct()
+    both = predictions.join(known, F.col(segment).eqNullSafe(F.col("_own")), "left_semi")
+    errors = [F.count(F.lit(1)).alias("n"), *score_columns()]
+    scored = predictions.groupBy(segment, "model").agg(*errors).withColumn("pooled", F.lit(False))
+    none = F.lit(None).cast(predictions.schema[segment].dataType)
+    whole = both.groupBy("model").agg(*errors).withColumns({segment: none, "pooled": F.lit(True)})
+    metrics = ("n", "rmse", "mae", "cv_rmse", "rmsle")
+    pick = lambda name, c: F.max(F.when(F.col("model") == name, F.col(c))).alias(f"{c}_{name}")
+    wide = scored.unionByName(whole).groupBy(segment, "pooled").agg(*[pick(m, c) for m in ("own", "global") for c in metrics])
+    return wide.withColumn("gain", F.col("rmse_global") - F.col("rmse_own"))
+
+
+def segment_vs_global(train: DataFrame, val: DataFrame, features: Sequence[str], segment: str, *args, **params) -> DataFrame:
+    """`compare_segments` of `segment_predictions`."""
+    return compare_segments(durable(segment_predictions(train, val, features, segment, *args, **params)), segment)
 
 
 def cluster_meters(prep: Prepared, ks: Sequence[int], seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Labels of all meters and the elbow curve; meters seen only in validation join the nearest centroid."""
     keys = list(prep.series.keys)
-    profiles = consumption_profiles(prep.train, keys, prep.series.time)
+    profiles = durable(consumption_profiles(prep.train, keys, prep.series.time))  # read by every fit
     curve = elbow_curve(profiles, ks, seed)
     model = fit_kmeans(profiles, int(pick_elbow(curve).first()["k"]), seed)
     labels = assign_clusters(model, profiles)

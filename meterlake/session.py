@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,17 +41,28 @@ def local_session(cores: str = "8", memory: str = "8g", app: str = "meterlake")
     return spark
 
 
+SHARED = "meterlake.shared.dir"  # a setting of a running session, for clusters that name no folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach: `spark.checkpoint.dir` as the cluster names it, else `meterlake.shared.dir`.
 
-    A machine-local folder is taken only where the cluster names none, as in tests.
+    A machine-local folder is taken only where neither is set and Spark runs in one process, as in tests. On a cluster
+    that is an error, since every executor would write to its own disk.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED, None)
     if named:
         return named
-    folder = os.path.join(tempfile.gettempdir(), "meterlake")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"{master} names no folder that all executors share: set spark.checkpoint.dir, or {SHARED}")
+    return os.path.join(tempfile.gettempdir(), "meterlake")
+
+
+def cut_lineage(spark: SparkSession) -> None:
+    """Make sure that jobs which checkpoint as they go, such as tree fits, have a shared folder to do so."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{_scratch_folder(spark)}/checkpoints")
 
 
 def _scratch_folder(spark: SparkSession) -> str:
