@@ -11,16 +11,26 @@ def pairs(spark, true, pred):
     return spark.createDataFrame(list(zip(map(float, true), map(float, pred))), "y_true double, y_pred double")
 
 
-def test_perfect_and_known_errors(spark):
-    perfect = evaluate.score_overall(pairs(spark, [1, 2, 3], [1, 2, 3])).first()
-    assert (perfect.rmse, perfect.mae, perfect.rmsle, perfect.n) == (0, 0, 0, 3)
-    ones = evaluate.score_overall(pairs(spark, [0, 0, 0], [1, 1, 1])).first()
-    assert ones.rmse == pytest.approx(1) and ones.cv_rmse is None
-    known = evaluate.score_overall(pairs(spark, [10, 20, 30], [12, 18, 35])).first()
-    rmse = np.sqrt(np.mean(np.array([2, 2, 5.0]) ** 2))
-    assert known.cv_rmse == pytest.approx(rmse / 20) and known.rmse == pytest.approx(rmse)
-    want = np.sqrt(np.mean((np.log1p([12, 18, 35]) - np.log1p([10, 20, 30])) ** 2))
-    assert known.rmsle == pytest.approx(want)
+def test_errors_equal_numpy(spark):
+    rng = np.random.default_rng(41)
+    true, pred = rng.gamma(2, 30, 250), rng.gamma(2, 30, 250) - 8
+    got = evaluate.score_overall(pairs(spark, true, pred)).first()
+    gap = true - pred
+    log_gap = np.log1p(np.maximum(pred, 0)) - np.log1p(true)
+    want = (250, np.sqrt((gap**2).mean()), abs(gap).mean(), np.sqrt((gap**2).mean()) / true.mean(), np.sqrt((log_gap**2).mean()))
+    assert tuple(got[c] for c in ("n", "rmse", "mae", "cv_rmse", "rmsle")) == pytest.approx(want, rel=1e-12)
+    same = evaluate.score_overall(pairs(spark, true, true)).first()
+    assert same.rmse == same.mae == same.cv_rmse == same.rmsle == 0
+
+
+def test_errors_scale_with_the_unit(spark):
+    rng = np.random.default_rng(42)
+    true, pred = rng.uniform(5, 6, 40), rng.uniform(4, 7, 40)
+    a = evaluate.score_overall(pairs(spark, true, pred)).first()
+    b = evaluate.score_overall(pairs(spark, 1000 * true, 1000 * pred)).first()
+    assert (b.rmse, b.mae, b.cv_rmse) == pytest.approx((1000 * a.rmse, 1000 * a.mae, a.cv_rmse))
+    balanced = evaluate.score_overall(pairs(spark, [-4, 4, 0], [1, 1, 1])).first()
+    assert balanced.cv_rmse is None  # the mean of the actual values is 0
 
 
 def test_scores_of_nothing_are_null(spark):

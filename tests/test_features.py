@@ -15,19 +15,13 @@ S = Series()
 
 @pytest.fixture(scope="module")
 def toy(spark):
-    rng = np.random.default_rng(0)
-    stamps = pd.date_range("2016-01-01", periods=240, freq="h")
-    rows = pd.concat(
-        [
-            pd.DataFrame(
-                {"building_id": b, "meter": m, "site_id": 1, "primary_use": "Education", "timestamp": stamps,
-                 "meter_reading": rng.uniform(0, 50, len(stamps))}
-            )
-            for b in range(2)
-            for m in range(2)
-        ]
-    )
-    return spark.createDataFrame(rows)
+    """Three series of different lengths with gaps in time, in random order of rows."""
+    rng = np.random.default_rng(77)
+    parts = []
+    for b, m, n in ((11, 0, 400), (11, 3, 190), (12, 1, 260)):
+        stamps = pd.date_range("2017-11-20", periods=2 * n, freq="h")[np.sort(rng.choice(2 * n, n, replace=False))]
+        parts.append(pd.DataFrame({"building_id": b, "meter": m, "site_id": b - 9, "primary_use": f"use{b}", "timestamp": stamps, "meter_reading": rng.gamma(2, 9, n)}))
+    return spark.createDataFrame(pd.concat(parts).sample(frac=1, random_state=1))
 
 
 def by_series(df):
@@ -35,28 +29,33 @@ def by_series(df):
     return [g for _, g in out.groupby(["building_id", "meter"])]
 
 
-def test_cyclical_bounds(toy):
+def test_waves_lie_on_the_circle_and_parts_follow_the_calendar(toy):
     out = features.add_time_features(toy).toPandas()
-    waves = out[[f"{c}_{s}" for c in ("hour", "dayofweek", "month") for s in ("sin", "cos")]]
-    assert waves.abs().max().max() <= 1 + 1e-12
-    assert set(out.is_weekend) == {0, 1} and set(out.is_holiday) <= {0, 1}
+    for c, period in (("hour", 24), ("dayofweek", 7), ("month", 12)):
+        np.testing.assert_allclose(out[f"{c}_sin"] ** 2 + out[f"{c}_cos"] ** 2, 1, rtol=1e-12)
+        angle = np.mod(np.arctan2(out[f"{c}_sin"], out[f"{c}_cos"]) * period / (2 * np.pi), period)
+        np.testing.assert_allclose(np.minimum(abs(angle - out[c] % period), period - abs(angle - out[c] % period)), 0, atol=1e-9)
     stamps = pd.DatetimeIndex(out.timestamp)
-    assert (out.dayofweek.to_numpy() == stamps.dayofweek).all()
-    assert (out.hour.to_numpy() == stamps.hour).all()
+    for c in ("hour", "dayofweek", "month"):
+        assert (out[c].to_numpy() == getattr(stamps, c)).all()
+    assert (out.is_weekend.to_numpy() == (stamps.dayofweek >= 5)).all() and set(out.is_holiday) <= {0, 1}
 
 
-def test_lags_equal_shift(toy):
-    for g in by_series(features.add_lag_features(toy, S)):
-        for k in (24, 168):
+@pytest.mark.parametrize("lags", [(1, 2), (5, 60), (24, 168)])
+def test_lags_equal_shift(toy, lags):
+    for g in by_series(features.add_lag_features(toy, S, lags=lags)):
+        for k in lags:
             np.testing.assert_allclose(g[f"lag_{k}h"], g.meter_reading.shift(k), rtol=1e-12)
-        np.testing.assert_allclose(g.lag_diff_24h, g.meter_reading.shift(24) - g.meter_reading.shift(168), rtol=1e-9)
+    if lags == (24, 168):
+        for g in by_series(features.add_lag_features(toy, S)):
+            np.testing.assert_allclose(g.lag_diff_24h, g.lag_24h - g.lag_168h, rtol=1e-9)
 
 
 def test_lag_difference_needs_both_lags(toy):
     assert "lag_diff_24h" not in features.add_lag_features(toy, S, lags=(24,)).columns
 
 
-@pytest.mark.parametrize("window", [1, 5, 24, 168])
+@pytest.mark.parametrize("window", [1, 6, 33, 150])
 def test_rolling_equals_pandas_and_skips_the_current_row(toy, window):
     gaps = toy.withColumn("meter_reading", F.when(F.pmod(F.hash("timestamp", "meter"), F.lit(4)) != 0, F.col("meter_reading")))
     for source in (toy, gaps):
@@ -102,28 +101,30 @@ def test_interactions_follow_the_columns_present(spark):
     assert features.add_interaction_features(df.select("hour")).columns == ["hour"]
 
 
-def test_encoder_has_no_nulls_and_knows_only_training_rows(toy):
+def test_encoding_is_the_smoothed_mean_of_training_rows(toy):
     timed = features.add_time_features(toy)
-    train, val = timed.where("timestamp < '2016-01-08'"), timed.where("timestamp >= '2016-01-08'")
-    encoder = TargetEncoder(["primary_use", "hour"], smoothing=10).fit(train)
-    out = encoder.transform(val)
-    assert encoder.column == "te_primary_use_x_hour"
-    assert out.where(F.col(encoder.column).isNull()).count() == 0 and out.count() == val.count()
-    rows = train.toPandas()
+    train, val = timed.where("month = 11"), timed.where("month = 12")
+    encoder = TargetEncoder(["primary_use", "hour"], smoothing=4).fit(train)
+    out, rows = encoder.transform(val).toPandas(), train.toPandas()
     logs = np.log1p(rows.meter_reading)
-    cell = logs[rows.hour == 3]
-    want = (cell.sum() + 10 * logs.mean()) / (len(cell) + 10)
-    assert out.where("hour = 3").first()[encoder.column] == pytest.approx(want, rel=1e-9)
-
-
-def test_unseen_key_gets_the_overall_mean(spark, tmp_path):
-    train = spark.createDataFrame([("Education", h, 10.0) for h in range(24)], "primary_use string, hour int, meter_reading double")
-    val = spark.createDataFrame([("Healthcare", 10, 50.0), (None, 10, 50.0)], train.schema)
-    encoder = TargetEncoder(["primary_use", "hour"], smoothing=5).fit(train)
+    cells = logs.groupby([rows.primary_use, rows.hour]).agg(["sum", "count"])
+    want = ((cells["sum"] + 4 * logs.mean()) / (cells["count"] + 4)).to_dict()
+    got = out[encoder.column]
+    np.testing.assert_allclose(got, [want.get((u, h), logs.mean()) for u, h in zip(out.primary_use, out.hour)], rtol=1e-9)
+    assert len(out) == val.count()
+
+
+def test_saved_encoder_gives_the_same_and_unknown_keys_the_overall_mean(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(u, int(h), float(v)) for u, h, v in zip(rng.choice(["Office", "Lab", "Dorm"], 300), rng.integers(0, 6, 300), rng.gamma(2, 5, 300))]
+    train = spark.createDataFrame(rows, "primary_use string, hour int, meter_reading double")
+    val = spark.createDataFrame([("Garage", 2, 1.0), (None, 2, 1.0), ("Lab", 17, 1.0), ("Lab", 2, 1.0)], train.schema)
+    encoder = TargetEncoder(["primary_use", "hour"], smoothing=3).fit(train)
     encoder.save(str(tmp_path / "encoder"))
-    again = TargetEncoder(["primary_use", "hour"], smoothing=5).load(spark, str(tmp_path / "encoder"))
-    for e in (encoder, again):
-        assert [r.te_primary_use_x_hour for r in e.transform(val).collect()] == pytest.approx([np.log1p(10)] * 2)
+    again = TargetEncoder(["primary_use", "hour"], smoothing=3).load(spark, str(tmp_path / "encoder"))
+    got, same = ([r[encoder.column] for r in e.transform(val).collect()] for e in (encoder, again))
+    overall = np.mean([np.log1p(v) for _, _, v in rows])
+    assert sorted(got) == pytest.approx(sorted(same)) and sum(abs(x - overall) < 1e-9 for x in got) == 3
 
 
 def test_encoder_errors(spark):
