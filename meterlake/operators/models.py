@@ -6,17 +6,21 @@ Fitting is Spark ML's. Predictions come as a column next to the keys of a row, o
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.metrics import rmse
-from meterlake.functions.scalars import seconds
+from meterlake.functions.scalars import from_log, seconds
 from meterlake.operators.quantiles import global_quantiles
 from meterlake.operators.split import with_fold_block
+from meterlake.session import cut_lineage
 
 VECTOR = "_features"
 
@@ -108,21 +112,10 @@ class _Linear(Regressor):
         return dict(zip(self.scaler.kept, map(float, self.model.coefficients)))
 
     @staticmethod
-    def _solve(rows: DataFrame, alpha: float = 0.0, l1_ratio: float = 0.0, per_row: bool = True):
-        """Fit with a penalty on the textbook scale.
-
-        Spark divides by the deviation of the label, which weakens the squared part by that factor. `per_row`
-        is the penalty against the mean error (lasso, elastic net), otherwise against the sum (ridge).
-        """
-        l1 = alpha * l1_ratio
-        l2 = alpha * (1 - l1_ratio)
-        if l2:
-            n, spread = rows.agg(F.count(F.lit(1)), F.stddev_pop("_label")).first()
-            l2 *= (spread or 1.0) / (1 if per_row else n)
-        total = l1 + l2
+    def _solve(rows: DataFrame):
+        """Least squares without a penalty."""
         return LinearRegression(
-            featuresCol=VECTOR, labelCol="_label", predictionCol="_prediction", standardization=False,
-            regParam=total, elasticNetParam=l1 / total if total else 0.0, solver="normal", maxIter=500, tol=1e-8,
+            featuresCol=VECTOR, labelCol="_label", predictionCol="_prediction", standardization=False, solver="normal",
         ).fit(rows)
 
 
@@ -136,46 +129,121 @@ class OLS(_Linear):
         return model
 
 
+class Line:
+    """A fitted linear model that scores with built-in functions."""
+
+    def __init__(self, coefficients: np.ndarray, intercept: float):
+        self.coefficients, self.intercept = coefficients, float(intercept)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        weights = F.array(*[F.lit(float(c)) for c in self.coefficients])
+        parts = F.zip_with(vector_to_array(VECTOR), weights, lambda x, w: x * w)
+        return df.withColumn("_prediction", F.aggregate(parts, F.lit(self.intercept), lambda total, x: total + x))
+
+
+def moments(df: DataFrame, columns: Sequence[str], by: str) -> dict[int, np.ndarray]:
+    """By value of `by`: the sums of products of all pairs of (1, *columns), in one pass.
+
+    Each task adds up its batches; the sums of the tasks meet by block and place. A few hundred numbers per block come to
+    the driver.
+    """
+    width = len(columns) + 1
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            x = np.column_stack([np.ones(len(block)), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])])
+            for b in np.unique(block):
+                part = x[block == b]
+                total[int(b)] = total.get(int(b), 0) + part.T @ part
+        rows = [pa.array(list(total), pa.int32()), pa.array([m.ravel().tolist() for m in total.values()], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(rows, names=["block", "m"])
+
+    rows = df.select(F.col(by).cast("int").alias("block"), *[F.col(c).cast("double") for c in columns])
+    cells = rows.mapInArrow(gram, "block int, m array<double>").select("block", F.posexplode("m").alias("at", "x"))
+    out: dict[int, np.ndarray] = {}
+    for r in cells.groupBy("block", "at").agg(F.sum("x").alias("x")).collect():
+        out.setdefault(r["block"], np.zeros(width * width))[r["at"]] = r["x"]
+    if any(np.isnan(m).any() for m in out.values()):
+        raise ValueError("a feature or the label is null")
+    return {b: m.reshape(width, width) for b, m in out.items()}
+
+
+def elastic_line(m: np.ndarray, alpha: float, l1_ratio: float, per_row: bool, rounds: int = 10_000, tol: float = 1e-12) -> Line:
+    """The penalised least-squares line of rows with the moments `m` (1, features, label), by coordinate descent.
+
+    `per_row`: half the mean squared error plus alpha (l1 |w| + (1 - l1) / 2 w w), as for lasso and elastic net; otherwise
+    the sum of squared errors plus alpha w w, as for ridge.
+    """
+    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+    centred = m[1:, 1:] / n - np.outer(mean, mean)
+    gram, cross = centred[:-1, :-1], centred[:-1, -1]
+    l1, l2 = (alpha * l1_ratio, alpha * (1 - l1_ratio)) if per_row else (0.0, alpha / n)
+    w = np.zeros(len(cross))
+    if not l1:
+        w = np.linalg.lstsq(gram + l2 * np.eye(len(w)), cross, rcond=None)[0]
+    else:
+        for _ in range(rounds):
+            before = w.copy()
+            for j in range(len(w)):
+                rest = cross[j] - gram[j] @ w + gram[j, j] * w[j]
+                w[j] = np.sign(rest) * max(abs(rest) - l1, 0.0) / (gram[j, j] + l2) if gram[j, j] + l2 > 0 else 0.0
+            if np.abs(w - before).max(initial=0.0) <= tol * max(1.0, np.abs(w).max(initial=0.0)):
+                break
+    return Line(w, mean[-1] - mean[:-1] @ w)
+
+
+def squared_error(m: np.ndarray, line: Line) -> float:
+    """Sum of squared errors of the line over rows with the moments `m`."""
+    v = np.concatenate(([-line.intercept], -line.coefficients, [1.0]))
+    return float(max(v @ m @ v, 0.0))
+
+
 class _Penalised(_Linear):
-    """Chooses the penalty on expanding folds cut by time, then fits on all rows."""
+    """Chooses the penalty on expanding folds cut by time, then fits on all rows.
+
+    The rows are read once, for the moments of every block of time. All penalties, ratios and folds are solved from these.
+    """
 
     per_row = True
+    # The penalties to choose from.
     default_alphas = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
     ratios: tuple[float, ...] = (0.0,)
 
     def _candidates(self):
         return [(a, r) for r in self._setting("l1_ratios", self.ratios) for a in self._setting("alphas", self.default_alphas)]
 
-    def _loss(self, scored: DataFrame):
-        raise NotImplementedError
+    def _loss(self, m: np.ndarray, line: Line) -> float:
+        """The mean squared error."""
+        return squared_error(m, line) / m[0, 0]
 
     def _train(self, df, label, time_col):
         splits = self._setting("cv", 3)
-        rows = self._scaled(df, label, time_col)
-        blocks = with_fold_block(rows, splits, "_time").persist()
+        self.scaler = Standardizer().fit(df, self.features)
+        known = self.scaler.transform(df.select(*self.scaler.kept, F.col(label).alias("_label"), F.col(time_col).alias("_time")))
+        blocks = moments(with_fold_block(known, splits, "_time"), [*self.scaler.kept, "_label"], "block")
+        whole = sum(blocks.values())
         losses = {}
-        for alpha, ratio in self._candidates():
+        for candidate in self._candidates():
             per_fold = []
             for fold in range(1, splits + 1):
-                model = self._solve(blocks.where(F.col("block") < fold), alpha, ratio, self.per_row)
-                scored = model.transform(blocks.where(F.col("block") == fold))
-                per_fold.append(scored.agg(self._loss(scored)).first()[0])
-            losses[alpha, ratio] = sum(per_fold) / splits
+                earlier = [m for b, m in blocks.items() if b < fold]
+                if earlier and fold in blocks:
+                    per_fold.append(self._loss(blocks[fold], elastic_line(sum(earlier), *candidate, self.per_row)))
+            losses[candidate] = sum(per_fold) / max(1, len(per_fold))
         self.chosen = min(losses, key=losses.get)
-        model = self._solve(rows, *self.chosen, self.per_row)
-        blocks.unpersist()
-        rows.unpersist()
-        return model
+        return elastic_line(whole, *self.chosen, self.per_row)
 
 
 class Ridge(_Penalised):
     name = "ridge"
     per_row = False
 
-    def _loss(self, scored):
-        # 1 - R2, so the best R2 has the smallest loss
-        gap = F.col("_label") - F.col("_prediction")
-        return F.sum(gap * gap) / F.nullif(F.count(F.lit(1)) * F.var_pop("_label"), F.lit(0.0))
+    def _loss(self, m, line):
+        """1 - R2, so the best R2 has the smallest loss."""
+        spread = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+        return squared_error(m, line) / spread if spread > 0 else 0.0
 
 
 class Lasso(_Penalised):
@@ -185,15 +253,11 @@ class Lasso(_Penalised):
     def _candidates(self):
         return [(a, 1.0) for a in self._setting("alphas", self.default_alphas)]
 
-    def _loss(self, scored):
-        gap = F.col("_label") - F.col("_prediction")
-        return F.avg(gap * gap)
-
 
-class ElasticNet(Lasso):
+class ElasticNet(_Penalised):
     name = "elasticnet"
+    # The shares of the absolute penalty to choose from.
     ratios = (0.1, 0.3, 0.5, 0.7, 0.9)
-    _candidates = _Penalised._candidates
 
 
 class _Tree(Regressor):
@@ -207,6 +271,7 @@ class _Tree(Regressor):
         )
 
     def _rows(self, df, label, *more) -> DataFrame:
+        cut_lineage(df.sparkSession)  # for checkpointInterval
         return self._vectors(df).select(VECTOR, F.col(label).alias("_label"), *more)
 
     def feature_importance(self) -> dict[str, float]:
@@ -255,12 +320,15 @@ REGISTRY: dict[str, Callable[..., Regressor]] = {
 }
 
 
-def depth_sweep(train: DataFrame, val: DataFrame, features: Sequence[str], depths: Sequence[int], label: str = "label", **params) -> DataFrame:
-    """Validation RMSE (of the label) and fit time of a decision tree per depth."""
+def depth_sweep(train: DataFrame, val: DataFrame, features: Sequence[str], depths: Sequence[int], label: str = "label", log_target: bool = True, **params) -> DataFrame:
+    """Validation RMSE of the reading and fit time of a decision tree per depth; the label is its log where `log_target`."""
     rows = []
     for depth in depths:
         tree = DecisionTree(max_depth=depth, **params).fit(train, features, label)
-        error = tree.predict(val).agg(rmse(label, "prediction")).first()[0]
+        scored = tree.predict(val)
+        if log_target:
+            scored = scored.withColumns({label: from_log(label), "prediction": from_log("prediction")})
+        error = scored.agg(rmse(label, "prediction")).first()[0]
         rows.append((depth, error, tree.train_seconds))
     return train.sparkSession.createDataFrame(rows, "max_depth int, rmse double, train_seconds double")
 

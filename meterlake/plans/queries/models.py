@@ -86,17 +86,17 @@ def fit_ols(spark, d):
 
 @query("fit_ridge")
 def fit_ridge(spark, d):
-    return scored(spark, d, "ridge", alphas=[0.1, 10.0], cv=2)
+    return scored(spark, d, "ridge")
 
 
 @query("fit_lasso")
 def fit_lasso(spark, d):
-    return scored(spark, d, "lasso", alphas=[0.001, 0.1], cv=2)
+    return scored(spark, d, "lasso")
 
 
 @query("fit_elasticnet")
 def fit_elasticnet(spark, d):
-    return scored(spark, d, "elasticnet", alphas=[0.001], l1_ratios=[0.3, 0.7], cv=2)
+    return scored(spark, d, "elasticnet")
 
 
 @query("fit_tree_sweep")
@@ -174,7 +174,7 @@ def kmeans_centroids(spark, d):
 
 @query("kmeans_elbow")
 def kmeans_elbow(spark, d):
-    return segments.elbow_curve(profiles(spark, d), range(2, 6))
+    return segments.elbow_curve(profiles(spark, d), range(2, 11))
 
 
 @query(

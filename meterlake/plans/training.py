@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
@@ -70,23 +71,25 @@ def train_all(
     prep = prep.stored()
     keys = [*prep.series.keys, *prep.series.order]
     about: dict[str, dict] = {}
+    folds = json.dumps([r.asDict() for r in prep.summary().orderBy("fold").collect()] + [prep.log_target], default=str)  # two rows
     context = [c for c in (*keys, "site_id", "primary_use") if c in prep.val.columns]
     ceiling = LOG_CEILING if prep.log_target else None
     baselines = {"baseline_group_mean": baseline_group_mean(prep.train, prep.val, prep.series.keys, ceiling=ceiling)}
     if "lag_24h" in prep.val.columns:
         baselines["baseline_lag_24h"] = baseline_lag(prep.val, ceiling=ceiling)
     for name, rows in baselines.items():
-        if refit or not store.has(name):
-            store.save(name, rows.select(*context, "y_true", "y_pred"))
+        if refit or not store.has(name, folds):
+            store.save(name, rows.select(*context, "y_true", "y_pred"), folds)
         about[name] = {"family": "baseline", "train_seconds": None, "importance": None}
     for name, params in models.items():
         if name in skip:
             continue
         made = REGISTRY[name](**params)
         about[name] = {"family": made.family, "train_seconds": None, "importance": None}
-        if refit or not store.has(name):
+        made_from = json.dumps([folds, params, prep.features], default=str, sort_keys=True)
+        if refit or not store.has(name, made_from):
             made.fit(prep.train, prep.features, time_col=prep.series.time)
-            store.save(name, real_scale(made.predict(prep.val), log_target=prep.log_target).select(*context, "y_true", "y_pred"))
+            store.save(name, real_scale(made.predict(prep.val), log_target=prep.log_target).select(*context, "y_true", "y_pred"), made_from)
             about[name].update(train_seconds=made.train_seconds, importance=made.feature_importance())
     predictions = store.load_all().where(F.col("model").isin(*about))
     # a later run may replace the stored predictions

@@ -6,17 +6,25 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from meterlake.sources import schemas
 
 
-def read_typed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Scan CSV (by header name) or Parquet and cast to `schema`; a missing column is an error."""
-    if path.rstrip("/").endswith((".csv", ".csv.gz")):
-        raw = spark.read.option("header", True).csv(path)
+def read_typed(spark: SparkSession, path: str, schema: StructType, format: str | None = None) -> DataFrame:
+    """Scan CSV (by header name) or Parquet and cast to `schema`; a missing column is an error.
+
+    Without `format` a path that ends in .csv or .csv.gz is CSV, and all others, folders too, are Parquet.
+    """
+    format = format or ("csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet")
+    if format == "csv":
+        # only the names are read ahead; the values get their types in the scan
+        names = spark.read.option("header", True).csv(path).columns
+        kinds = {f.name: f.dataType for f in schema}
+        given = StructType([StructField(n, kinds.get(n, StringType())) for n in names])
+        raw = spark.read.option("header", True).schema(given).csv(path)
     else:
-        raw = spark.read.parquet(path)
+        raw = spark.read.format(format).load(path)
     missing = [f.name for f in schema if f.name not in raw.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
@@ -29,16 +37,16 @@ def read_typed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     )
 
 
-def read_readings(spark: SparkSession, path: str) -> DataFrame:
-    return read_typed(spark, path, schemas.READINGS)
+def read_readings(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
+    return read_typed(spark, path, schemas.READINGS, format)
 
 
-def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    return read_typed(spark, path, schemas.WEATHER)
+def read_weather(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
+    return read_typed(spark, path, schemas.WEATHER, format)
 
 
-def read_meta(spark: SparkSession, path: str, reference_year: int = 2017) -> DataFrame:
-    return derive_meta(read_typed(spark, path, schemas.META), reference_year)
+def read_meta(spark: SparkSession, path: str, reference_year: int = 2017, format: str | None = None) -> DataFrame:
+    return derive_meta(read_typed(spark, path, schemas.META, format), reference_year)
 
 
 def derive_meta(meta: DataFrame, reference_year: int = 2017) -> DataFrame:
@@ -99,7 +107,11 @@ def read_nested(spark: SparkSession, path: str, schema: str | StructType) -> Dat
 
 
 class PredictionStore:
-    """Predictions by model, kept as Parquet and reused until a refit is asked for."""
+    """Predictions by model, kept as Parquet and reused until a refit is asked for.
+
+    `made_from` says what a prediction depends on, such as parameters, features and the ends of the folds. Predictions made
+    from something else count as missing.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -107,13 +119,24 @@ class PredictionStore:
     def _folder(self, model: str) -> str:
         return f"{self.path}/model={model}"
 
-    def has(self, model: str) -> bool:
+    def _exists(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{self._folder(model)}/_SUCCESS")
+        marker = jvm.org.apache.hadoop.fs.Path(path)
         return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
-    def save(self, model: str, predictions: DataFrame) -> DataFrame:
+    def _note(self, model: str) -> str:
+        return f"{self.path}/_made_from/{model}"  # a name with an underscore is no partition
+
+    def has(self, model: str, made_from: str = "") -> bool:
+        if not self._exists(f"{self._folder(model)}/_SUCCESS"):
+            return False
+        note = self._note(model)
+        return (self.spark.read.parquet(note).first()[0] if self._exists(f"{note}/_SUCCESS") else "") == made_from
+
+    def save(self, model: str, predictions: DataFrame, made_from: str = "") -> DataFrame:
         predictions.write.mode("overwrite").parquet(self._folder(model))
+        note = self.spark.createDataFrame([(made_from,)], "made_from string")
+        note.coalesce(1).write.mode("overwrite").parquet(self._note(model))
         return self.load(model)
 
     def load(self, model: str) -> DataFrame:
