@@ -45,6 +45,33 @@ def score_columns(true="y_true", pred="y_pred") -> list[Column]:
     ]
 
 
+def score_sums(true="y_true", pred="y_pred") -> list[Column]:
+    """What the four errors are made of, as sums that can be added up further: rows, rows with both values, ..."""
+    gap = col(true) - col(pred)
+    log_gap = F.log1p(clip(pred, 0.0)) - F.log1p(clip(true, 0.0))
+    return [
+        F.count(F.lit(1)).alias("_n"),
+        F.count(gap).alias("_known"),
+        F.sum(gap * gap).alias("_squares"),
+        F.sum(F.abs(gap)).alias("_gaps"),
+        F.count(col(true)).alias("_trues"),
+        F.sum(col(true)).alias("_true"),
+        F.sum(log_gap * log_gap).alias("_log_squares"),
+    ]
+
+
+def scores_of_sums() -> list[Column]:
+    """`score_columns` from `score_sums` that are added up."""
+    mean = lambda total, n: F.sum(total) / F.nullif(F.sum(n), F.lit(0))
+    root = F.sqrt(mean("_squares", "_known"))
+    return [
+        root.alias("rmse"),
+        mean("_gaps", "_known").alias("mae"),
+        (root / F.nullif(mean("_true", "_trues"), F.lit(0.0))).alias("cv_rmse"),
+        F.sqrt(mean("_log_squares", "_known")).alias("rmsle"),
+    ]
+
+
 def spread(true="y_true", pred="y_pred") -> Column:
     """The part of the RMSE that is not bias: sqrt(rmse^2 - bias^2), which is the deviation of the residuals."""
     return F.stddev_pop(col(pred) - col(true))

@@ -62,13 +62,16 @@ def evaluate_report(
 ) -> DataFrame:
     """Overall score and the score per value of each grouping column in one pass.
 
-    `group_kind` is the column name or `overall`. With `by`, such as the model, one report per combination.
+    `group_kind` is the column name or `overall`. With `by`, such as the model, one report per combination. Rows are
+    added up by all groups at once first, so that only these sums are repeated for every grouping.
     """
     by = list(by)
-    rows = df.select(*by, *[F.col(g).cast("string").alias(g) for g in groups], F.col(true).alias("y_true"), F.col(pred).alias("y_pred"))
+    kept = [*by, *[F.col(g).cast("string").alias(g) for g in groups]]
+    rows = df.select(*kept, F.col(true).alias("y_true"), F.col(pred).alias("y_pred"))
+    sums = rows.groupBy(*by, *groups).agg(*metrics.score_sums())
     sets = [[*by, g] for g in groups] + [by]
     marks = [F.grouping(g).alias(f"_{g}") for g in groups]
-    scored = rows.groupingSets(sets, *by, *groups).agg(*marks, _rows(), *metrics.score_columns())
+    scored = sums.groupingSets(sets, *by, *groups).agg(*marks, F.sum("_n").alias("n"), *metrics.scores_of_sums())
     in_set = [F.col(f"_{g}") == 0 for g in groups]
     kind = F.coalesce(*[F.when(m, F.lit(g)) for m, g in zip(in_set, groups)], F.lit("overall"))
     value = F.coalesce(*[F.when(m, F.col(g)) for m, g in zip(in_set, groups)])

@@ -54,23 +54,30 @@ def lookup(key: str | Column, entries: dict, default=None) -> Column:
     return F.coalesce(F.try_element_at(pairs, col(key)), F.lit(default))
 
 
-def with_holiday_flag(df: DataFrame, time: str = "timestamp") -> DataFrame:
-    """`is_holiday`: 1 on a public holiday of the site's country (US where no site is known)."""
-    country = lookup(F.col("site_id").cast("int"), SITE_COUNTRY, DEFAULT_COUNTRY) if "site_id" in df.columns else F.lit(DEFAULT_COUNTRY)
+def years_of(df: DataFrame, time: str = "timestamp") -> tuple[int, int]:
+    """The first and the last year of the rows."""
     ends = df.agg(F.min(F.year(time)), F.max(F.year(time))).first()
-    # about fifty rows a year, for the years between the ends of the data
-    days = F.broadcast(calendar(df.sparkSession, ends[0] or 1970, ends[1] or 1970))
+    return ends[0] or 1970, ends[1] or 1970
+
+
+def with_holiday_flag(df: DataFrame, time: str = "timestamp", years: tuple[int, int] | None = None) -> DataFrame:
+    """`is_holiday`: 1 on a public holiday of the site's country (US where no site is known).
+
+    `years`, the first and the last year of the rows, are looked up in the rows where they are not given.
+    """
+    country = lookup(F.col("site_id").cast("int"), SITE_COUNTRY, DEFAULT_COUNTRY) if "site_id" in df.columns else F.lit(DEFAULT_COUNTRY)
+    days = F.broadcast(calendar(df.sparkSession, *(years or years_of(df, time))))  # about fifty rows a year
     match = (country == days["holiday_country"]) & (F.to_date(df[time]) == days["holiday_day"])
     return df.join(days, match, "left").select(
         *[df[c] for c in df.columns], F.col("holiday_day").isNotNull().cast("int").alias("is_holiday")
     )
 
 
-def add_time_features(df: DataFrame, time: str = "timestamp") -> DataFrame:
+def add_time_features(df: DataFrame, time: str = "timestamp", years: tuple[int, int] | None = None) -> DataFrame:
     """Hour, weekday (Monday = 0), month, weekend and holiday flags, and the cyclical pairs."""
     out = df.withColumns({"hour": F.hour(time), "dayofweek": F.weekday(time), "month": F.month(time)})
     out = out.withColumn("is_weekend", (F.col("dayofweek") >= 5).cast("int"))
-    out = with_holiday_flag(out, time)
+    out = with_holiday_flag(out, time, years)
     return out.withColumns(
         {
             f"{c}_{shape}": wave(c, period, shape)

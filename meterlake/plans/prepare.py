@@ -73,7 +73,8 @@ def clean_history(
     if cap_rows is None:
         tidy = clean.cap_outliers(tidy, series, quantile=quantile)
     else:
-        caps = clean.series_caps(tidy.where(cap_rows), series.keys, quantile=quantile)
+        tidy = durable(tidy)  # read for the caps and for the rows
+        caps = durable(clean.series_caps(tidy.where(cap_rows), series.keys, quantile=quantile))
         tidy = clean.cap_at(tidy, caps, series.keys)
     return features.add_history_features(tidy, series, lags=lags, windows=windows)
 
@@ -111,8 +112,9 @@ def prepare(
 
     names: list[str] = []
     done = []
+    years = features.years_of(history, series.time)
     for fold in folds:
-        wide = features.add_time_features(join_context(fold, buildings, filled), series.time)
+        wide = features.add_time_features(join_context(fold, buildings, filled), series.time, years)
         wide = encoder.transform(features.add_interaction_features(wide))
         names = features.feature_set(wide, feature_set)
         # calendar features are null only where the time is

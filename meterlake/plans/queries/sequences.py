@@ -150,10 +150,11 @@ _CAPPED = """SELECT least(s.v, cap) AS v FROM (SELECT building_id, {v} AS v FROM
     ),
 )
 def imputation_strategies(spark, d):
-    rows = frames.zeros(spark, d)
+    rows = durable(frames.zeros(spark, d))  # four treatments read it
+    series = frames.ZEROS.measured(rows)
 
     def summed(strategy: str) -> DataFrame:
-        out = clean.apply_streak_strategy(rows, frames.ZEROS, strategy, "y", 2)
+        out = clean.apply_streak_strategy(rows, series, strategy, "y", 2)
         return out.agg(F.lit(strategy).alias("strategy"), F.count(F.lit(1)).alias("n"), r(F.sum("y"), 3, "total"))
 
     return reduce(DataFrame.unionByName, map(summed, clean.STRATEGIES))
