@@ -234,17 +234,25 @@ def regularize_hourly(spark, d):
 
 @query(
     "lookback_windows",
-    """SELECT user_id, event_id, value AS target, CAST(24 AS INTEGER) AS size, round(sum24 + 1e-9, 3) AS total, first24 AS first_value FROM (
-    SELECT *, row_number() OVER w AS rn, sum(value) OVER (w ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS sum24,
-    first_value(value) OVER (w ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS first24 FROM events
-    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE rn > 24 AND (rn - 1 - 24) % 6 = 0""",
+    on(
+        "hourly",
+        f"""SELECT event_type, {sstamp('ts')}, y AS target, CAST(168 AS INTEGER) AS size, {sr('ys', 3, 'total')}, y1 AS first_value,
+        CAST(ns AS BIGINT) AS events, {sr('hs', 3, 'hours')} FROM (
+        SELECT *, row_number() OVER w AS rn, sum(y) OVER back AS ys, first_value(y) OVER back AS y1, sum(n) OVER back AS ns,
+        sum(hour(ts)) OVER back AS hs FROM hourly
+        WINDOW w AS (PARTITION BY event_type ORDER BY ts), back AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING))
+        WHERE rn > 168 AND (rn - 1 - 168) % 6 = 0""",
+    ),
 )
 def lookback_windows(spark, d):
-    events = frames.table(spark, d, "events")
-    out = forecast.lookback_windows(events, frames.EVENTS, ["value"], "value", 24, 6)
-    total = F.aggregate("window", F.lit(0.0), lambda acc, row: acc + row["value"])
-    first = F.element_at("window", 1)["value"]
-    return out.select("user_id", "event_id", "target", F.size("window").alias("size"), r(total, 3, "total"), first.alias("first_value"))
+    """Every sixth target with its week of readings, counts and hours."""
+    hours = frames.hourly(spark, d).withColumn("hour", F.hour("ts"))
+    out = forecast.lookback_windows(hours, frames.HOURLY, ["y", "n", "hour"], "y", 168, 6)
+    total = lambda c: F.aggregate("window", F.lit(0.0), lambda acc, row: acc + row[c])
+    return out.select(
+        "event_type", stamp("ts"), "target", F.size("window").alias("size"), r(total("y"), 3, "total"),
+        F.element_at("window", 1)["y"].alias("first_value"), total("n").cast("long").alias("events"), r(total("hour"), 3, "hours"),
+    )
 
 
 @query(
@@ -295,11 +303,13 @@ def chrono_prefix(spark, d):
     on(
         "daily",
         f"""SELECT CASE WHEN month(ts) <= 9 THEN 'train' ELSE 'val' END AS fold, count(*) AS "rows", {sstamp('min(ts)', 'first')},
-        {sstamp('max(ts)', 'last')}, count(DISTINCT building_id) AS buildings FROM daily WHERE year(ts) = 1996 GROUP BY 1""",
+        {sstamp('max(ts)', 'last')}, count(DISTINCT building_id) AS buildings
+        FROM (SELECT * REPLACE (make_timestamp(1996, month(ts), day(ts), 0, 0, 0.0) AS ts) FROM daily) GROUP BY 1""",
     ),
 )
 def time_split(spark, d):
-    year = frames.daily(spark, d).where((F.col("ts") >= "1996-01-01") & (F.col("ts") < "1997-01-01"))
+    """All orders, their days moved into one leap year, as months of several years cannot be split by time."""
+    year = frames.daily(spark, d).withColumn("ts", F.expr("make_timestamp_ntz(1996, month(ts), day(ts), 0, 0, 0)"))
     out = split.split_summary(*split.time_split(year, range(1, 10), (10, 11, 12), "ts"), "ts")
     return out.select("fold", "rows", stamp("first"), stamp("last"), "buildings")
 
