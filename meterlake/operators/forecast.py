@@ -176,8 +176,15 @@ def _ar_at(step: Column) -> Column:
     return level + F.when(F.col("order") == 0, 0.0).when(F.col("order") == 1, F.pow(phi1, step) * now).otherwise(second)
 
 
-def forecast_ar(train: DataFrame, val: DataFrame, series: Series, value: str = "meter_reading", period: int = 24) -> DataFrame:
-    """Validation rows with `y_pred` from the autoregression of their series, else as in `seasonal_naive`."""
+def forecast_ar(
+    train: DataFrame, val: DataFrame, series: Series, value: str = "meter_reading", period: int = 24, grid: bool = False
+) -> DataFrame:
+    """Validation rows with `y_pred` from the autoregression of their series, else as in `seasonal_naive`.
+
+    With `grid` the training rows are first put on the hourly grid, so that neighbours are an hour apart.
+    """
+    if grid:
+        train = durable(regularize_hourly(train, series, value))  # read by every step below
     fitted = fit_ar(train, series, value, 2 * period).drop("rows")
     table = naive_table(train, series, value, period).join(fitted, list(series.keys), "left")
     pred = F.when(F.col("order").isNotNull(), from_log(_ar_at(F.col("step").cast("double")))).otherwise(_naive())

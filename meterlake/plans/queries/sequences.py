@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meterlake.operators import clean, evaluate, explore, features, forecast, split
 from meterlake.plans.prepare import prepare
-from meterlake.plans.queries.catalog import on, query, r, rounded_scores, scores, sr, sstamp, stamp
+from meterlake.plans.queries.catalog import SQL, on, query, r, rounded_scores, scores, sr, sstamp, stamp
 from meterlake.plans.queries.tables import EASTER, site_holiday
 from meterlake.plans.queries.tables import CUT, KEYS
 from meterlake.plans.training import baseline_lag
@@ -370,6 +370,28 @@ def forecast_ar(spark, d):
     return out.select("event_type", stamp("ts"), r("y_pred", 3))
 
 
+_GRID_TRAIN = f"""SELECT event_type, ts, coalesce(y, v0 + (v1 - v0) * (epoch(ts) - epoch(t0)) / nullif(epoch(t1) - epoch(t0), 0)) AS y
+    FROM (SELECT event_type, ts, y, last_value(y IGNORE NULLS) OVER b AS v0, first_value(y IGNORE NULLS) OVER f AS v1,
+    last_value(CASE WHEN y IS NOT NULL THEN ts END IGNORE NULLS) OVER b AS t0,
+    first_value(CASE WHEN y IS NOT NULL THEN ts END IGNORE NULLS) OVER f AS t1 FROM grid LEFT JOIN hourly USING (event_type, ts)
+    WINDOW b AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    f AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+_GRID = f"""SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts
+    FROM (SELECT event_type, min(ts) AS a, max(ts) AS b FROM hourly WHERE ts < TIMESTAMP '{CUT}' GROUP BY event_type)"""
+
+
+@query(
+    "forecast_ar_grid",
+    on("hourly", "", grid=_GRID, train=_GRID_TRAIN, val=_FOLDS["val"], **_AR).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + SQL["forecast_ar"][SQL["forecast_ar"].index(", path AS (") :],
+)
+def forecast_ar_grid(spark, d):
+    """The autoregression fitted on the hourly grid, gaps filled."""
+    train, val = split.split_at(frames.hourly(spark, d), CUT, "ts")
+    out = forecast.forecast_ar(train, val, frames.HOURLY, "y", grid=True)
+    return out.select("event_type", stamp("ts"), r("y_pred", 3))
+
+
 # ---- the prepare job
 
 CUTOFF = "2000-01-01"
