@@ -7,11 +7,11 @@ and place. Built-in functions only.
 Candidates. An edit leaves what stands before and after it unchanged. So every line emits, as hashed keys, its variants
 with a middle part deleted: a prefix and a suffix of whole blocks, the blocks a power of two between a quarter and a half
 of the line. Lines at distance 1 or less share such a variant, in whichever block the edit falls, and a line has about
-seven. Keys that only one line has are counted away before anything is joined.
+four. Keys that only one line has are counted away before anything is joined.
 
 Of a key that few lines share, the lines are paired and their edit distance is verified. A key that many lines share is not
 paired: prefix and suffix being equal, only the deleted middles matter, and these go through the same step again, shorter
-each time. Once they have at most `base` characters, blocks are single characters. Then all lines of a key are within
+each time. Once they have at most `base` characters, single characters are deleted. Then all lines of a key are within
 distance 1 of each other, and the earliest of the key is compared with the others by a minimum, without pairs. So nothing
 grows with the square of a hot key.
 
@@ -30,12 +30,12 @@ from meterlake.session import durable
 
 NEAR_FROM = 20
 PAIRED = 32  # lines of a key that are paired
-BASE = 64  # characters of a middle that single deletions take apart
+BASE = 8  # characters of a middle that single deletions take apart
 SMALL = 200_000  # handles of lines that may be broadcast (8 bytes each), by an exact count
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, "\r", "")))
+    return F.lower(F.trim(F.replace(line, F.lit("\r"), F.lit(""))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -44,40 +44,80 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return cut.select("id", "th", "place", normal(F.col("raw")).alias("line")).where("line <> ''")
 
 
-def variants(line: Column, single: bool = False) -> Column:
-    """The hashed variants of a string with a middle part deleted; see above. `single`: blocks of one character.
+def _block(m: Column, blocks: int) -> Column:
+    """The block length of strings of m characters: a power of two of which m has `blocks` to twice as many, or 1."""
+    return F.when(m < 2 * blocks, 1).otherwise(F.call_function("shiftleft", F.lit(1), F.floor(F.log2(m.cast("double"))).cast("int") - (blocks.bit_length() - 1)))
 
-    A block length s belongs to the shorter of two lines; a line is the longer one of a pair where s belongs to one
-    character less. A prefix has i blocks. With x characters after it, an edit in the next block leaves between x - s and
-    x characters after the edit, so the suffix has x / s blocks or one less.
+
+def _suffix(m: Column, i: Column | int, s: Column) -> Column:
+    """Blocks of the suffix that an edit after i blocks leaves unchanged for certain."""
+    return F.greatest(F.floor((m - i * s) / s).cast("int") - 1, F.lit(0))
+
+
+def variants(line: Column, blocks: int = 2) -> Column:
+    """key, before and after: the hashed variants of a string with a middle part deleted, and what they leave of it.
+
+    Two strings at distance 1 have a length m of the shorter one in common: each string is the shorter (or equal) one for
+    its own length, and the longer one for a character less. With blocks of s characters and i of them before the edit,
+    m - i s - s characters or more after the edit are unchanged.
     """
     n = F.length(line)
-    size = lambda m: F.when(m < 4, 1).otherwise(F.call_function("shiftleft", F.lit(1), F.floor(F.log2(m.cast("double"))).cast("int") - 1))
-    sizes = F.array(F.lit(1)) if single else F.array_distinct(F.array(size(n), size(n - 1)))
 
-    def of_size(s: Column) -> Column:
+    def of_shorter(m: Column) -> Column:
+        s = _block(m, blocks)
+
         def of_prefix(i: Column) -> Column:
-            most = F.floor((n - i * s) / s).cast("int")
-            key = lambda j: F.struct(
-                F.xxhash64(s, i, j, F.left(line, (i * s).cast("int")), F.lit(0), F.right(line, (j * s).cast("int"))).alias("key"),
-                (i * s).cast("int").alias("before"),
-                (j * s).cast("int").alias("after"),
-            )
-            return F.transform(F.filter(F.array(most, most - 1), lambda j: j >= 0), key)
+            before, j = (i * s).cast("int"), _suffix(m, i, s)
+            after = (j * s).cast("int")
+            hashed = F.xxhash64(s, i.cast("int"), j, F.xxhash64(F.left(line, before)), F.xxhash64(F.right(line, after)))
+            return F.struct(hashed.alias("key"), before.alias("before"), after.alias("after"))
+
+        return F.transform(F.sequence(F.lit(0), F.floor(m / s).cast("int")), of_prefix)
+
+    return F.array_distinct(F.flatten(F.transform(F.array(n, F.greatest(n - 1, F.lit(0))), of_shorter)))
+
+
+def singles(line: Column) -> Column:
+    """The variants with one character or none deleted, by place. All strings of one such key are within distance 1."""
+    n = F.length(line)
+
+    def of_prefix(i: Column) -> Column:
+        rest = F.array(F.lit(0), F.when(i < n, 1))
+        return F.transform(F.filter(rest, lambda d: d.isNotNull()), lambda d: F.xxhash64(i, n - i - d, F.left(line, i), F.lit(0), F.right(line, n - i - d)))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / s).cast("int")), of_prefix))
+    return F.flatten(F.transform(F.sequence(F.lit(0), n), of_prefix))
 
-    return F.flatten(F.transform(sizes, of_size))
+
+def with_keys(lines: DataFrame, near_from: int) -> DataFrame:
+    """`lines` with keys, those of `variants`, null for short lines. Written out, since a line has at most four prefixes and
+    three suffixes of two to four blocks; lines whose length is a power of two have two block lengths."""
+    n = F.col("n")
+    out = lines.withColumn("n", F.length("line")).withColumn("s", _block(n, 2))
+    part = {f"p{i}": F.xxhash64(F.left("line", (i * F.col("s")).cast("int"))) for i in range(4)}
+    part |= {f"q{j}": F.xxhash64(F.right("line", (j * F.col("s")).cast("int"))) for j in range(3)}
+    out = out.withColumns({c: F.when(n >= near_from, hashed) for c, hashed in part.items()})
+    s = F.col("s")
+
+    def key(m: Column, i: int) -> Column:
+        j = _suffix(m, i, s)
+        after = F.when(j == 0, F.col("q0")).when(j == 1, F.col("q1")).otherwise(F.col("q2"))
+        return F.when(i <= F.floor(m / s), F.xxhash64(s, F.lit(i), j, F.col(f"p{i}"), after))
+
+    own = [key(n, i) for i in range(4)]
+    longer = [F.when(n % s == 0, key(n - 1, i)) for i in range(4)]  # else the same as its own
+    same = F.array_distinct(F.array_compact(F.array(*own, *longer)))
+    power = n.bitwiseAND(n - 1) == 0
+    general = F.transform(variants(F.col("line")), lambda v: v["key"])
+    return out.withColumn("keys", F.when((n >= near_from) & power, general).when(n >= near_from, same))
 
 
 def _distinct(lines: DataFrame, near_from: int) -> DataFrame:
     """One row per distinct line: h1, h2 (128 bits of hash), first (its earliest place), keys (null for short lines)."""
-    keys = F.when(F.length("line") >= near_from, F.transform(variants(F.col("line")), lambda v: v["key"]))
-    rows = lines.select(
+    rows = with_keys(lines, near_from).select(
         F.xxhash64("line").alias("h1"),
         F.xxhash64(F.lit(1), "line").alias("h2"),
         F.struct("id", "th", "place").alias("first"),
-        keys.alias("keys"),
+        "keys",
     )
     return rows.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.any_value("keys").alias("keys"))
 
@@ -115,13 +155,14 @@ def _near(distinct: DataFrame, lines: DataFrame, near_from: int, paired: int, ba
     cut = texts.select("h1", "h2", "first", "line", F.explode(variants(F.col("line"))).alias("v")).select("h1", "h2", "first", "line", "v.*")
     hot = durable(_middles(cut.join(hot, ["key", "h1", "h2"])))
     while longest := hot.agg(F.max(F.length("middle") + 1)).first()[0]:
-        single = longest <= base + 1
-        cut = hot.select("group", "h1", "h2", "first", F.col("middle").alias("line"), F.explode(variants(F.col("middle"), single)).alias("v"))
-        cut = cut.select(F.xxhash64("group", "v.key").alias("key"), "h1", "h2", "first", "line", "v.before", "v.after")
-        if single:
+        if longest <= base + 1:
+            cut = hot.select("group", "h1", "h2", "first", F.explode(singles(F.col("middle"))).alias("key"))
+            cut = cut.select(F.xxhash64("group", "key").alias("key"), "h1", "h2", "first")
             first = durable(cut.groupBy("key").agg(F.min("first").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1"))
             found.append(cut.join(first, "key").where("earliest < first").select("h1", "h2"))
             break
+        cut = hot.select("group", "h1", "h2", "first", F.col("middle").alias("line"), F.explode(variants(F.col("middle"), 4)).alias("v"))
+        cut = cut.select(F.xxhash64("group", "v.key").alias("key"), "h1", "h2", "first", "line", "v.before", "v.after")
         cut = durable(_members(cut.dropDuplicates(["key", "h1", "h2"])))
         found.append(_later_of_pairs(cut.where(F.col("n") <= paired), texts))
         hot = durable(_middles(cut.where(F.col("n") > paired)))
@@ -146,12 +187,10 @@ def dedup(
     small: int = SMALL,
 ) -> DataFrame:
     """`docs` with all columns, the text without repeated lines, n_lines (not blank) and n_kept."""
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(f"`{id}`").alias("id"),
-        F.col(f"`{text}`").alias("text"),
-    ).withColumn("th", F.xxhash64("text"))
-    lines = lines_of(rows.select("id", "th", "text"))
+    result = (text, "n_lines", "n_kept")
+    others = [c for c in docs.columns if c not in result]
+    source, known = F.col(f"`{text}`"), F.col(f"`{id}`")
+    lines = lines_of(docs.select(known.alias("id"), F.xxhash64(source).alias("th"), source.alias("text")))
     distinct = durable(_distinct(lines, near_from))
     near = _near(distinct, lines, near_from, paired, base, small)
     firsts = distinct.select("h1", "h2", "first")
@@ -160,20 +199,23 @@ def dedup(
     kept = firsts.groupBy(F.col("first.id").alias("kept_id"), F.col("first.th").alias("kept_th")).agg(
         F.collect_list("first.place").alias("places")
     )
-    same = rows["id"].eqNullSafe(F.col("kept_id")) & (rows["th"] == F.col("kept_th"))
-    full = rows.join(kept, same, "left")
-    cut = F.split(F.coalesce("text", F.lit("")), "\n")
-    every = F.sequence(F.lit(0), F.size(cut) - 1)
-    filled = F.filter(every, lambda i: normal(F.get(cut, i)) != "")
-    stays = F.array_except(every, F.array_except("filled", F.coalesce("places", F.expr("cast(array() as array<int>)"))))
-    full = full.withColumn("filled", filled)
-    result = {
-        text: F.when(F.col("text").isNotNull(), F.array_join(F.transform(stays, lambda i: F.get(cut, i)), "\n")),
-        "n_lines": F.size("filled").cast("long"),
+    # cut before the join: later it would be cut anew for every line
+    rows = docs.select(
+        F.struct(F.lit(True).alias("row"), *[F.col(f"`{c}`") for c in others]).alias("row"),
+        known.alias("id"),
+        F.xxhash64(source).alias("th"),
+        F.split(source, "\n").alias("cut"),
+    )
+    full = rows.join(kept, rows["id"].eqNullSafe(F.col("kept_id")) & (rows["th"] == F.col("kept_th")), "left")
+    every = F.sequence(F.lit(0), F.size("cut") - 1)
+    full = full.withColumn("filled", F.filter(every, lambda i: F.trim(F.replace(F.get("cut", i), F.lit("\r"), F.lit(""))) != ""))
+    gone = F.array_except("filled", F.coalesce("places", F.expr("cast(array() as array<int>)")))
+    values = {
+        text: F.array_join(F.transform(F.array_except(every, gone), lambda i: F.get("cut", i)), "\n"),
+        "n_lines": F.coalesce(F.size("filled"), F.lit(0)).cast("long"),
         "n_kept": F.coalesce(F.size("places"), F.lit(0)).cast("long"),
     }
-    others = [c for c in docs.columns if c not in result]
-    out = full.select(*[F.col("row").getField(c).alias(c) for c in others], *[c.alias(n) for n, c in result.items()])
+    out = full.select(*[F.col("row").getField(c).alias(c) for c in others], *[values[c].alias(c) for c in result])
     return out.select(*[c for c in docs.columns if c in others or c == text], "n_lines", "n_kept")
 
 

@@ -82,13 +82,25 @@ def test_long_lines_and_hot_keys(spark):
 def test_lines_at_distance_one_share_a_variant(spark):
     rng = random.Random(8)
     pairs = []
-    for _ in range(400):
-        line = "".join(rng.choices("ab", k=rng.randint(1, 70)))
-        other = edited(rng, line, "ab").lower()
-        pairs.append((line, other))
+    for k in range(900):
+        line = "".join(rng.choices("ab", k=k % 70 + 1))
+        pairs.append((line, edited(rng, line, "ab").lower()))
     frame = spark.createDataFrame(pairs, "a string, b string")
-    keys = lambda c: F.transform(line_dedup.variants(F.col(c)), lambda v: v["key"])
-    assert frame.where(~F.arrays_overlap(keys("a"), keys("b"))).count() == 0
+    for blocks in (2, 4):
+        keys = lambda c: F.transform(line_dedup.variants(F.col(c), blocks), lambda v: v["key"])  # noqa: B023, E731
+        assert frame.where(~F.arrays_overlap(keys("a"), keys("b"))).count() == 0
+    single = frame.select(F.levenshtein("a", "b").alias("d"), F.arrays_overlap(line_dedup.singles(F.col("a")), line_dedup.singles(F.col("b"))).alias("met"))
+    assert single.where("met <> (d <= 1)").count() == 0
+    others = spark.createDataFrame([(a, d) for a, _ in pairs[:60] for _, d in pairs[60:120:3]], "a string, b string")
+    single = others.select(F.levenshtein("a", "b").alias("d"), F.arrays_overlap(line_dedup.singles(F.col("a")), line_dedup.singles(F.col("b"))).alias("met"))
+    assert single.where("met <> (d <= 1)").count() == 0
+
+
+def test_written_out_keys_are_the_variants(spark):
+    lines = spark.createDataFrame([("é" * (k % 3) + "".join(random.Random(k).choices("abc", k=k)),) for k in range(200)], "line string")
+    keys = line_dedup.with_keys(lines, 5)
+    general = F.when(F.length("line") >= 5, F.array_sort(F.transform(line_dedup.variants(F.col("line")), lambda v: v["key"])))
+    assert keys.where(~F.array_sort("keys").eqNullSafe(general)).count() == 0
 
 
 def test_repeated_rows_extra_columns_and_empty_tables(spark):
