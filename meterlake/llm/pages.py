@@ -56,6 +56,8 @@ CLOSES = {  # an opening element ends these open ones, up to the elements that h
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+ENDS_P = frozenset("nav menu header footer aside form fieldset".split())  # of the noise, what ends a paragraph
+ARTICLE_NOISE = frozenset("comment comments reply ad advert".split())  # classes of articles that are none
 CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 NUMBERS = re.compile(r"\d{3,}")  # as in ids of single posts
 KEPT, UNSURE, DROPPED = 1, 0, -1
@@ -94,21 +96,23 @@ class Blocks(HTMLParser):
         if tag in VOID or tag not in BLOCKS:
             return
         self._end_block()
-        if tag not in NOISE or tag in ("nav", "menu", "header", "footer", "aside", "form", "fieldset"):
-            self._close("p", {"p"}, {"article", "div", "section", "td", "li"})
+        if tag not in NOISE or tag in ENDS_P:
+            self._close({"p"}, {"article", "div", "section", "td", "li"})
         if tag in CLOSES:
-            self._close(tag, *CLOSES[tag])
+            self._close(*CLOSES[tag])
         given = dict(attrs)
         marks = " ".join(v for k in ("class", "id", "role") if (v := given.get(k)))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in (given.get("style") or "").replace(" ", "")
         words = set(re.split(r"[^a-z]+", marks.lower()))
         _, above, noise = self.open[-1] if self.open else ("", "", False)
         nested = tag == "article" and any(e == "article" for e, _, _ in self.open)  # articles in articles are comments
-        noise = noise or hidden or nested or tag in NOISE or (tag not in ("html", "body") and tag not in ROOTS and bool(words & NOISE_WORDS)) or (tag == "article" and bool(words & {"comment", "comments", "reply", "ad", "advert"}))
+        named = NOISE_WORDS if tag not in ROOTS and tag not in ("html", "body") else ARTICLE_NOISE if tag == "article" else frozenset()
+        noise = noise or hidden or nested or tag in NOISE or bool(words & named)
         mark = NUMBERS.sub("0", ".".join(sorted(marks.lower().split())))
         self.open.append((tag, f"{above}>{tag}" + (f".{mark}" if mark else ""), noise))
 
-    def _close(self, _tag: str, ended: set[str], holders: set[str]) -> None:
+    def _close(self, ended: set[str], holders: set[str]) -> None:
+        """End the innermost open element of `ended`, unless one of `holders` stands between."""
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] in ended:
                 self._pop_to(at)

@@ -9,8 +9,9 @@ Only the text is an input. The fit takes at most about `sample` labelled and `sa
 their id; this sample alone comes to the driver, as numbers. Scores are computed for every whole text.
 
 Defined results: null texts count as empty; an empty text has a score like any other; a null id is held out; labels
-without a value, or with different values for one id, are not used, repeated equal labels count once; repeated rows are scored one by one; without any positive label every text gets
-the prior 0.5; empty tables give no rows. An extra column named like the score is replaced.
+without a value, or with different values for one id, are not used, and repeated equal labels count once; repeated rows
+are scored one by one; without any positive label every text gets the score 0.5; empty tables give no rows. An extra
+column named like the score is replaced.
 """
 
 from __future__ import annotations
