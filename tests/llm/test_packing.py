@@ -64,9 +64,10 @@ def test_pieces_hold_every_id_once(spark, length):
 
 def test_random_texts_keep_the_ids_of_the_tokenizer():
     rng = random.Random(2)
-    parts = ["the", "Été", " ", "  ", "\n", "\n\n", "\t", ".", "'s", "12", "ß", " ", "\x1c", "!!", "<|", "汉字", "\r\n"]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(600)]
+    parts = ["the", "Été", " ", "  ", "\n", "\n\n", "\t", ".", "'s", "12", "ß", " ", "\x1c", "!!", "<|", "汉字", "\r\n", "\x85", "\xa0", "ªº²¼", "ǅɐ", "\u2028", "<|endoftext|>", "I'LL", "\0", "ÿĀ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(1500)]
     encoder = packing.Encoder(tokenizer_path(), 0)
+    assert encoder.core is not None
     for t, got in zip(texts, encoder.batch(texts)):
         assert list(struct.unpack(f"<{len(got) // 2}H", got)) == direct(t), repr(t)
 
