@@ -1,23 +1,37 @@
 """HTML extraction with a site style tree.
 
 The pages of a host are merged into one tree of presentation nodes: paths of block elements with their classes and ids.
-For each node the tree knows on how many pages it stands and how often each of its contents recurs. A content that
-stands on k of a node's m pages has the entropy log k / log m; the importance of a node is 1 less the mean entropy of its
-contents. Branches of low importance, and branches whose element or class says what they are (menus, forms, adverts and
-the like), go from each page; paragraphs and headings of an article stay.
+Pages of a host that show the same text in the same nodes are copies and count once. For each node the tree knows on how
+many pages m it stands, how often each of its contents recurs and how often each of its presentations (the sequence of
+its child elements):
 
-Only the counts of the tree are shuffled, pre-aggregated by host, node and content. Pages stay where they are unless the
-table of low branches (one row per host that has any) is too large for Spark to broadcast.
+- a content that stands on k of the m pages has the entropy log k / log m; the importance of a node's own text is 1 less
+  the mean entropy of its contents;
+- the importance of a presentation is its entropy over the m pages, to the base m;
+- the importance of a branch with l presentations is (1 - DECAY^l) times the mean importance of what it holds, by pages,
+  and DECAY^l times that of its presentation.
+
+Text goes where its own importance is low, and whole branches go of which every node, rare ones too, is of low importance.
+A single content that stands on at least half of its node's pages, and on `least`, goes as well, also inside an article.
+Elements and classes that say what they are (menus, forms, adverts and the like) go beforehand and have no place in the
+tree. Near copies are no boilerplate: if low nodes and common contents would take more than half of what a page has left
+inside its article (on unmarked pages: common contents, of what low nodes left), all of that stays.
+
+Only one row per page with the hashes of its contents is shuffled, then counts. The nodes of one host meet in one row.
+Pages stay where they are unless the table of what goes (one row per host that has any) is too large to broadcast.
 
 Defined results: a null or empty page, or one with no text left, gives an empty text; a null URL belongs to the host '';
-a branch seen on fewer than `least` pages of a host is judged by its element and class alone; repeated rows are extracted
-one by one, and count once each in the tree; empty tables give no rows; extra columns are ignored.
+a branch seen on fewer than `least` pages of a host goes only as part of a larger one; repeated rows are extracted one by
+one; empty tables give no rows; extra columns are ignored. Contents are known by 64-bit hashes, paths of more than
+PATH_CHARS characters by 128-bit hashes.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -63,6 +77,8 @@ NUMBERS = re.compile(r"\d{3,}")  # as in ids of single posts
 KEPT, UNSURE, DROPPED = 1, 0, -1
 LEAST_PAGES = 4
 THRESHOLD = 0.7
+DECAY = 0.9
+PATH_CHARS = 500
 
 
 class Blocks(HTMLParser):
@@ -71,7 +87,9 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str, bool]] = []  # element, node path, whether it is noise
-        self.found: list[tuple[str, str, int]] = []
+        self.found: list[tuple[str, str, int, bool]] = []
+        self.above: dict[str, str | None] = {"": None}  # node paths that are no noise, by those of their parents
+        self.below: dict[str, list[str]] = {"": []}  # the child elements of each
         self.text: list[str] = []
         self.roots = 0
 
@@ -84,7 +102,7 @@ class Blocks(HTMLParser):
         rooted = any(e in ROOTS for e, _, _ in self.open)
         sure = DROPPED if noise else KEPT if rooted and (element in CONTENT or element in ROOTS) else UNSURE
         self.roots += rooted and not noise
-        self.found.append((path, text, sure if rooted or noise else UNSURE))
+        self.found.append((path, text, sure if rooted or noise else UNSURE, rooted))
 
     def _pop_to(self, at: int) -> None:
         self._end_block()
@@ -108,8 +126,16 @@ class Blocks(HTMLParser):
         nested = tag == "article" and any(e == "article" for e, _, _ in self.open)  # articles in articles are comments
         named = NOISE_WORDS if tag not in ROOTS and tag not in ("html", "body") else ARTICLE_NOISE if tag == "article" else frozenset()
         noise = noise or hidden or nested or tag in NOISE or bool(words & named)
-        mark = NUMBERS.sub("0", ".".join(sorted(marks.lower().split())))
-        self.open.append((tag, f"{above}>{tag}" + (f".{mark}" if mark else ""), noise))
+        mark = NUMBERS.sub("0", ".".join(sorted(marks.lower().split()))).replace(">", "}")
+        step = tag + (f".{mark}" if mark else "")
+        path = f"{above}>{step}"
+        if len(path) > PATH_CHARS:
+            path = "#" + blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        if not noise:
+            self.above[path] = above
+            self.below.setdefault(above, []).append(step)
+            self.below.setdefault(path, [])
+        self.open.append((tag, path, noise))
 
     def _close(self, ended: set[str], holders: set[str]) -> None:
         """End the innermost open element of `ended`, unless one of `holders` stands between."""
@@ -137,51 +163,133 @@ class Blocks(HTMLParser):
         self._end_block()
 
 
-def blocks(html: str | None) -> tuple[list[tuple[str, str, int]], bool]:
-    """(node path, text, KEPT, UNSURE or DROPPED) of every block in page order; whether the page marks an article."""
+def parsed(html: str | None) -> Blocks:
     parser = Blocks()
     parser.feed(CUT_TAG.sub("", html or ""))
     parser.close()
-    return parser.found, bool(parser.roots)
+    return parser
+
+
+def hashed(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
 
+def main_text(html: str | None, low: set[str], common: set[tuple[str, int]] = frozenset()) -> str:
+    """The blocks that stay, joined by a space. A page that marks its article has its main text there.
 
-def main_text(html: str | None, low: set[str]) -> str:
-    """The blocks that stay, joined by a space. A page that marks its article has its main text there."""
-    found, rooted = blocks(html)
-    kept = (t for path, t, sure in found if sure == KEPT or (sure == UNSURE and path not in low and (not rooted or in_root(path))))
-    return " ".join(kept)
+    `low`: paths whose text goes; `common`: paths and hashes of single contents that go."""
+    page = parsed(html)
+    left = [(p, t) for p, t, sure, rooted in page.found if sure != DROPPED and (rooted or (not page.roots and p not in low))]
+    whole = [t for _, t in left]
+    stays = [t for p, t in left if p not in low and (not common or (p, hashed(t)) not in common)]
+    return " ".join(stays if 2 * sum(map(len, stays)) >= sum(map(len, whole)) else whole)
 
 
-def in_root(path: str) -> bool:
-    return any(step.split(".")[0] in ROOTS for step in path.split(">"))
+NODE = pa.struct([("path", pa.string()), ("parent", pa.string()), ("style", pa.int64()), ("contents", pa.list_(pa.int64()))])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each page that has text: its host, a hash of its texts with their paths, and its nodes."""
     for batch in batches:
-        hosts, paths, texts = [], [], []
+        hosts, same, nodes = [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            for path, text in {(p, t) for p, t, _ in blocks(html)[0]}:
-                hosts.append(host)
-                paths.append(path)
-                texts.append(text)
+            page = parsed(html)
+            contents = defaultdict(set)
+            for path, text, sure, _ in page.found:
+                if sure != DROPPED:
+                    contents[path].add(hashed(text))
+            if not contents:
+                continue
+            held = sorted((p, sorted(c)) for p, c in contents.items())
+            hosts.append(host)
+            same.append(blake2b(repr(held).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            nodes.append([{"path": p, "parent": a, "style": hashed(" ".join(page.below[p])), "contents": sorted(contents.get(p, ()))} for p, a in sorted(page.above.items())])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["host", "path", "text"]
+            [pa.array(hosts, pa.string()), pa.array(same, pa.binary()), pa.array(nodes, pa.list_(NODE))], names=["host", "same", "nodes"]
         )
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """`pages` has host and html. One row per host and node: host, path, pages, importance."""
-    nodes = pages.select("host", "html").mapInArrow(_nodes, "host string, path string, text string")
-    recurring = nodes.select("host", "path", F.xxhash64("text").alias("content")).groupBy("host", "path", "content").count()
-    stated = pages.groupBy("host").count().withColumnRenamed("count", "pages")
-    by_node = recurring.groupBy("host", "path").agg(F.avg(F.log("count")).alias("spread"))
-    share = F.when(F.col("pages") > 1, F.col("spread") / F.log("pages")).otherwise(0.0)
-    return by_node.join(stated, "host").select("host", "path", "pages", (1 - share).alias("importance"))
+def _counted(pages: DataFrame) -> DataFrame:
+    """On how many distinct pages of its host each node has each content, and each presentation."""
+    kind = "host string, same binary, nodes array<struct<path:string,parent:string,style:bigint,contents:array<bigint>>>"
+    once = pages.select("host", "html").mapInArrow(_nodes, kind).groupBy("host", "same").agg(F.min("nodes").alias("nodes"))
+    node = once.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
+    of = lambda text, v: F.struct(F.lit(text).alias("is_text"), v.alias("value"))
+    values = F.concat(F.array(of(False, F.col("style"))), F.transform("contents", lambda c: of(True, c)))
+    return node.select("host", "path", "parent", F.explode(values).alias("v")).groupBy("host", "path", "parent", "v.is_text", "v.value").agg(F.count("*").alias("k"))
+
+
+def _by_node(counted: DataFrame) -> DataFrame:
+    """`own`: importance of a node's own text, null if it has none; `shape`: importance of its presentation."""
+    style, text = F.when(~F.col("is_text"), F.col("k")), F.when(F.col("is_text"), F.col("k"))
+    sums = counted.groupBy("host", "path", "parent").agg(
+        F.sum(style).alias("pages"), F.count(style).alias("styles"), F.sum(style * F.log(style)).alias("ordered"), F.avg(F.log(text)).alias("spread")
+    )
+    several = F.col("pages") > 1
+    own = F.when(F.col("spread").isNotNull(), F.when(several, 1 - F.col("spread") / F.log("pages")).otherwise(1.0))
+    shape = F.when(several, 1 - F.col("ordered") / F.col("pages") / F.log("pages")).otherwise(1.0)
+    return sums.select("host", "path", "parent", "pages", "styles", own.alias("own"), shape.alias("shape"))
+
+
+def judged(nodes: list[dict], threshold: float, least: int) -> list[tuple[str, int, float, bool]]:
+    """(path, pages, importance, whether its own text goes) of all nodes of a host that have text at or below them."""
+    at, kids = {n["path"]: n for n in nodes}, defaultdict(list)
+    for n in nodes:
+        kids[n["parent"]].append(n["path"])
+    order = kids[None][:]
+    for path in order:  # grows meanwhile: parents come before their children
+        order += kids.get(path, ())
+    importance, worst = {}, {}
+    for path in reversed(order):
+        n = at[path]
+        held = [(at[c]["pages"], importance[c]) for c in kids.get(path, ()) if c in importance]
+        inner = bool(held)
+        if n["own"] is not None:
+            held.append((n["pages"], n["own"]))
+        if not held:
+            continue
+        mean = sum(m * i for m, i in held) / sum(m for m, _ in held)
+        decay = DECAY ** n["styles"] if inner else 0.0
+        importance[path] = (1 - decay) * mean + decay * n["shape"]
+        worst[path] = max(importance[path], n["own"] or 0.0, *(worst[c] for c in kids.get(path, ()) if c in worst), 0.0)
+    gone, out = set(), []
+    for path in order:
+        if path in importance:
+            n = at[path]
+            enough = n["pages"] >= least
+            if n["parent"] in gone or (enough and worst[path] < threshold):
+                gone.add(path)
+            low = n["own"] is not None and (path in gone or (enough and n["own"] < threshold))
+            out.append((path, n["pages"], importance[path], low))
+    return out
+
+
+def style_tree(pages: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_PAGES) -> DataFrame:
+    """`pages` has host and html. One row per host and node: host, path, pages, importance, low."""
+    return _judged(_by_node(_counted(pages)), threshold, least)
+
+
+def _judged(by_node: DataFrame, threshold: float, least: int) -> DataFrame:
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, nodes in zip(batch.column("host").to_pylist(), batch.column("nodes").to_pylist()):
+                out = judged(nodes, threshold, least)
+                yield pa.RecordBatch.from_pydict(
+                    {"host": pa.array([host] * len(out), pa.string())}
+                    | {name: pa.array([o[i] for o in out], kind) for i, (name, kind) in enumerate((("path", pa.string()), ("pages", pa.int64()), ("importance", pa.float64()), ("low", pa.bool_())))}
+                )
+
+    by_host = by_node.groupBy("host").agg(F.collect_list(F.struct("path", "parent", "pages", "styles", "own", "shape")).alias("nodes"))
+    return by_host.mapInArrow(trees, "host string, path string, pages long, importance double, low boolean")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h, set(low or ())) for h, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
+        texts, read = [], {}
+        for host, html, low, common in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "low", "common"))):
+            if host not in read:
+                read[host] = set(low or ()), {(c["path"], c["value"]) for c in common or ()}
+            texts.append(main_text(html, *read[host]))
         columns = [batch.column("id"), batch.column("url"), pa.array(texts, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, names=["id", "url", "text"])
 
@@ -197,9 +305,15 @@ def extract(
     """`id`, `url` and text: the main text of every page."""
     rows = picked(pages, id=id, url=url, html=html)
     rows = rows.withColumn("host", host_and_path(F.col("url"))[0])
-    tree = style_tree(rows).where((F.col("pages") >= least) & (F.col("importance") < threshold))
-    low = durable(tree.groupBy("host").agg(F.collect_set("path").alias("low")))
-    ready = rows.join(low, "host", "left").select("id", "url", "html", "low")
+    counted = _counted(rows)
+    by_node = _by_node(counted)
+    low = _judged(by_node, threshold, least).where("low").select("host", "path", F.lit(None).cast("long").alias("value"))
+    often = counted.where(F.col("is_text") & (F.col("k") >= least)).select("host", "path", "value", "k")
+    common = often.join(by_node.select("host", "path", "pages"), ["host", "path"]).where("2 * k >= pages").select("host", "path", "value")
+    paths = F.collect_list(F.when(F.col("value").isNull(), F.col("path")))
+    contents = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("path", "value")))
+    goes = durable(low.unionByName(common).groupBy("host").agg(paths.alias("low"), contents.alias("common")))
+    ready = rows.join(goes, "host", "left").select("id", "url", "html", "host", "low", "common")
     kind = rows.schema["id"].dataType.simpleString()
     out = ready.mapInArrow(_extract, f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id), F.col("url").alias(url), "text")

@@ -70,3 +70,35 @@ def test_query_against_the_generated_markup(spark, folder):
         inner = re.sub(r"</?(?:p|h1|br)>", " ", article[1]) if article else ""
         plain = entities.unescape(re.sub(r"</?b>", "", inner))
         assert r.text == " ".join(plain.split()) and r.n_chars == len(r.text) and r.url == source[r.page_id].url
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def test_importance_decides_inside_articles(spark):
+    """A notice in a plain paragraph goes, and so does a box of a few takes turns; near copies of an article stay."""
+    offers = ["Buy one of these.", "Get two of those.", "Take all three."]
+    page = lambda k: f"<article><h1>Title {k}</h1><p>Text {k} is longer than a notice is.</p><p>Sign up here</p><div class=q9><p>{offers[k % 3]}</p></div></article>"
+    near = lambda k: f"<article><h1>Day {k}</h1><p>The same long paragraph on each of these pages of the host.</p></article>"
+    rows = [(k, f"http://a.com/{k}", page(k)) for k in range(12)] + [(100 + k, f"http://b.com/{k}", near(k)) for k in range(12)]
+    got = extracted(spark, rows)
+    assert got[4] == "Title 4 Text 4 is longer than a notice is."
+    assert got[104] == "Day 4 The same long paragraph on each of these pages of the host."
+
+
+def test_whole_branches_go(spark):
+    """What two pages alone have in a branch of low importance goes with it; elsewhere it is too rare to be judged."""
+    rare = "<div class=r2><p>Now on sale</p></div>"
+    page = lambda k: f"<body><div class=x1><p>Same</p>{rare if k < 2 else ''}</div><div class=x2><p>Text {k}</p>{rare if k in (2, 3) else ''}</div></body>"
+    got = extracted(spark, [(k, f"http://a.com/{k}", page(k)) for k in range(12)])
+    assert got[0] == "Text 0" and got[2] == "Text 2 Now on sale" and got[5] == "Text 5"
+    assert pages.judged([], 0.7, 4) == []
+
+
+def test_presentations_have_an_importance():
+    node = lambda path, parent, styles, shape, own=None: {"path": path, "parent": parent, "pages": 10, "styles": styles, "own": own, "shape": shape}
+    tree = [node("", None, 1, 0.0), node(">div", "", 10, 1.0), node(">div>p", ">div", 1, 0.0, 0.2)]
+    got = {p: i for p, _, i, _ in pages.judged(tree, 0.7, 4)}
+    many = (1 - 0.9**10) * 0.2 + 0.9**10
+    assert got[">div>p"] == 0.2 and abs(got[">div"] - many) < 1e-12 and abs(got[""] - 0.1 * many) < 1e-12
