@@ -102,3 +102,21 @@ def test_presentations_have_an_importance():
     got = {p: i for p, _, i, _ in pages.judged(tree, 0.7, 4)}
     many = (1 - 0.9**10) * 0.2 + 0.9**10
     assert got[">div>p"] == 0.2 and abs(got[">div"] - many) < 1e-12 and abs(got[""] - 0.1 * many) < 1e-12
+
+
+def test_unmarked_copies_count_once(spark):
+    """Copies of a page without an article keep their text, also if they differ in what the tags rule out."""
+    page = lambda k, nav="": f"<body><nav>{nav}</nav><div><p>Text {k}</p><p>More of {k}</p></div></body>"
+    rows = [(k, "http://a.com/", page(0)) for k in range(4)] + [(10 + k, f"http://b.com/{k}", page(k // 2, k)) for k in range(4)]
+    got = extracted(spark, rows)
+    assert {got[k] for k in range(4)} == {"Text 0 More of 0"}
+    assert [got[10 + k] for k in range(4)] == ["Text 0 More of 0"] * 2 + ["Text 1 More of 1"] * 2
+
+
+def test_the_pages_of_a_node_count_and_not_those_of_its_host(spark):
+    side = lambda k: "<div class=s1><p>Same</p></div>" if k < 4 else ""
+    rare = lambda k: "<div class=s2><p>Rare</p></div>" if k < 3 else ""
+    rows = [(k, f"http://a.com/{k}", f"<body>{side(k)}{rare(k)}<div class=t><p>Text {k}</p></div></body>") for k in range(5000)]
+    got = extracted(spark, rows)
+    assert got[0] == "Rare Text 0" and got[3] == "Text 3" and got[4] == "Text 4"
+    assert len(got) == 5000 and all(got[k] == f"Text {k}" for k in range(3, 5000))
