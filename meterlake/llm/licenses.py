@@ -9,6 +9,11 @@ run of other characters than ASCII letters and digits as one space.
 
 Defined results: a null or empty text has no sentences and no licences; repeated rows are scanned one by one; empty tables
 give no rows; extra columns are ignored. Texts with no word that every known sentence has one of are not cut at all.
+
+`scan` cuts at every line break, as its SQL states. `scan_texts` finds the sentences of published licence texts and
+headers also where their lines are wrapped, commented or numbered: a known sentence begins at the start of a line or
+sentence, ends at the end of one, and may have such places within. Of sentences that overlap the first counts, of those
+that begin together the longest.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 
 from meterlake.llm.common import picked
 
-# Sentences of licence texts and notices as published, by identifier.
+# Sentences of licence notices by identifier, as in the SQL of `scan`; not all are verbatim, PUBLISHED has those.
 SENTENCES = {
     "mit-released": "Released under the MIT License.",
     "mit-licensed": "Licensed under the MIT License.",
@@ -75,6 +80,71 @@ RULES = (
     (("bsd-terms",), "BSD"),
     (("mpl2-subject",), "MPL-2.0"),
 )
+# Sentences verbatim from the published texts; notices of one sentence as above.
+_MODIFY = "you can redistribute it and/or modify it under the terms of the GNU"
+_HOPE = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+PUBLISHED = {i: t for i, t in SENTENCES.items() if i not in ("bsd-terms", "rights")} | {
+    "rights": "All rights reserved.",
+    "mit-short-title": "MIT License",
+    "mit-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "mit-as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-title": "ISC License",
+    "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "isc-liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-terms": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd3-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "apache2-unless": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "gpl2-free": f"This program is free software; {_MODIFY} General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-hope": f"This program {_HOPE}",
+    "lgpl21-free": f"This library is free software; {_MODIFY} Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-hope": f"This library {_HOPE}",
+    "lgpl-warranty": "See the GNU Lesser General Public License for more details.",
+    "agpl3-free": f"This program is free software: {_MODIFY} Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-warranty": "See the GNU Affero General Public License for more details.",
+    "agpl-received": "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "mpl2-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl2-obtain-http": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+_BSD2 = ("bsd-terms", "bsd-source", "bsd-binary")
+_MIT = ("mit-permission", "mit-notice", "mit-as-is", "mit-liability")
+_ISC = ("isc-permission", "isc-as-is", "isc-liability")
+PUBLISHED_RULES = (
+    (("mit-title", *_MIT), "MIT"),
+    (("mit-short-title", *_MIT), "MIT"),
+    (_MIT, "MIT"),
+    (("isc-title", *_ISC), "ISC"),
+    (_ISC, "ISC"),
+    ((*_BSD2, "bsd3-names", "bsd-as-is"), "BSD-3-Clause"),
+    ((*_BSD2, "bsd3-names"), "BSD-3-Clause"),
+    ((*_BSD2, "bsd-as-is"), "BSD-2-Clause"),
+    (_BSD2, "BSD-2-Clause"),
+    (("apache2-may-not", "apache2-obtain", "apache2-unless", "apache2-see"), "Apache-2.0"),
+    (("apache2-head", "apache2-you-may-not", "apache2-obtain", "apache2-unless", "apache2-see"), "Apache-2.0"),
+    (("gpl-free", "gpl-hope", "gpl-warranty", "gpl-received"), "GPL-3.0-or-later"),
+    (("gpl-free", "gpl-hope", "gpl-warranty"), "GPL-3.0-or-later"),
+    (("gpl2-free", "gpl-hope", "gpl-warranty", "gpl-received"), "GPL-2.0-or-later"),
+    (("gpl2-free", "gpl-hope", "gpl-warranty"), "GPL-2.0-or-later"),
+    (("lgpl21-free", "lgpl-hope", "lgpl-warranty"), "LGPL-2.1-or-later"),
+    (("agpl3-free", "gpl-hope", "agpl-warranty", "agpl-received"), "AGPL-3.0-or-later"),
+    (("agpl3-free", "gpl-hope", "agpl-warranty"), "AGPL-3.0-or-later"),
+    (("mpl2-subject", "mpl2-obtain"), "MPL-2.0"),
+    (("mpl2-subject", "mpl2-obtain-http"), "MPL-2.0"),
+    *(r for r in RULES if "bsd-terms" not in r[0]),
+    (("mit-short-title", "mit-permission"), "MIT"),
+    (("mit-short-title",), "MIT"),
+    (("mit-permission",), "MIT"),
+    (("isc-title",), "ISC"),
+    (("isc-permission",), "ISC"),
+    (("gpl2-free",), "GPL-2.0-or-later"),
+    (("lgpl21-free",), "LGPL-2.1-or-later"),
+    (("agpl3-free",), "AGPL-3.0-or-later"),
+    (("bsd-terms",), "BSD"),
+)
 CRITICAL = ("licen", "copyright")  # every known sentence has one of them
 SENTENCE_END = r"\n|[.!?]+[ \t\r\n]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,10 +179,49 @@ def _critical(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in CRITICAL])
 
 
+def needed_words(sentences: dict[str, str]) -> list[str]:
+    """Few words of which every sentence has one, most frequent first."""
+    left, found = [set(normal_sentence(t).split()) for t in sentences.values()], []
+    while left:
+        words = {w for s in left for w in s}
+        found.append(max(words, key=lambda w: (sum(w in s for s in left) * len(w), w)))
+        left = [s for s in left if found[-1] not in s]
+    return found
+
+
+BREAK = r"\n|[.!?:;]+(?=[ \t\r\n]|\z)"
+
+
+def wrapped_sequence(text: Column, sentences: dict[str, str] = PUBLISHED) -> Column:
+    """The identifiers of the known sentences of a text in order, wherever its lines break."""
+    none = F.expr("cast(array() as array<string>)")
+    if not sentences:
+        return none
+    known = {normal_sentence(t): i for i, t in sentences.items()}
+    lower = F.translate(text, UPPER + "|", LOWER + " ")
+    words = F.regexp_replace(F.concat(F.lit("|"), F.regexp_replace(lower, BREAK, "|"), F.lit("|")), "[^a-z0-9|]+", " ")
+    marked = F.regexp_replace(words, r" ?\|[ |]*", " | ")
+    each = "|".join(s.replace(" ", r"(?: \|)? ") for s in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(marked, F.lit(rf"(?<= \| )(?:{each})(?= \|)"), 0)
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    needed = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in needed_words(sentences)])
+    return F.when(needed, F.transform(found, lambda s: F.element_at(table, F.replace(s, F.lit(" |"), F.lit(""))))).otherwise(none)
+
+
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """`id`, sentences (identifiers in order), licences (names in order of the text), unmatched (identifiers that no rule
     took)."""
     rows = picked(docs, id=id, text=text).select("id", sequence(F.coalesce("text", F.lit("")), sentences).alias("sentences"))
+    return _ruled(rows, id, rules)
+
+
+def scan_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", sentences: dict[str, str] = PUBLISHED, rules=PUBLISHED_RULES) -> DataFrame:
+    """As `scan`, over the published texts in whatever lines."""
+    rows = picked(docs, id=id, text=text).select("id", wrapped_sequence(F.coalesce("text", F.lit("")), sentences).alias("sentences"))
+    return _ruled(rows, id, rules)
+
+
+def _ruled(rows: DataFrame, id: str, rules) -> DataFrame:
     marked = F.array_join(F.transform("sentences", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     for ids, name in rules:  # a rule's licence stands as {name} where its identifiers stood
         marked = F.replace(marked, F.lit("".join(f"<{i}>" for i in ids)), F.lit("{" + name + "}"))

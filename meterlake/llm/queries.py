@@ -154,7 +154,15 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    found = licenses.scan(table(spark, folder, "documents"))
+    return _licences(licenses.scan(table(spark, folder, "documents")))
+
+
+@query
+def op10_license_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return _licences(licenses.scan_texts(table(spark, folder, "documents")))
+
+
+def _licences(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
         F.size("sentences").cast("long").alias("n_sentences"),

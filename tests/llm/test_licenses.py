@@ -56,5 +56,106 @@ def test_columns_and_plain_python_normalise_alike(spark):
     assert all(got[k].sentences == [names[k]] for k, _ in rows)
 
 
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+WRAPPED_APACHE = """/*
+ * Copyright 2020 Somebody
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+BSD2 = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+
+def test_published_texts_in_wrapped_lines(spark):
+    names = """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+    rows = [(1, GPL), (2, WRAPPED_APACHE), (3, MIT.replace("\n", "\r\n")), (4, BSD2), (5, BSD2 + names), (6, isc)]
+    rows += [(7, "Words. All rights reserved. More"), (8, "under the mit license we walk, all rights reserved by them"), (9, None), (10, "a | b" * 9000)]
+    rows += [(11, "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy"), (12, GPL.replace("GNU General", "GNU\nGeneral") + "\n" + MIT)]
+    got = by_id(licenses.scan_texts(docs(spark, rows)))
+    assert {i: r.licences for i, r in got.items()} == {
+        1: ["GPL-3.0-or-later"],
+        2: ["Apache-2.0"],
+        3: ["MIT"],
+        4: ["BSD-2-Clause"],
+        5: ["BSD-3-Clause"],
+        6: ["ISC"],
+        7: [],
+        8: [],
+        9: [],
+        10: [],
+        11: ["MPL-2.0"],
+        12: ["GPL-3.0-or-later", "MIT"],
+    }
+    assert got[7].sentences == got[7].unmatched == ["rights"] and got[8].sentences == []
+    assert all(got[i].unmatched == [] for i in (1, 2, 3, 6)) and got[4].unmatched == ["rights"]
+
+
+def test_every_published_sentence_is_found(spark):
+    rows = list(enumerate(licenses.PUBLISHED.values()))
+    got = by_id(licenses.scan_texts(docs(spark, rows)))
+    assert [got[k].sentences for k, _ in rows] == [[i] for i in licenses.PUBLISHED]
+    assert licenses.scan_texts(docs(spark, rows), sentences={}, rules=()).where("size(sentences) > 0").count() == 0
+
+
 def test_empty_table(spark):
     assert licenses.scan(docs(spark, [])).collect() == []
