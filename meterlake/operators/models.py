@@ -311,7 +311,10 @@ class BoostedTrees(_Tree):
         if not share:
             return booster.fit(self._rows(df, label))
         cut = global_quantiles(df.select(seconds(time_col).alias("_s")), "_s", [1 - share]).first()["q"][0]
-        rows = self._rows(df, label, (seconds(time_col) > cut).alias("_held"))
+        late = seconds(time_col) > cut
+        if df.where(late).isEmpty():  # one point in time: nothing to stop by
+            return booster.fit(self._rows(df, label))
+        rows = self._rows(df, label, late.alias("_held"))
         return booster.setParams(validationIndicatorCol="_held", validationTol=0.001).fit(rows)
 
 

@@ -8,7 +8,7 @@ from meterlake.operators import models, sampling, segments
 from meterlake.operators.encoding import TargetEncoder
 from meterlake.operators.features import drop_prefixed
 from meterlake.plans.queries.catalog import query, r, sr
-from meterlake.plans.queries.models import FEATURES, SMALL_BOOST, SMALL_TREES, prepared, profiles
+from meterlake.plans.queries.models import FEATURES, prepared, profiles
 from meterlake.session import durable, scratch_path
 from meterlake.sources import frames, tables
 
@@ -63,7 +63,7 @@ _TRAIN = "SELECT count(*) AS n, CAST(0 AS BIGINT) AS broken FROM lineitem WHERE
 def tree_leaf_means(spark, d):
     """A tree predicts the mean label of the training rows of a leaf."""
     prep = prepared(spark, d)
-    leaves = models.DecisionTree(**SMALL_TREES).fit(prep.train, prep.features).predict(prep.train)
+    leaves = models.DecisionTree().fit(prep.train, prep.features).predict(prep.train)
     leaves = leaves.groupBy("prediction").agg(F.avg("label").alias("mean"), F.count(F.lit(1)).alias("rows"))
     return leaves.agg(F.sum("rows").alias("n"), F.count_if(F.abs(F.col("mean") - F.col("prediction")) > 1e-6).alias("broken"))
 
@@ -78,7 +78,7 @@ def within_labels(prep, model):
 @query("forest_within_labels", _TRAIN)
 def forest_within_labels(spark, d):
     """A forest averages means, which lie between the smallest and the largest label."""
-    return within_labels(prepared(spark, d), models.RandomForest(n_trees=8, **SMALL_TREES))
+    return within_labels(prepared(spark, d), models.RandomForest())
 
 
 @query(
@@ -89,7 +89,7 @@ def forest_within_labels(spark, d):
 def importance_sums(spark, d):
     """Importances of every kind of tree add up to 1."""
     prep = prepared(spark, d)
-    made = [models.DecisionTree(**SMALL_TREES), models.RandomForest(n_trees=8, **SMALL_TREES), models.BoostedTrees(**SMALL_BOOST)]
+    made = [models.DecisionTree(), models.RandomForest(), models.BoostedTrees()]
     rows = [(m.name, round(sum(m.fit(prep.train, prep.features).feature_importance().values()), 6)) for m in made]
     return spark.createDataFrame(rows, "model string, total double")
 
@@ -154,10 +154,9 @@ def sample_n_size(spark, d):
 def registry_models(spark, d):
     """Every registered model fits, predicts every row and names its family."""
     prep = prepared(spark, d).stored()
-    small = {"decision_tree": SMALL_TREES, "random_forest": {"n_trees": 2, **SMALL_TREES}, "boosted_trees": {**SMALL_BOOST, "rounds": 2}}
     rows = []
     for name, made in models.REGISTRY.items():
-        model = made(**small.get(name, {})).fit(prep.train, prep.features)
+        model = made().fit(prep.train, prep.features)
         if model.predict(prep.val).where("prediction is null").isEmpty():
             rows.append((name, model.family))
     return spark.createDataFrame(rows, "model string, family string")

@@ -23,8 +23,12 @@ from meterlake.sources import frames, tables
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "month_sin", "month_cos", "dayofweek_sin", "dayofweek_cos"]
 RAW = ["l_discount", "l_tax", "l_linenumber"]
 CUTOFF = "2000-01-01"
+# Small settings for tests; the registered queries take the defaults of the models and the lists of the configuration.
 SMALL_TREES = {"max_depth": 5, "max_bins": 32}
 SMALL_BOOST = {"rounds": 8, "max_depth": 4, "step": 0.3, "max_bins": 32}
+DEPTHS = (4, 8, 16, 24)
+CLUSTERS = range(2, 11)
+ALL_MODELS = {name: {} for name in models.REGISTRY}
 
 
 def priced(spark, d):
@@ -102,23 +106,23 @@ def fit_elasticnet(spark, d):
 @query("fit_tree_sweep")
 def fit_tree_sweep(spark, d):
     prep = prepared(spark, d)
-    return models.depth_sweep(prep.train, prep.val, prep.features, [3, 6], max_bins=32).drop("train_seconds")
+    return models.depth_sweep(prep.train, prep.val, prep.features, DEPTHS).drop("train_seconds")
 
 
 @query("fit_forest")
 def fit_forest(spark, d):
-    return scored(spark, d, "random_forest", n_trees=8, **SMALL_TREES)
+    return scored(spark, d, "random_forest")
 
 
 @query("fit_gbt")
 def fit_gbt(spark, d):
-    return scored(spark, d, "boosted_trees", **SMALL_BOOST)
+    return scored(spark, d, "boosted_trees")
 
 
 @query("feature_importance")
 def feature_importance(spark, d):
     prep = prepared(spark, d)
-    return models.DecisionTree(**SMALL_TREES).fit(prep.train, prep.features).importance_table(spark)
+    return models.DecisionTree().fit(prep.train, prep.features).importance_table(spark)
 
 
 @query("top_features")
@@ -130,26 +134,25 @@ def top_features(spark, d):
 @query("feature_ablation")
 def feature_ablation(spark, d):
     sets = {"engineered": FEATURES, "raw": RAW}
-    return training.ablation(lambda name: prepared(spark, d, sets[name]), {"ols": {}, "decision_tree": SMALL_TREES})
+    return training.ablation(lambda name: prepared(spark, d, sets[name]), {"ols": {}, "decision_tree": {}})
 
 
 @query("sample_complexity")
 def sample_complexity(spark, d):
-    chosen = {"ols": {}, "decision_tree": SMALL_TREES}
-    return training.sample_complexity(prepared(spark, d), chosen, (0.25, 1.0)).drop("train_seconds")
+    return training.sample_complexity(prepared(spark, d), ALL_MODELS).drop("train_seconds")
 
 
 @query("segment_vs_global")
 def segment_vs_global(spark, d):
     prep = prepared(spark, d)
-    return training.segment_vs_global(prep.train, prep.val, prep.features, "meter", "decision_tree", 100, **SMALL_TREES)
+    return training.segment_vs_global(prep.train, prep.val, prep.features, "meter", "boosted_trees", 100)
 
 
 @query("train_leaderboard")
 def train_leaderboard(spark, d):
     prep = prepare_lines(spark, d)
     store = tables.PredictionStore(spark, scratch_path(spark, "predictions"))
-    report, about = training.train_all(prep, {"ols": {}, "decision_tree": SMALL_TREES}, store)
+    report, about = training.train_all(prep, ALL_MODELS, store)
     return training.results_table(report, about).drop("train_seconds")
 
 
@@ -222,9 +225,9 @@ def prepared_events(spark, d) -> Prepared:
 def cluster_segments(spark, d):
     """A model per cluster of users against one model for all."""
     prep = prepared_events(spark, d)
-    labels, _ = training.cluster_meters(prep, [2, 3, 4])
+    labels, _ = training.cluster_meters(prep, CLUSTERS)
     train, val = (fold.join(labels, "building_id") for fold in (prep.train, prep.val))
-    return training.segment_vs_global(train, val, prep.features, "cluster", "decision_tree", 20, **SMALL_TREES)
+    return training.segment_vs_global(train, val, prep.features, "cluster", "boosted_trees", 20)
 
 
 # ---- samples

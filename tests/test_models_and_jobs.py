@@ -160,3 +160,24 @@ def test_imputation_experiment(spark, folder):
     ).collect()
     assert [r.strategy for r in out] == ["drop", "keep_zeros"]
     assert out[0].n_train + out[0].n < out[1].n_train + out[1].n
+
+
+def test_registered_fits_take_whole_settings(monkeypatch, spark, folder):
+    """The queries pass no smaller settings than the defaults; the fits themselves are replaced."""
+    from meterlake.plans.queries import models as queries
+
+    given = {}
+    fake = lambda what: lambda *args, **params: given.update({what: (args, params)}) or spark.range(0).selectExpr("id", "id as train_seconds")
+    monkeypatch.setattr(queries.models, "depth_sweep", fake("sweep"))
+    for name in ("sample_complexity", "segment_vs_global", "ablation"):
+        monkeypatch.setattr(queries.training, name, fake(name))
+    monkeypatch.setattr(queries, "scored", fake("scored"))
+    for run in (queries.fit_tree_sweep, queries.sample_complexity, queries.segment_vs_global, queries.feature_ablation):
+        run(spark, folder)
+    assert list(given["sweep"][0][3]) == [4, 8, 16, 24] and given["sweep"][1] == {}
+    assert set(given["sample_complexity"][0][1]) == set(models.REGISTRY) and len(given["sample_complexity"][0]) == 2
+    assert given["segment_vs_global"][0][4] == "boosted_trees" and given["segment_vs_global"][1] == {}
+    assert all(p == {} for p in given["ablation"][0][1].values())
+    for run in (queries.fit_forest, queries.fit_gbt):
+        run(spark, folder)
+        assert given["scored"][1] == {}
