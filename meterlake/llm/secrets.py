@@ -2,7 +2,10 @@
 
 The guess cost of a value is the least number of guesses over all ways to cut it into words, dates, repeats, keyboard
 walks, character runs and spans that only brute force finds. Values that cost at least `GUESSES` are secrets of kind
-`guess`, also when no pattern knows them.
+`guess`, also when no pattern knows them. Words are those that guessers try first, then those of the scanned texts by
+their counts, without the values themselves: at most WORDS of them and WORD_BYTES, which the driver collects and
+broadcasts.  A
+quoted value goes up to its closing quote in the line, spaces included.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned one by one; empty tables give
 no rows; extra columns are ignored. Spans count code points, ends excluded, and are sorted by start, then kind.
@@ -12,10 +15,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from meterlake.llm.common import picked
 
@@ -34,7 +39,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXT = re.compile(
     r"(?<![A-Za-z0-9])(?:"
     + either_case("passphrase|password|passwd|pwd|pass|pin|secret|token|credentials?|auth|login|(?:api|access|private|secret)[_ -]?key")
-    + r""")["']?\s{0,3}(?:[:=]|=>|\sis\s)\s{0,3}["'`]?([^\s"'`,;|<>(){}\[\]]+)"""
+    + r""")["']?\s{0,3}(?:[:=]|=>|\sis\s)\s{0,3}"""
+    + r"""(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|["'`]?([^\s"'`,;|<>(){}\[\]]+))"""
 )
 GUESSES = 1e9
 PART = 0.5  # log10 of the kinds a part may have
@@ -47,13 +53,19 @@ COMMON = (
     "password 123456 qwerty admin welcome letmein login secret token master dragon monkey football baseball shadow sunshine "
     "princess superman batman trustno iloveyou hello freedom whatever michael jordan hunter summer winter spring autumn "
     "monday friday january december love money test guest user root default change changeme example demo sample server "
-    "system public private access account company office internet computer abc xyz key pass my the and you your"
+    "system public private access account company office internet computer abc xyz key pass my the and you your "
+    # and those of plain sentences and settings
+    "invalid required optional incorrect missing wrong empty correct needed stored encrypted hashed changed forgotten reset "
+    "expired string null none true false not valid unknown disabled enabled hidden protected never always shown"
 ).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("@4301$57!", "aaeoissti")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 RANK = {w: r + 1 for r, w in enumerate(COMMON)}
-WORST_WORD = max(map(len, COMMON))
+WORD = re.compile(r"[^\W\d_]{3,24}")  # letters only
+WORDS = 100_000
+WORD_BYTES = 2_000_000
+LONGEST = 24
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -69,16 +81,21 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
-def _matches(value: str) -> Iterator[tuple[int, int, float]]:
+def ranked(words: list[str]) -> dict[str, int]:
+    """Ranks of the first words, then of others."""
+    return {w: r + 1 for r, w in enumerate(dict.fromkeys([*COMMON, *words]))}
+
+
+def _matches(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
     """First, last (excluded) and log10 guesses of every span with a pattern."""
     lower = value.lower()
     plain = lower.translate(LEET) if len(lower) == len(value) else value
     n = len(value)
     for i in range(n):
-        for j in range(i + 3, min(n, i + WORST_WORD) + 1):
-            if rank := RANK.get(lower[i:j] if len(lower) == n else value[i:j]) or RANK.get(plain[i:j]):
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
+            if rank := ranks.get(lower[i:j] if len(lower) == n else value[i:j]) or ranks.get(plain[i:j]):
                 cased = 1 + sum(c.isupper() for c in value[i:j])
-                yield i, j, math.log10(rank * cased * (1 if lower[i:j] in RANK else 4))
+                yield i, j, math.log10(rank * cased * (1 if lower[i:j] in ranks else 4))
         if m := DATE.match(value, i):
             yield i, m.end(), math.log10(365 * 120 * 4 if m.end() - i > 4 else 120)
     for period in (1, 2, 3, 4):
@@ -107,10 +124,10 @@ def _matches(value: str) -> Iterator[tuple[int, int, float]]:
             i = max(j, i + 1)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses of the cheapest segmentation; every part costs a choice of its kind besides its guesses."""
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _matches(value):
+    for i, j, cost in _matches(value, ranks):
         ends.setdefault(j, []).append((i, cost))
     best, brute = [0.0], [math.inf]  # of all ways to cut the first j characters; of those that end in brute force
     for j, c in enumerate(value, 1):
@@ -119,7 +136,14 @@ def guess_cost(value: str) -> float:
     return best[-1]
 
 
-def scan_text(text: str) -> list[tuple[int, str, int]]:
+def values(text: str, lower: str) -> Iterator[tuple[int, int]]:
+    """First and last (excluded) of what stands after credential words."""
+    for m in CONTEXT.finditer(text) if any(map(lower.__contains__, CREDENTIAL)) else ():
+        value = m[m.lastindex] if m.lastindex < 4 else m[4].rstrip(".!?:")
+        yield m.start(m.lastindex), m.start(m.lastindex) + len(value)
+
+
+def scan_text(text: str, ranks: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every secret, sorted by start, then kind."""
     spans: list[tuple[int, int, int]] = []
     lower, threshold = text.lower(), math.log10(GUESSES)
@@ -130,10 +154,8 @@ def scan_text(text: str) -> list[tuple[int, str, int]]:
     if b"0" * 32 in text.encode("utf-8", "surrogatepass").translate(HEX_AS_0):
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = list(spans)
-    for m in CONTEXT.finditer(text) if any(map(lower.__contains__, CREDENTIAL)) else ():
-        value = m[1].rstrip(".!?:")
-        first, last = m.start(1), m.start(1) + len(value)
-        if value and not any(a < last and first < b for a, _, b in base) and guess_cost(value) >= threshold:
+    for first, last in values(text, lower):
+        if first < last and not any(a < last and first < b for a, _, b in base) and guess_cost(text[first:last], ranks) >= threshold:
             spans.append((first, 3, last))
     spans.sort()
     return [(a, KINDS[k], b) for a, k, b in spans]
@@ -142,16 +164,44 @@ def scan_text(text: str) -> list[tuple[int, str, int]]:
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a batch with their counts; values after credential words do not vouch for themselves."""
     for batch in batches:
-        found = [scan_text(t or "") for t in batch.column("text").to_pylist()]
-        spans = pa.array([[{"kind": k, "start": a, "end": b} for a, k, b in f] for f in found], SPAN)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), spans], names=["id", "found"])
+        counts: Counter[str] = Counter()
+        for text in batch.column("text").to_pylist():
+            lower = (text or "").lower()
+            counts.update(WORD.findall(lower))
+            for first, last in values(text or "", lower):
+                counts.subtract(WORD.findall(text[first:last].lower()))
+        found = [(w, n) for w, n in counts.items() if n > 0]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
+
+
+def corpus_words(texts: DataFrame) -> list[str]:
+    """The most frequent words of all texts, up to the bounds."""
+    counted = texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    out, size = [], 0
+    for row in top:
+        size += len(row.word.encode())
+        if size > WORD_BYTES:
+            break
+        out.append(row.word)
+    return out
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`id` and found: the secrets of each text as kind, start and end."""
     rows = picked(docs, id=id, text=text)
+    words = docs.sparkSession.sparkContext.broadcast(corpus_words(rows.select("text")))
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = ranked(words.value)
+        for batch in batches:
+            found = [scan_text(t or "", ranks) for t in batch.column("text").to_pylist()]
+            spans = pa.array([[{"kind": k, "start": a, "end": b} for a, k, b in f] for f in found], SPAN)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), spans], names=["id", "found"])
+
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(_scan, f"id {kind}, found array<struct<kind:string,start:int,end:int>>")
+    out = rows.mapInArrow(scanned, f"id {kind}, found array<struct<kind:string,start:int,end:int>>")
     return out.withColumnRenamed("id", id)

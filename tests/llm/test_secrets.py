@@ -63,3 +63,13 @@ def test_nulls_repeats_and_empty_tables(spark):
     found = secrets.scan(docs(spark, rows).selectExpr("*", "1 as found")).collect()
     assert sorted((r.doc_id or 0, len(r.found)) for r in found) == [(0, 1), (1, 0), (1, 0), (3, 0)]
     assert secrets.scan(docs(spark, [])).collect() == []
+
+
+def test_ordinary_sentences_after_credential_words(spark):
+    prose = ["The password is invalid.", "login: mandatory", "the pwd is temporarily unavailable", "auth: optional", "passphrase is gezwungenermaßen"]
+    known = "it is mandatory that services be temporarily closed, gezwungenermaßen"
+    secret = "the password is qwvrtxkzplm"
+    rows = [*enumerate([*prose, known, secret, secret])]
+    found = {r.doc_id: r.found for r in secrets.scan(docs(spark, rows)).collect()}
+    assert [k for k, f in found.items() if f] == [len(prose) + 1, len(prose) + 2]
+    assert "qwvrtxkzplm" not in secrets.corpus_words(docs(spark, rows).select("text"))
