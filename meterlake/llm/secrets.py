@@ -4,7 +4,7 @@ The guess cost of a value is the least number of guesses over all ways to cut it
 walks, character runs and spans that only brute force finds. Values that cost at least `GUESSES` are secrets of kind
 `guess`, also when no pattern knows them. Words are those that guessers try first, then those of the scanned texts by
 their counts, without the values themselves: at most WORDS of them and WORD_BYTES, which the driver collects and
-broadcasts.  A
+broadcasts. A credential word begins after no letter or digit, or where lower case or a digit turns to upper case. A
 quoted value goes up to its closing quote in the line, spaces included.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned one by one; empty tables give
@@ -37,7 +37,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXT = re.compile(
-    r"(?<![A-Za-z0-9])(?:"
+    r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?:"
     + either_case("passphrase|password|passwd|pwd|pass|pin|secret|token|credentials?|auth|login|(?:api|access|private|secret)[_ -]?key")
     + r""")["']?\s{0,3}(?:[:=]|=>|\sis\s)\s{0,3}"""
     + r"""(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|["'`]?([^\s"'`,;|<>(){}\[\]]+))"""

@@ -73,3 +73,15 @@ def test_ordinary_sentences_after_credential_words(spark):
     found = {r.doc_id: r.found for r in secrets.scan(docs(spark, rows)).collect()}
     assert [k for k, f in found.items() if f] == [len(prose) + 1, len(prose) + 2]
     assert "qwvrtxkzplm" not in secrets.corpus_words(docs(spark, rows).select("text"))
+
+
+def test_keys_in_camel_case_and_quoted_values():
+    for text, value in [
+        ('dbPassword = "q7$Kz!9vLm"', "q7$Kz!9vLm"),
+        ("clientSecret: 'a,b;c|d<e>f(g)h'", "a,b;c|d<e>f(g)h"),
+        ("db2Pwd=q7$Kz!9vLmW", "q7$Kz!9vLmW"),
+        ('{"apiLogin": "x\\"7 k{Q]2z#w"}', 'x\\"7 k{Q]2z#w'),
+        ('pwd = "q7$Kz!9vLm', "q7$Kz!9vLm"),
+    ]:
+        assert [(text[a:b], k) for a, k, b in secrets.scan_text(text)] == [(value, "guess")], text
+    assert secrets.scan_text("compass: q7$Kz!9vLm") == []
