@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import picked
+from meterlake.session import durable
 
 
 def either_case(word: str) -> str:
@@ -179,10 +180,16 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def corpus_words(texts: DataFrame) -> list[str]:
     """The most frequent words of all texts, up to the bounds."""
-    counted = texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    counted = durable(texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    least, taken = 0, 0  # words of one count are taken together, so that only those within the bound reach the driver
+    for row in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        taken += row.words
+        if taken > WORDS:
+            break
+        least = row.n
+    top = counted.where(F.col("n") >= least).collect() if least else []
     out, size = [], 0
-    for row in top:
+    for row in sorted(top, key=lambda r: (-r.n, r.word)):
         size += len(row.word.encode())
         if size > WORD_BYTES:
             break
