@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry_point
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+TYPES = {"boolean": "BOOLEAN", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
 QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
 
 
