@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, jaccard_groups, licenses, line_dedup, media, packing, pages, quality, secrets, urls
+from meterlake.llm import decontaminate, importance, jaccard_groups, licenses, line_dedup, media, packing, pages, quality, secrets, urls
 from meterlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,39 @@ def _licences(found: DataFrame) -> DataFrame:
 
 
 SQL["op10_licenses"] = licenses.scan_sql()
+
+
+@query
+def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# The checksum of a text: a table from its polynomial, then one step for each byte.
+CRC_TABLE = """bits(b, k, c) AS (SELECT b, 0, CAST(b AS BIGINT) FROM range(256) t(b) UNION ALL
+    SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8)"""
+CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+    range(1, 2 * octet_length(encode({0})), 2), lambda i: CAST('0x' || substr(hex(encode({0})), i, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+SQL["op12_importance"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+f AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY ALL),
+g AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest({WORDS}) AS w FROM benchmark) GROUP BY w),
+hashed AS MATERIALIZED (SELECT w, {CRC.format("w")} % 10000 AS bucket FROM (SELECT w FROM f UNION SELECT w FROM g), crc),
+source AS (SELECT bucket, sum(n) AS s FROM f JOIN hashed USING (w) GROUP BY bucket),
+target AS (SELECT bucket, sum(n) AS t FROM g JOIN hashed USING (w) GROUP BY bucket),
+gains AS MATERIALIZED (SELECT bucket, CAST(floor(1000 * ln(
+    (coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM source), 0) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM target), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain
+    FROM (SELECT DISTINCT bucket FROM hashed) LEFT JOIN source USING (bucket) LEFT JOIN target USING (bucket)),
+weights AS (SELECT doc_id, sum(n) AS n_features, CAST(floor(sum(gain * n) / sum(n)) AS BIGINT) AS weight
+    FROM f JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS MATERIALIZED (SELECT doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features,
+    coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((
+    CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM d LEFT JOIN weights USING (doc_id)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+    FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, place AS rank FROM scored s
+LEFT JOIN drawn r ON s.doc_id = r.doc_id AND place <= 10 * n // 100"""
