@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.llm.common import alphanumeric_words, picked
+from meterlake.llm.common import alphanumeric_words, numbered, picked
 from meterlake.session import durable
 
 KEY = ("down", "absent", "id", "part", "place")  # ascending: higher score, smaller id, place in the written table
@@ -171,27 +171,8 @@ def cutoff(keys: DataFrame, wanted: int, last: int = 10_000) -> tuple | None:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """With rank, 1 for the first by KEY: rows are sorted by ranges, and the ranges' totals are summed up."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretch, place = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            places = pa.array(np.arange(place + 1, place + 1 + batch.num_rows))
-            place += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([stretch] * batch.num_rows, pa.int32()), places],
-                names=[*batch.schema.names, "stretch", "rank"],
-            )
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", stretch int, rank long"
-    order = [F.col(c) if c != "id" else F.col(c).asc_nulls_last() for c in KEY]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    numbered = durable(sorted_rows.mapInArrow(number, fields))
-    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    totals = numbered.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))
-    bases = durable(totals.select("stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    return numbered.join(bases, "stretch").withColumn("rank", F.col("rank") + F.col("base")).drop("stretch", "base")
+    """With rank, 1 for the first by KEY."""
+    return numbered(rows, [F.col(c) if c != "id" else F.col(c).asc_nulls_last() for c in KEY], "rank")
 
 
 def resample(

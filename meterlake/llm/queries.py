@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, importance, jaccard_groups, licenses, line_dedup, media, packing, pages, quality, secrets, urls
+from meterlake.llm import decontaminate, importance, jaccard_groups, licenses, line_dedup, media, packing, pages, quality, repacking, secrets, urls
 from meterlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +174,12 @@ def _licences(found: DataFrame) -> DataFrame:
 SQL["op10_licenses"] = licenses.scan_sql()
 
 
+@query
+def op11_repacking(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = repacking.pack_best_fit(table(spark, folder, "documents"), tokenizer_path())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query
 def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
