@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontaminate, importance, jaccard_groups, licenses, line_dedup, media, packing, pages, quality, repacking, secrets, urls
+from meterlake.llm import decontaminate, importance, jaccard_groups, licenses, line_dedup, media, packing, pages, prefix_trie, quality, repacking, secrets, urls
 from meterlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,38 @@ drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS plac
     FROM scored WHERE n_features >= 20)
 SELECT s.doc_id, n_features, weight, score, place AS rank FROM scored s
 LEFT JOIN drawn r ON s.doc_id = r.doc_id AND place <= 10 * n // 100"""
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+SQL["op13_prefix_trie"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS k
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS MATERIALIZED (SELECT conv_id, {CRC.format("CAST(conv_id AS VARCHAR)")} % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM t), crc),
+said AS (SELECT c.conv_id, k, role, text FROM convs c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE k <= h
+    UNION ALL SELECT conv_id, k, role, text FROM convs JOIN t USING (conv_id) WHERE k > h),
+rebuilt AS MATERIALIZED (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY k) AS turns,
+    list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY k) AS words FROM said GROUP BY conv_id
+    UNION ALL SELECT conv_id, [], [] FROM convs WHERE conv_id NOT IN (SELECT conv_id FROM said)),
+members AS MATERIALIZED (SELECT conv_id, d, sha256(array_to_string(turns[1 : d], '')) AS key, d = len(turns) AS ends,
+    CASE WHEN d > 0 THEN words[d] ELSE 0 END AS n_words
+    FROM (SELECT conv_id, turns, words, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS MATERIALIZED (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_words) AS n_words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM members GROUP BY d, key),
+edges AS MATERIALIZED (SELECT n.d, n.key, up.conv_id AS parent_conv_id, up.key AS up FROM nodes n
+    JOIN members m ON m.conv_id = n.conv_id AND m.d = n.d - 1 JOIN nodes up ON up.d = m.d AND up.key = m.key),
+families AS MATERIALIZED (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM edges GROUP BY ALL),
+below AS (SELECT m.d, m.key, sum((n.n_convs - 1) * n.n_words) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS leaves
+    FROM nodes n LEFT JOIN families f ON f.d = n.d AND f.key = n.key
+    JOIN members m ON m.conv_id = n.conv_id AND m.d <= n.d GROUP BY m.d, m.key)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, parent_conv_id, n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+    CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM nodes n JOIN below b ON b.d = n.d AND b.key = n.key LEFT JOIN edges e ON e.d = n.d AND e.key = n.key
+LEFT JOIN families f ON f.d = n.d AND f.key = n.key"""
