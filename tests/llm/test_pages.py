@@ -120,3 +120,32 @@ def test_the_pages_of_a_node_count_and_not_those_of_its_host(spark):
     got = extracted(spark, rows)
     assert got[0] == "Rare Text 0" and got[3] == "Text 3" and got[4] == "Text 4"
     assert len(got) == 5000 and all(got[k] == f"Text {k}" for k in range(3, 5000))
+
+
+def test_names_that_hold_a_noise_word_are_no_noise():
+    body = "<article><h1>T</h1>{}</article>"
+    for kept in ('<div class="share-price">5</div>', '<section class="copyright-law"><p>5</p></section>', '<p id="search-results">5</p>', '<p class="form">5</p>'):
+        assert text_of(body.format(kept)) == "T 5"
+    for gone in ('<div class="share-buttons">5</div>', '<section id="comments"><p>5</p></section>', '<p class="ad">5</p>', '<div class="x newsletter-signup">5</div>'):
+        assert text_of(body.format(gone)) == "T"
+
+
+def test_a_line_on_all_pages_goes_from_short_articles_too(spark):
+    line = "<p>Subscribe to our weekly letter for more of this.</p>"
+    page = lambda k: f"<article><p>{f'Long text of page {k}, ' * 30 if k else 'Short.'}</p>{line}</article>"
+    got = extracted(spark, [(k, f"http://a.com/{k}", page(k)) for k in range(12)])
+    assert got[0] == "Short." and "Subscribe" not in got[5] and got[5].startswith("Long text of page 5")
+
+
+def test_long_and_malformed_pages_take_one_scan():
+    assert text_of("<article><p>kept</p>" + "a <a <a <" * 120_000) == "kept a"
+    assert text_of("<article>" + "<div>" * 20_000 + "</p>" * 20_000 + "<p>deep</p>") == "deep"
+    assert text_of("<article><p>x</p>" + "<li></li><ul>" * 20_000) == "x"
+    assert text_of("<article><p>" + "word " * 300_000) == " ".join(["word"] * 300_000)
+    assert text_of("<article><p>a<!-- cut off <p>b") == "a"
+    assert text_of("<article><p>a<!-->b<!-- x --!>c</ d>e<?php f ?>g") == "abceg"
+    assert text_of("<article><script>if (a </scripty) '</article>'</SCRIPT ><p title='>'>t</p>") == "t"
+
+
+def test_attributes():
+    assert pages.attributes(""" CLASS=a id = 'b c' class="z" hidden data-x="&lt;" /""") == {"class": "a", "id": "b c", "hidden": "", "data-x": "<"}
