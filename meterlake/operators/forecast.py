@@ -94,6 +94,15 @@ def _forecast(val: DataFrame, series: Series, table: DataFrame, period: int, pre
     return joined.withColumn("y_pred", pred).select(*val.columns, "y_pred")
 
 
+def naive_forecast(
+    steps: DataFrame, series: Series, table: DataFrame, period: int, paths: DataFrame, pred: Column
+) -> DataFrame:
+    """Rows with their `step` and `y_pred`: `pred` of the row of `paths` for their series and step, else the naive forecast."""
+    keys = list(series.keys)
+    joined = steps.join(paths, [*keys, "step"], "left").join(durable(table), keys, "left").withColumn("_period", F.lit(period))
+    return joined.withColumn("y_pred", F.coalesce(pred, _naive()))
+
+
 def seasonal_naive(
     train: DataFrame, val: DataFrame, series: Series, value: str = "meter_reading", period: int = 24
 ) -> DataFrame:

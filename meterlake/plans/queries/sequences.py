@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.operators import clean, evaluate, explore, features, forecast, split
+from meterlake.operators import clean, evaluate, explore, features, forecast, seasonal, split
 from meterlake.plans.prepare import prepare
 from meterlake.plans.queries.catalog import SQL, on, query, r, rounded_scores, scores, sr, sstamp, stamp
 from meterlake.plans.queries.tables import EASTER, site_holiday
@@ -392,6 +392,81 @@ def forecast_ar_grid(spark, d):
     return out.select("event_type", stamp("ts"), r("y_pred", 3))
 
 
+_SEASONAL = dict(
+    **{k: _FOLDS[k] for k in ("train", "val")},
+    z="SELECT event_type, ts, ln(1 + greatest(y, 0)) AS z0 FROM train",
+    lags="SELECT *, lag(z0, 1) OVER w AS z1, lag(z0, 24) OVER w AS z24, lag(z0, 25) OVER w AS z25 FROM z WINDOW w AS (PARTITION BY event_type ORDER BY ts)",
+    s="""SELECT event_type, count(*) AS n, avg(z0) AS m0, avg(z1) AS m1, avg(z24) AS m24, var_pop(z0) AS v0, var_pop(z1) AS v1,
+        var_pop(z24) AS v24, covar_pop(z0, z1) AS c1, covar_pop(z0, z24) AS c24, covar_pop(z1, z24) AS c124 FROM lags
+        WHERE z24 IS NOT NULL GROUP BY event_type""",
+    fit="""SELECT event_type, n, m0 - p1 * m1 - p24 * m24 AS level, p1, p24,
+        v0 - 2 * (p1 * c1 + p24 * c24) + p1 * p1 * v1 + p24 * p24 * v24 + 2 * p1 * p24 * c124 AS error FROM (SELECT *,
+        (c1 * v24 - c24 * c124) / (v1 * v24 - c124 * c124) AS p1, (c24 * v1 - c1 * c124) / (v1 * v24 - c124 * c124) AS p24 FROM s)""",
+)
+YESTERDAY = seasonal.Order(ar=(1, 24))
+
+
+@query(
+    "seasonal_coefficients",
+    on(
+        "hourly",
+        f"""SELECT event_type, n AS "rows", {sr('p1', 6, 'phi1')}, {sr('p24', 6, 'phi24')}, {sr('level', 6)}, {sr('error', 6)},
+        {sr('n * ln(error) + 8', 3, 'aic')} FROM fit""",
+        **_SEASONAL,
+    ),
+)
+def seasonal_coefficients(spark, d):
+    """A fixed order by least squares: the hour before and the same hour of the day before."""
+    train, _ = split.split_at(frames.hourly(spark, d), CUT, "ts")
+    fitted = seasonal.fit_seasonal(train, frames.HOURLY, "y", orders=[YESTERDAY])
+    phi = lambda k, name: r(F.element_at("phi", k), 6, name)
+    return fitted.select("event_type", "rows", phi(1, "phi1"), phi(2, "phi24"), r("level", 6), r("error", 6), r("aic", 3))
+
+
+@query(
+    "seasonal_differenced",
+    on(
+        "hourly",
+        f"""SELECT event_type, count(*) AS "rows", {sr('sum(w0 * w1) / sum(w1 * w1)', 6, 'phi1')} FROM (
+        SELECT event_type, z0 - z24 AS w0, z1 - z25 AS w1 FROM lags WHERE z25 IS NOT NULL) GROUP BY event_type""",
+        **{k: _SEASONAL[k] for k in ("train", "z", "lags")},
+    ),
+)
+def seasonal_differenced(spark, d):
+    """The change from the day before, and how much of it lasts for an hour."""
+    train, _ = split.split_at(frames.hourly(spark, d), CUT, "ts")
+    fitted = seasonal.fit_seasonal(train, frames.HOURLY, "y", orders=[seasonal.Order(ar=(1,), seasonal=True)])
+    return fitted.select("event_type", "rows", r(F.element_at("phi", 1), 6, "phi1"))
+
+
+@query(
+    "forecast_seasonal_order",
+    # the recurrence itself, step by step, with the last day as its state
+    on(
+        "hourly", "", **_SEASONAL,
+        tails="SELECT event_type, list(z0 ORDER BY ts) AS day FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS b FROM z) WHERE b <= 24 GROUP BY event_type",
+    ).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + f""", path AS (SELECT event_type, CAST(0 AS BIGINT) AS step, day, p1, p24, level FROM fit JOIN tails USING (event_type)
+        UNION ALL SELECT event_type, step + 1, list_append(day[2:], level + p1 * day[24] + p24 * day[1]), p1, p24, level FROM path
+        WHERE step < (SELECT max(step) FROM val))
+    SELECT v.event_type, {sstamp('v.ts', 'ts')}, {sr('exp(least(greatest(p.day[24], 0), 14)) - 1', 3, 'y_pred')}
+    FROM val v JOIN path p ON v.event_type = p.event_type AND v.step = p.step""",
+)
+def forecast_seasonal_order(spark, d):
+    """The path of the fixed order."""
+    train, val = split.split_at(frames.hourly(spark, d), CUT, "ts")
+    out = seasonal.forecast_seasonal(train, val, frames.HOURLY, "y", orders=[YESTERDAY], grid=False)
+    return out.select("event_type", stamp("ts"), r("y_pred", 3))
+
+
+@query("forecast_seasonal")
+def forecast_seasonal(spark, d):
+    """Every series with the best of all orders, fitted on the hourly grid."""
+    train, val = split.split_at(frames.hourly(spark, d), CUT, "ts")
+    out = seasonal.forecast_seasonal(train, val, frames.HOURLY, "y")
+    return out.select("event_type", stamp("ts"), r("y_pred", 3))
+
+
 # ---- the prepare job
 
 CUTOFF = "2000-01-01"
