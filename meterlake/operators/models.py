@@ -12,12 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.metrics import rmse
 from meterlake.functions.scalars import from_log, seconds
+from meterlake.operators.boosting import boost
 from meterlake.operators.quantiles import global_quantiles
 from meterlake.operators.split import with_fold_block
 from meterlake.session import cut_lineage
@@ -297,25 +298,28 @@ class RandomForest(_Tree):
 
 
 class BoostedTrees(_Tree):
-    """Boosting stops when the last tenth of the training time no longer improves."""
+    """The model of the best round on the last tenth of the training time; `losses` has the loss after every round. Rows of a
+    single point in time have no last tenth: then `rounds`, a hundred at most, are fitted by the loss on all rows."""
 
     name = "boosted_trees"
 
     def _train(self, df, label, time_col):
-        booster = GBTRegressor(
-            maxIter=self._setting("rounds", 100), stepSize=self._setting("step", 0.1), maxDepth=self._setting("max_depth", 6),
-            subsamplingRate=self._setting("max_samples", 0.9), featureSubsetStrategy=str(self._setting("max_features", 0.9)),
-            **self._shared(),
+        shared = self._shared()
+        tree = {k: shared[k] for k in ("minInstancesPerNode", "maxBins", "cacheNodeIds", "checkpointInterval", "maxMemoryInMB")}
+        share, rounds = self._setting("stopping_share", 0.1), self._setting("rounds", 1_500)
+        held = F.lit(False)
+        if share:
+            cut = global_quantiles(df.select(seconds(time_col).alias("_s")), "_s", [1 - share]).first()["q"][0]
+            held = seconds(time_col) > cut
+            share = not df.where(held).isEmpty()
+        rows = self._rows(df, label, held.alias("_late"))
+        model, self.losses = boost(
+            rows, F.col("_late"), VECTOR, "_label", "_prediction", rounds if share else min(rounds, 100), self._setting("patience", 50),
+            self._setting("step", 0.05), self._setting("max_features", 0.9), self._setting("max_samples", 0.9), self._setting("seed", 42),
+            maxDepth=self._setting("max_depth", 6), **tree,
         )
-        share = self._setting("stopping_share", 0.1)
-        if not share:
-            return booster.fit(self._rows(df, label))
-        cut = global_quantiles(df.select(seconds(time_col).alias("_s")), "_s", [1 - share]).first()["q"][0]
-        late = seconds(time_col) > cut
-        if df.where(late).isEmpty():  # one point in time: nothing to stop by
-            return booster.fit(self._rows(df, label))
-        rows = self._rows(df, label, late.alias("_held"))
-        return booster.setParams(validationIndicatorCol="_held", validationTol=0.001).fit(rows)
+        self.best_round = min(range(len(self.losses)), key=self.losses.__getitem__)
+        return model
 
 
 REGISTRY: dict[str, Callable[..., Regressor]] = {

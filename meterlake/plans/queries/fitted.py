@@ -8,7 +8,7 @@ from meterlake.operators import models, sampling, segments
 from meterlake.operators.encoding import TargetEncoder
 from meterlake.operators.features import drop_prefixed
 from meterlake.plans.queries.catalog import query, r, sr
-from meterlake.plans.queries.models import FEATURES, prepared, profiles
+from meterlake.plans.queries.models import ALL_MODELS, FEATURES, QUICK_BOOST, prepared, profiles
 from meterlake.session import durable, scratch_path
 from meterlake.sources import frames, tables
 
@@ -89,7 +89,7 @@ def forest_within_labels(spark, d):
 def importance_sums(spark, d):
     """Importances of every kind of tree add up to 1."""
     prep = prepared(spark, d)
-    made = [models.DecisionTree(), models.RandomForest(), models.BoostedTrees()]
+    made = [models.DecisionTree(), models.RandomForest(), models.BoostedTrees(**QUICK_BOOST)]
     rows = [(m.name, round(sum(m.fit(prep.train, prep.features).feature_importance().values()), 6)) for m in made]
     return spark.createDataFrame(rows, "model string, total double")
 
@@ -156,7 +156,7 @@ def registry_models(spark, d):
     prep = prepared(spark, d).stored()
     rows = []
     for name, made in models.REGISTRY.items():
-        model = made().fit(prep.train, prep.features)
+        model = made(**ALL_MODELS[name]).fit(prep.train, prep.features)
         if model.predict(prep.val).where("prediction is null").isEmpty():
             rows.append((name, model.family))
     return spark.createDataFrame(rows, "model string, family string")

@@ -23,12 +23,11 @@ from meterlake.sources import frames, tables
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "month_sin", "month_cos", "dayofweek_sin", "dayofweek_cos"]
 RAW = ["l_discount", "l_tax", "l_linenumber"]
 CUTOFF = "2000-01-01"
-# Small settings for tests; the registered queries take the defaults of the models and the lists of the configuration.
-SMALL_TREES = {"max_depth": 5, "max_bins": 32}
-SMALL_BOOST = {"rounds": 8, "max_depth": 4, "step": 0.3, "max_bins": 32}
+# Queries that fit several models: larger steps, and an end after three rounds without gain. `fit_gbt` has more patience.
+QUICK_BOOST = {"step": 0.3, "patience": 3}
 DEPTHS = (4, 8, 16, 24)
 CLUSTERS = range(2, 11)
-ALL_MODELS = {name: {} for name in models.REGISTRY}
+ALL_MODELS = {name: {} for name in models.REGISTRY} | {"boosted_trees": QUICK_BOOST}
 
 
 def priced(spark, d):
@@ -116,7 +115,31 @@ def fit_forest(spark, d):
 
 @query("fit_gbt")
 def fit_gbt(spark, d):
-    return scored(spark, d, "boosted_trees")
+    return scored(spark, d, "boosted_trees", step=0.2, patience=10)
+
+
+@query(
+    "boosting_losses",
+    # a tree of a feature with three values has a leaf for each: every round takes the same share of what is left of its mean
+    on(
+        "",
+        f"""SELECT CAST(round AS INTEGER) AS round, {sr('avg((label - score) * (label - score))', 6, 'loss')} FROM (
+        SELECT l.label, round, start + (1 - pow(0.7, round)) * (m.own - start) AS score FROM lines l JOIN means m USING (meter),
+        everything, unnest(range(0, 13)) AS r(round) WHERE held) GROUP BY round""",
+        lines=f"""SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS meter, ln(1 + l_extendedprice) AS label,
+        epoch(l_shipdate) > (SELECT quantile_cont(epoch(l_shipdate), 0.9) FROM lineitem WHERE l_shipdate < '{CUTOFF}') AS held
+        FROM lineitem WHERE l_shipdate < '{CUTOFF}'""",
+        means="SELECT meter, avg(label) AS own FROM lines WHERE NOT held GROUP BY meter",
+        everything="SELECT avg(label) AS start FROM lines WHERE NOT held",
+    ),
+)
+def boosting_losses(spark, d):
+    """The loss on held-out rows after every round of a small model."""
+    whole = {"max_features": "all", "max_samples": 1.0, "min_rows": 1}
+    train = prepared(spark, d).train
+    boosted = models.BoostedTrees(rounds=12, step=0.3, max_depth=2, **whole).fit(train, ["meter"])
+    out = spark.createDataFrame(list(enumerate(boosted.losses)), "round int, loss double")
+    return out.select("round", r("loss", 6))
 
 
 @query("feature_importance")
@@ -134,7 +157,7 @@ def top_features(spark, d):
 @query("feature_ablation")
 def feature_ablation(spark, d):
     sets = {"engineered": FEATURES, "raw": RAW}
-    return training.ablation(lambda name: prepared(spark, d, sets[name]), {"ols": {}, "decision_tree": {}})
+    return training.ablation(lambda name: prepared(spark, d, sets[name]), ALL_MODELS)
 
 
 @query("sample_complexity")
@@ -145,7 +168,7 @@ def sample_complexity(spark, d):
 @query("segment_vs_global")
 def segment_vs_global(spark, d):
     prep = prepared(spark, d)
-    return training.segment_vs_global(prep.train, prep.val, prep.features, "meter", "boosted_trees", 100)
+    return training.segment_vs_global(prep.train, prep.val, prep.features, "meter", "boosted_trees", 100, **QUICK_BOOST)
 
 
 @query("train_leaderboard")
@@ -227,7 +250,7 @@ def cluster_segments(spark, d):
     prep = prepared_events(spark, d)
     labels, _ = training.cluster_meters(prep, CLUSTERS)
     train, val = (fold.join(labels, "building_id") for fold in (prep.train, prep.val))
-    return training.segment_vs_global(train, val, prep.features, "cluster", "boosted_trees", 20)
+    return training.segment_vs_global(train, val, prep.features, "cluster", "boosted_trees", 20, **QUICK_BOOST)
 
 
 # ---- samples
