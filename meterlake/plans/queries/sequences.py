@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.operators import clean, evaluate, explore, features, forecast, seasonal, split
+from meterlake.operators import clean, evaluate, explore, features, forecast, seasonal, split, windows
 from meterlake.plans.prepare import prepare
 from meterlake.plans.queries.catalog import SQL, on, query, r, rounded_scores, scores, sr, sstamp, stamp
 from meterlake.plans.queries.tables import EASTER, site_holiday
@@ -255,6 +255,21 @@ def lookback_windows(spark, d):
     )
 
 
+def _window_numbers(views, y):
+    """What `lookback_windows` reports, from the windows of a block as one array of (windows, rows, features)."""
+    totals = views.sum(axis=1)
+    return {"target": y, "total": totals[:, 0], "first_value": views[:, 0, 0], "events": totals[:, 1].astype("int64"), "hours": totals[:, 2]}
+
+
+@query("window_blocks", SQL["lookback_windows"])
+def window_blocks(spark, d):
+    """The same windows, cut from blocks in which every row is written once."""
+    hours = frames.hourly(spark, d).withColumn("hour", F.hour("ts"))
+    blocks = windows.write_blocks(hours, frames.HOURLY, ["y", "n", "hour"], "y", 168)
+    out = windows.over_windows(blocks, _window_numbers, "target double, total double, first_value double, events long, hours double", stride=6)
+    return out.select("event_type", stamp("ts"), "target", F.lit(168).alias("size"), r("total", 3), "first_value", "events", r("hours", 3))
+
+
 @query(
     "cv_folds",
     on(
