@@ -1,13 +1,13 @@
 """Exact quantiles by group, for groups of any size.
 
-`percentile` keeps one value-to-count map per group in a single task. Groups above `large_rows` are
-answered by counting instead: each pass counts values in equal slices of the open interval and keeps the
-slice that holds the wanted rank, until few rows are left.
+`percentile` keeps one value-to-count map per group in a single task. Groups above `large_rows` take two passes: one
+builds a mergeable sketch per group, whose quantiles bracket the wanted ranks, and one counts what lies in the brackets,
+about 8 / SKETCH of the rows. The result is exact whatever the sketch says, and the number of passes does not depend on
+the values.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from meterlake.operators.series import same_keys
 from meterlake.session import durable
 
-SLICES = 4096
-MOST = sys.float_info.max
+SKETCH = 32_768  # parameter of the sketches; their ranks are off by about 2 / SKETCH of the rows
 
 
 def group_quantiles(
@@ -41,7 +40,7 @@ def group_quantiles(
         return rows.groupBy(*keys).agg(exact) if keys else rows.agg(exact)
     large = durable(large)  # Spark knows its size then
     small = rows.join(large, same_keys(rows, large, by), "left_anti").groupBy(*by).agg(exact)
-    out = small.unionByName(_by_counting(rows, large, by, probs, large_rows))
+    out = small.unionByName(_by_sketch(rows, large, by, probs))
     return out.select(*keys, "q")
 
 
@@ -50,76 +49,75 @@ def global_quantiles(df: DataFrame, value: str, probs: Sequence[float], large_ro
     return group_quantiles(df, [], value, probs, large_rows)
 
 
-def _by_counting(rows: DataFrame, groups: DataFrame, by: list[str], probs, fits: int) -> DataFrame:
-    wanted = groups.select(
-        *by, "lo", "hi", "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("i", "p")
-    ).withColumn("at", F.col("p") * (F.col("_n") - 1))
-    brackets = durable(
-        wanted.select(
-            *by,
-            F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank"),
-            "lo",
-            "hi",
-            F.lit(0).cast("long").alias("below"),
-            F.col("_n").alias("held"),
-        ).distinct()
-    )
-    is_open = (F.col("lo") < F.col("hi")) & (F.col("held") > fits)
-    while not brackets.where(is_open).isEmpty():
-        brackets = durable(brackets.where(~is_open).unionByName(_narrower(rows, brackets.where(is_open), by)))
-    values = brackets.where(F.col("lo") == F.col("hi")).select(*by, "rank", F.col("lo").alias("v"))
-    values = values.unionByName(_read_ranks(rows, brackets.where(F.col("lo") < F.col("hi")), by))
-    return _interpolate(wanted, durable(values), by)
-
-
-def _inside(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
-    """Values that fall into a bracket of their group, once per bracket."""
-    marks = F.broadcast(brackets.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)], "rank", "lo", "hi", "below"))
-    match = (rows["_v"] >= marks["lo"]) & (rows["_v"] <= marks["hi"])
+def _by_sketch(rows: DataFrame, groups: DataFrame, by: list[str], probs, k: int = SKETCH) -> DataFrame:
+    """Sketches, merged from those of the tasks, bracket every wanted quantile. One more pass counts the values inside the
+    brackets and the rows below, and so reads the ranks exactly. A bracket that turns out to miss a rank is widened."""
+    wanted = groups.select(*by, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("i", "p"))
+    wanted = wanted.withColumn("at", F.col("p") * (F.col("_n") - 1))
+    mine = rows.join(groups.select(*by), same_keys(rows, groups, by), "left_semi")
+    sketches = durable(mine.groupBy(*by).agg(F.kll_sketch_agg_double("_v", F.lit(k)).alias("_sketch")))
+    bounds = _matched(sketches, groups.select(*by, "lo", "hi"), by)
+    missed = durable(wanted.select(*by, "i", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct())
+    found = None
+    for wide in (4, 64, None):
+        open_still = missed.select(*by, "i").distinct()
+        brackets = durable(_matched(open_still, _brackets(bounds, by, probs, wide and wide / k), [*by, "i"]))
+        values = durable(_holding_ranks(_counted(mine, brackets, by), missed, by))
+        found = values if found is None else found.unionByName(values)
+        missed = missed.join(values, same_keys(missed, values, [*by, "i", "rank"]), "left_anti")
+        if missed.isEmpty():
+            return _interpolate(wanted, found, by)
+    raise AssertionError("the whole range of a group holds all its ranks")
+
+
+def _matched(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    more = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], *[c for c in right.columns if c not in by])
+    match = F.lit(True)
     for i, k in enumerate(by):
-        match = match & rows[k].eqNullSafe(marks[f"_b{i}"])
-    return rows.join(marks, match).select(*by, "_v", "rank", "lo", "hi", "below")
+        match = match & left[k].eqNullSafe(more[f"_k{i}"])
+    return left.join(more, match).drop(*[f"_k{i}" for i in range(len(by))])
+
+
+def _brackets(bounds: DataFrame, by: list[str], probs, margin: float | None) -> DataFrame:
+    """For each probability the values of the sketch at `margin` (a share of the rows) before and after it."""
 
+    def at(p: float) -> Column:
+        return F.kll_sketch_get_quantile_double("_sketch", F.lit(p))
 
-def _holding_rank(counted: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Of the counted slices of each bracket, the one that holds the rank; adds `start`, the rows before it."""
-    earlier = Window.partitionBy(*by, "rank").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("below") + F.coalesce(F.sum("held").over(earlier), F.lit(0))
-    return counted.withColumn("start", start).where(
-        (F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("start") + F.col("held"))
-    )
+    sides = []
+    for i, p in enumerate(probs):
+        low = F.col("lo") if margin is None or p - margin <= 0 else at(p - margin)
+        high = F.col("hi") if margin is None or p + margin >= 1 else at(p + margin)
+        sides.append(F.struct(F.lit(i).alias("i"), low.alias("lo"), high.alias("hi")))
+    return bounds.select(*by, F.explode(F.array(*sides)).alias("s")).select(*by, "s.*")
 
 
-def _narrower(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
-    # Every step is monotone in the value, so a slice never mixes ranks with its neighbours. Infinities are slices of
-    # their own; halves keep the width of the others finite. A bracket ends at values that occur, its ends fall into
-    # different slices, and so every pass narrows it.
-    low, high = (F.greatest(F.least(F.col(c), F.lit(MOST)), F.lit(-MOST)) / 2 for c in ("lo", "hi"))
-    share = F.when(high > low, (F.col("_v") / 2 - low) / (high - low)).otherwise(0.0)
-    inner = F.greatest(F.least(F.floor(share * SLICES), F.lit(SLICES - 1)), F.lit(0))
-    slice_no = F.when(F.col("_v") > MOST, SLICES).when(F.col("_v") < -MOST, -1).otherwise(inner)
-    counted = (
-        _inside(rows, brackets, by)
-        .groupBy(*by, "rank", "below", slice_no.alias("slice"))
-        .agg(F.count(F.lit(1)).alias("held"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    )
-    return _holding_rank(counted, by, "slice").select(*by, "rank", "lo", "hi", F.col("start").alias("below"), "held")
+def _counted(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """Per bracket, how often each value inside occurs; the rows below are one more count, of null."""
+    marks = brackets.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)], "i", "lo", "hi")
+    match = rows["_v"] <= marks["hi"]
+    for i, k in enumerate(by):
+        match = match & rows[k].eqNullSafe(marks[f"_b{i}"])
+    inside = F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("v")
+    return rows.join(marks, match).groupBy(*by, "i", inside).agg(F.count(F.lit(1)).alias("held"))
 
 
-def _read_ranks(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
-    counted = (
-        _inside(rows, brackets, by).groupBy(*by, "rank", "below", F.col("_v").alias("v")).agg(F.count(F.lit(1)).alias("held"))
-    )
-    return _holding_rank(counted, by, "v").select(*by, "rank", "v")
+def _holding_ranks(counted: DataFrame, ranks: DataFrame, by: list[str]) -> DataFrame:
+    """The counted value that holds each rank; none if the rank lies outside its bracket."""
+    order = Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first())
+    end = F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("held")).where(F.col("v").isNotNull())
+    pairs = _matched(placed, ranks, [*by, "i"])
+    return pairs.where((F.col("_start") <= F.col("rank")) & (F.col("rank") < F.col("_end"))).select(*by, "i", "rank", "v")
 
 
 def _interpolate(wanted: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     def read(frame: DataFrame, side: Column, name: str) -> DataFrame:
-        picked = values.select(*[F.col(k).alias(f"_{name}{i}") for i, k in enumerate(by)], F.col("rank").alias(f"_{name}r"), F.col("v").alias(name))
-        match = side == picked[f"_{name}r"]
+        picked = values.select(*[F.col(k).alias(f"_{name}{i}") for i, k in enumerate(by)], F.col("i").alias(f"_{name}p"), F.col("rank").alias(f"_{name}r"), F.col("v").alias(name))
+        match = (side == picked[f"_{name}r"]) & (frame["i"] == picked[f"_{name}p"])
         for i, k in enumerate(by):
             match = match & frame[k].eqNullSafe(picked[f"_{name}{i}"])
-        return frame.join(F.broadcast(picked), match)
+        return frame.join(picked, match)
 
     both = read(wanted, F.floor(wanted["at"]), "v0")
     both = read(both, F.ceil(both["at"]), "v1")

@@ -100,6 +100,21 @@ def test_heavy_tail_quantile(spark):
     assert got == pytest.approx(want, rel=1e-12)
 
 
+def test_a_sketch_that_misses_costs_a_pass_and_no_error(spark, monkeypatch):
+    """Brackets that lie beside their ranks: the whole range is read in the end."""
+    monkeypatch.setattr(quantiles, "_brackets", off_by(quantiles._brackets))
+    rows = spark.range(30_000).select((F.col("id") * 7919 % 30_011).cast("double").alias("y"))
+    probs = [0.0, 0.123, 0.5, 1.0]
+    want = quantiles.global_quantiles(rows, "y", probs).first()["q"]
+    monkeypatch.setattr(quantiles._by_sketch, "__defaults__", (64,))
+    assert quantiles.global_quantiles(rows, "y", probs, 100).first()["q"] == pytest.approx(want, rel=1e-12)
+
+
+def off_by(brackets):
+    """Brackets beside the wanted rank, but for the whole range."""
+    return lambda bounds, by, probs, margin: brackets(bounds, by, probs if margin is None else [min(1.0, p + 0.2) for p in probs], margin and margin / 100)
+
+
 def test_single_row_series(hourly):
     s = Series(long_rows=0, chunk_rows=2)
     out = features.add_history_features(hourly([5.0]), s).collect()
