@@ -123,6 +123,10 @@ class _Linear(Regressor):
 class OLS(_Linear):
     name = "ols"
 
+    def solve(self, blocks: list[np.ndarray]) -> Line:
+        """The line of all rows, from the moments of blocks of time."""
+        return elastic_line(sum(blocks), 0.0, 0.0, False)
+
     def _train(self, df, label, time_col):
         rows = self._scaled(df, label)
         model = self._solve(rows)
@@ -224,17 +228,20 @@ class _Penalised(_Linear):
         self.scaler = Standardizer().fit(df, self.features)
         known = self.scaler.transform(df.select(*self.scaler.kept, F.col(label).alias("_label"), F.col(time_col).alias("_time")))
         blocks = moments(with_fold_block(known, splits, "_time"), [*self.scaler.kept, "_label"], "block")
-        whole = sum(blocks.values())
+        return self.solve([blocks.get(b, np.zeros((len(self.scaler.kept) + 2,) * 2)) for b in range(splits + 1)])
+
+    def solve(self, blocks: list[np.ndarray]) -> Line:
+        """The line with the best penalty over the folds, each of which learns from the blocks before its own."""
         losses = {}
         for candidate in self._candidates():
             per_fold = []
-            for fold in range(1, splits + 1):
-                earlier = [m for b, m in blocks.items() if b < fold]
-                if earlier and fold in blocks:
-                    per_fold.append(self._loss(blocks[fold], elastic_line(sum(earlier), *candidate, self.per_row)))
+            for fold in range(1, len(blocks)):
+                earlier = sum(blocks[:fold])
+                if earlier[0, 0] and blocks[fold][0, 0]:
+                    per_fold.append(self._loss(blocks[fold], elastic_line(earlier, *candidate, self.per_row)))
             losses[candidate] = sum(per_fold) / max(1, len(per_fold))
         self.chosen = min(losses, key=losses.get)
-        return elastic_line(whole, *self.chosen, self.per_row)
+        return elastic_line(sum(blocks), *self.chosen, self.per_row)
 
 
 class Ridge(_Penalised):
@@ -327,6 +334,9 @@ REGISTRY: dict[str, Callable[..., Regressor]] = {
 }
 
 
+LINEAR = {name: m for name, m in REGISTRY.items() if issubclass(m, _Linear)}
+
+
 def depth_sweep(train: DataFrame, val: DataFrame, features: Sequence[str], depths: Sequence[int], label: str = "label", log_target: bool = True, **params) -> DataFrame:
     """Validation RMSE of the reading and fit time of a decision tree per depth; the label is its log where `log_target`."""
     rows = []

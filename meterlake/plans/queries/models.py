@@ -165,6 +165,28 @@ def sample_complexity(spark, d):
     return training.sample_complexity(prepared(spark, d), ALL_MODELS).drop("train_seconds")
 
 
+SHARES = (0.1, 0.25, 0.5, 0.75, 1.0)
+
+
+@query(
+    "sample_complexity_line",
+    on(
+        "",
+        f"""SELECT CAST(share AS DOUBLE) AS fraction, any_value(n) AS n_train, count(*) AS n,
+        {sr('sqrt(avg(pow(exp(least(greatest(a + b * l_quantity, 0), 14)) - 1 - l_extendedprice, 2)))', 3, 'rmse')}
+        FROM fits, (SELECT * FROM lineitem WHERE l_shipdate >= '{CUTOFF}') GROUP BY share""",
+        t=f"SELECT epoch(l_shipdate) AS s, l_quantity AS x, ln(1 + l_extendedprice) AS y FROM lineitem WHERE l_shipdate < '{CUTOFF}'",
+        ends=f"""SELECT share, CASE WHEN share = 1 THEN (SELECT max(s) FROM t) ELSE (SELECT s FROM (SELECT s, row_number() OVER (ORDER BY s) AS k FROM t)
+            WHERE k = greatest(1, CAST(floor(share * (SELECT count(*) FROM t)) AS BIGINT))) END AS last FROM unnest([{', '.join(map(str, SHARES))}]) AS u(share)""",
+        fits="SELECT share, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM ends JOIN t ON s <= last GROUP BY share",
+    ),
+)
+def sample_complexity_line(spark, d):
+    """Least squares on the quantity, fitted on growing prefixes from one scan."""
+    out = training.sample_complexity(prepared(spark, d, ["l_quantity"]), {"ols": {}}, SHARES)
+    return out.select("fraction", "n_train", "n", r("rmse", 3))
+
+
 @query("segment_vs_global")
 def segment_vs_global(spark, d):
     prep = prepared(spark, d)
