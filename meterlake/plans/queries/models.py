@@ -108,6 +108,25 @@ def fit_tree_sweep(spark, d):
     return models.depth_sweep(prep.train, prep.val, prep.features, DEPTHS).drop("train_seconds")
 
 
+@query(
+    "tree_stump",
+    on(
+        "",
+        f"""SELECT {sr('y', 4, 'mean')}, n FROM (SELECT avg(y) AS y, count(*) AS n FROM t, best GROUP BY x <= cut)""",
+        t="SELECT l_quantity AS x, ln(1 + l_extendedprice) AS y FROM lineitem",
+        sums="SELECT x, sum(sum(y)) OVER (ORDER BY x) AS s, sum(count(*)) OVER (ORDER BY x) AS n FROM t GROUP BY x",
+        best="""SELECT x AS cut FROM sums, (SELECT sum(y) AS a, count(*) AS c FROM t) WHERE n < c
+            ORDER BY s * s / n + (a - s) * (a - s) / (c - n) DESC LIMIT 1""",
+    ),
+)
+def tree_stump(spark, d):
+    """The best single split of the log price by quantity: rows and means of its two sides."""
+    lines = priced(spark, d)
+    stump = models.DecisionTree(max_depth=1, min_rows=1).fit(lines, ["l_quantity"])
+    sides = stump.predict(lines).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    return sides.select(r("prediction", 4, "mean"), "n")
+
+
 @query("fit_forest")
 def fit_forest(spark, d):
     return scored(spark, d, "random_forest")

@@ -183,3 +183,18 @@ def test_registered_fits_take_whole_settings(monkeypatch, spark, folder):
     for run in (queries.fit_forest, queries.fit_gbt):
         run(spark, folder)
         assert given["scored"][1] == {}
+
+
+def test_cut_trees_equal_trees_fitted_to_the_depth(linear):
+    _, df = linear
+    depths = (0, 1, 2, 4, 9)
+    deepest = models.DecisionTree(max_depth=9, min_rows=5).fit(df, NAMES)
+    leaves = models.cut_at(deepest.model, depths)
+    found = deepest.model.setLeafCol("leaf").transform(deepest._vectors(df)).orderBy("timestamp").select("leaf").collect()
+    for k, depth in enumerate(depths):
+        own = models.DecisionTree(max_depth=depth, min_rows=5).fit(df, NAMES).predict(df).orderBy("timestamp").toPandas().prediction
+        np.testing.assert_allclose([leaves[int(r.leaf)][k] for r in found], own, rtol=1e-12)
+    swept = models.depth_sweep(df, df, NAMES, depths, log_target=False, min_rows=5).collect()
+    errors = [r.rmse for r in swept]
+    assert [r.max_depth for r in swept] == list(depths) and errors == sorted(errors, reverse=True)
+    assert [r.train_seconds is None for r in swept] == [True] * 4 + [False]
