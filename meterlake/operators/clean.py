@@ -197,6 +197,54 @@ def apply_streak_strategy(
     return cap_outliers(handle_streaks(df, series, strategy, value, min_hours), series, value, quantile)
 
 
+@by_length
+def _treated(df: DataFrame, series: Series, value: str, min_hours: int) -> DataFrame:
+    marked = with_zero_runs(convert_units(drop_negative(df, value), value), series, value)
+    kept = F.col("zero_run") < min_hours
+    rows = nearest_marks(marked.withColumn("drop", F.when(kept, F.col(value))), series, {"seen": F.col("drop")}).drop(POS, SIZE)
+    if series.split:
+        rows = durable(rows)  # read for the means and for the rows
+        means = durable(rows.groupBy(*series.keys).agg(F.avg("drop").alias("_mean")))
+        rows = rows.join(means, same_keys(rows, means, series.keys), "left").select(*[rows[c] for c in rows.columns], "_mean")
+    else:
+        rows = rows.withColumn("_mean", F.avg("drop").over(Window.partitionBy(*series.keys)))
+    return rows.select(
+        *df.columns,
+        kept.alias("kept"),
+        "drop",
+        F.coalesce("drop", "seen_before", "seen_after").alias("ffill"),
+        F.when(kept, F.col(value)).otherwise(F.coalesce("_mean", F.lit(0.0))).alias("meter_mean"),
+        F.col(value).alias("keep_zeros"),
+    )
+
+
+def all_treatments(
+    df: DataFrame, series: Series = Series(), value: str = "meter_reading", min_hours: int = 48, quantile: float = 0.999
+) -> DataFrame:
+    """The reading after each of the four treatments of long zero runs, capped, as a column named like its strategy, next to
+    the columns of `df`. `kept` tells the rows that "drop" leaves. Written.
+
+    Runs are worked out once, in one pass by series, and all caps in another.
+    """
+    treated = durable(_treated(df, series, value, min_hours))
+    kinds = [F.struct(F.lit(s).alias("s"), F.col(s).cast("double").alias("v")) for s in STRATEGIES]
+    each = treated.select(*series.keys, F.explode(F.array(*kinds)).alias("t")).select(*series.keys, "t.*")
+    found = group_quantiles(each, [*series.keys, "s"], "v", [quantile])
+    caps = found.groupBy(*series.keys).agg(*[F.max(F.when(F.col("s") == s, F.col("q")[0])).alias(f"_cap_{s}") for s in STRATEGIES])
+    caps = durable(caps.na.drop(subset=list(series.keys)))  # rows with a null key belong to no series
+    joined = treated.join(caps, same_keys(treated, caps, series.keys), "left").select(*[treated[c] for c in treated.columns], *[f"_cap_{s}" for s in STRATEGIES])
+    capped = {s: F.when(F.col(s).isNotNull(), F.least(F.col(s), F.coalesce(f"_cap_{s}", F.col(s)))) for s in STRATEGIES}
+    return durable(joined.withColumns(capped).drop(*[f"_cap_{s}" for s in STRATEGIES]))
+
+
+def treatment(treated: DataFrame, strategy: str, value: str = "meter_reading") -> DataFrame:
+    """The readings of one strategy, from `all_treatments`."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy {strategy!r} is none of {sorted(STRATEGIES)}")
+    rows = treated.where("kept") if strategy == "drop" else treated
+    return rows.withColumn(value, F.col(strategy)).drop("kept", *[s for s in STRATEGIES if s != value])
+
+
 def basic_clean(
     df: DataFrame, series: Series = Series(), value: str = "meter_reading", quantile: float = 0.999, min_hours: int = 48
 ) -> DataFrame:

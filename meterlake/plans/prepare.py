@@ -56,18 +56,21 @@ def clean_history(
     readings: DataFrame,
     series: Series,
     sites: DataFrame,
-    strategy: str = "drop",
+    strategy: str | None = "drop",
     quantile: float = 0.999,
     min_hours: int = 48,
     lags: Sequence[int] = (24, 168),
     windows: Sequence[int] = (24, 168),
     cap_rows: Column | None = None,
 ) -> DataFrame:
-    """Cleaned readings with lags and rolling statistics; `sites` gives the site of each building.
+    """Cleaned readings with lags and rolling statistics; `sites` gives the site of each building. With no strategy the
+    readings are taken as they come, as from `clean.treatment`.
 
     Cleaning and history need nothing but the reading and its site, so the wide context is joined later and one
     shuffle of narrow rows by series serves zero runs, caps, lags and rolling frames.
     """
+    if strategy is None:
+        return features.add_history_features(readings, series, lags=lags, windows=windows)
     narrow = readings.join(sites.select("building_id", "site_id"), "building_id", "left")
     tidy = clean.handle_streaks(narrow, series, strategy, min_hours=min_hours).select(*readings.columns)
     if cap_rows is None:

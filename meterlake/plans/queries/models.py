@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterlake.functions.scalars import to_log, wave
-from meterlake.operators import models, sampling, segments
+from meterlake.operators import clean, models, sampling, segments
 from meterlake.operators.series import Series
 from meterlake.operators.split import split_at
 from meterlake.plans import training
@@ -212,6 +212,16 @@ def segment_vs_global(spark, d):
     return training.segment_vs_global(prep.train, prep.val, prep.features, "meter", "boosted_trees", 100, **QUICK_BOOST)
 
 
+@query("imputation_experiment")
+def imputation_experiment(spark, d):
+    """Boosted trees after each treatment of runs of zeros, all cleaned in one pass."""
+    rows = frames.readings(spark, d)
+    sites = frames.meta(spark, d).select("building_id", "site_id")
+    treated = clean.all_treatments(rows.join(sites, "building_id", "left"), frames.READINGS, min_hours=2, quantile=0.99)
+    prep_of = lambda s: prepare_lines(spark, d, clean.treatment(treated, s).select(*rows.columns), strategy=None)
+    return training.imputation_experiment(prep_of, clean.STRATEGIES, **QUICK_BOOST).drop("train_seconds")
+
+
 @query("train_leaderboard")
 def train_leaderboard(spark, d):
     prep = prepare_lines(spark, d)

@@ -160,6 +160,15 @@ def imputation_strategies(spark, d):
     return reduce(DataFrame.unionByName, map(summed, clean.STRATEGIES))
 
 
+@query("imputation_columns", SQL["imputation_strategies"])
+def imputation_columns(spark, d):
+    """The same four treatments from one pass over the series."""
+    treated = clean.all_treatments(frames.zeros(spark, d), frames.ZEROS, "y", 2)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("v"), (F.col("kept") | F.lit(s != "drop")).alias("here")) for s in clean.STRATEGIES]))
+    rows = treated.select(each.alias("t")).select("t.*").where("here")
+    return rows.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), r(F.sum("v"), 3, "total"))
+
+
 # ---- gaps
 
 
@@ -555,10 +564,10 @@ def prepare_features(spark, d):
     )
 
 
-def prepare_lines(spark, d, **settings):
+def prepare_lines(spark, d, readings=None, **settings):
     """The prepare job on the line items, runs of two zeros counting as an outage."""
     chosen = {"min_hours": 2, "quantile": 0.99, **settings}
     return prepare(
-        frames.readings(spark, d), tables.derive_meta(frames.meta(spark, d)), durable(frames.weather(spark, d)),
+        frames.readings(spark, d) if readings is None else readings, tables.derive_meta(frames.meta(spark, d)), durable(frames.weather(spark, d)),
         lambda frame: split.split_at(frame, CUTOFF), frames.READINGS, frames.WEATHER, **chosen,
     )

@@ -156,13 +156,15 @@ def sample_complexity(
 def imputation_experiment(
     prep_of: Callable[[str], Prepared], strategies: Sequence[str], model: str = "boosted_trees", **params
 ) -> DataFrame:
-    """The same model after each treatment of long zero runs."""
+    """The same model after each treatment of long zero runs: rows of both folds and the scores on validation.
+
+    `prep_of` prepares the readings of a strategy, best from one table of `clean.all_treatments`."""
     rows, spark = [], None
     for strategy in strategies:
-        prep = prep_of(strategy)
+        prep = prep_of(strategy).stored()
         spark = prep.train.sparkSession
-        rows.append({"strategy": strategy, "n_train": prep.train.count(), **score_model(REGISTRY[model](**params), prep)})
-    return _as_table(spark, rows, "strategy string, n_train long, " + SCORE_SCHEMA)
+        rows.append({"strategy": strategy, "n_train": prep.train.count(), "n_val": prep.val.count(), **score_model(REGISTRY[model](**params), prep)})
+    return _as_table(spark, rows, "strategy string, n_train long, n_val long, " + SCORE_SCHEMA)
 
 
 def segment_predictions(

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from helpers import values
+from helpers import assert_same, values
 from pyspark.sql import functions as F
 
 from meterlake.operators import clean
@@ -128,3 +128,26 @@ def test_strategies_differ_only_in_streaks(hourly):
 
 def test_basic_clean_on_an_empty_frame(hourly):
     assert clean.basic_clean(hourly([])).count() == 0
+
+
+ZEROS = [3, 0, 0, 0, None, 0, 0, 7, 0, 5, -2, 0, 0, 0, 0, 9000, 4, 0, 0, 0]
+
+
+@pytest.mark.parametrize("series", [Series(), Series(long_rows=5, chunk_rows=4)])
+@pytest.mark.parametrize("strategy", clean.STRATEGIES)
+def test_all_treatments_at_once_equal_each_alone(hourly, series, strategy):
+    df = hourly(ZEROS).unionByName(hourly([0] * 6, building=1, meter=1)).unionByName(hourly([None, 2], building=2, meter=1))
+    lost = hourly([1, 5, 900], start="2016-03-01").withColumn("building_id", F.lit(None).cast("long"))
+    df = df.unionByName(lost)  # belongs to no series
+    treated = clean.all_treatments(df, series, min_hours=3, quantile=0.9)
+    got = clean.treatment(treated, strategy)
+    want = clean.apply_streak_strategy(df, series, strategy, min_hours=3, quantile=0.9)
+    assert got.columns == df.columns
+    assert_same(got, want, ["timestamp", "building_id"])
+
+
+def test_all_treatments_of_nothing_and_of_an_unknown_kind(hourly):
+    treated = clean.all_treatments(hourly([1]).limit(0))
+    assert treated.count() == 0
+    with pytest.raises(ValueError):
+        clean.treatment(treated, "other")
