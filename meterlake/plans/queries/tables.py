@@ -12,6 +12,7 @@ from meterlake.plans.queries.catalog import on, query, r, sr, sstamp, stamp
 from meterlake.plans.training import baseline_group_mean
 from meterlake.session import durable, scratch_path
 from meterlake.sources import frames, tables
+from meterlake.sources.versions import VersionedTable
 
 CUT = "2024-01-22"
 KEYS = ["building_id", "meter"]
@@ -60,6 +61,30 @@ def parquet_roundtrip(spark, d):
     return tables.read_by_month(spark, path).select("o_orderkey", stamp("o_orderdate", "ts"), "o_totalprice")
 
 
+@query(
+    "parquet_range",
+    f"""SELECT o_orderkey, {sstamp('o_orderdate', 'ts')} FROM orders WHERE o_orderdate >= '1996-02-10' AND o_orderdate < '1997-05-01'""",
+)
+def parquet_range(spark, d):
+    """A range of days from a table by month; other months are not opened."""
+    path = scratch_path(spark, "by_month")
+    tables.write_by_month(frames.table(spark, d, "orders"), path, "o_orderdate")
+    return tables.read_by_month(spark, path, "1996-02-10", "1997-05-01", "o_orderdate").select("o_orderkey", stamp("o_orderdate", "ts"))
+
+
+@query(
+    "upsert_published",
+    """SELECT c_mktsegment AS model, round(CASE WHEN c_mktsegment < 'C' THEN 2 ELSE 1 END * avg(c_acctbal) + 1e-9, 4) AS rmse FROM customer GROUP BY c_mktsegment""",
+)
+def upsert_published(spark, d):
+    """Results published, and some of them replaced by a second version."""
+    scores = frames.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("model")).agg(F.avg("c_acctbal").alias("rmse"))
+    table = VersionedTable(spark, scratch_path(spark, "results"))
+    tables.upsert_published(table, scores)
+    tables.upsert_published(table, scores.where("model < 'C'").withColumn("rmse", 2 * F.col("rmse")))
+    return table.read().select("model", r("rmse"))
+
+
 @query(
     "metrics_nested",
     on(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from meterlake.sources import schemas
+from meterlake.sources.versions import Files, VersionedTable
 
 
 def read_typed(spark: SparkSession, path: str, schema: StructType, format: str | None = None) -> DataFrame:
@@ -84,8 +85,18 @@ def write_by_month(df: DataFrame, path: str, time: str = "timestamp") -> None:
     stamped.hint("rebalance", "month_start").write.mode("overwrite").partitionBy("month_start").parquet(path)
 
 
-def read_by_month(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("month_start")
+def read_by_month(spark: SparkSession, path: str, start=None, end=None, time: str = "timestamp") -> DataFrame:
+    """The rows from `start` on and before `end`, each a timestamp or None. Only folders of months that the range meets are
+    opened."""
+    rows = spark.read.parquet(path)
+    kind = rows.schema[time].dataType if start is not None or end is not None else None
+    if start is not None:
+        first = F.lit(start).cast(kind)
+        rows = rows.where((F.col("month_start") >= F.trunc(first, "month")) & (F.col(time) >= first))
+    if end is not None:
+        last = F.lit(end).cast(kind)
+        rows = rows.where((F.col("month_start") <= last.cast("date")) & (F.col(time) < last))
+    return rows.drop("month_start")
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -107,7 +118,8 @@ def read_nested(spark: SparkSession, path: str, schema: str | StructType) -> Dat
 
 
 class PredictionStore:
-    """Predictions by model, kept as Parquet and reused until a refit is asked for.
+    """Predictions by model, kept as Parquet and reused until a refit is asked for. A save publishes a new version, so that
+    one that fails leaves the old predictions.
 
     `made_from` says what a prediction depends on, such as parameters, features and the ends of the folds. Predictions made
     from something else count as missing.
@@ -116,38 +128,40 @@ class PredictionStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _folder(self, model: str) -> str:
-        return f"{self.path}/model={model}"
-
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(path)
-        return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
-
-    def _note(self, model: str) -> str:
-        return f"{self.path}/_made_from/{model}"  # a name with an underscore is no partition
+    def _table(self, model: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.path}/model={model}")
 
     def has(self, model: str, made_from: str = "") -> bool:
-        if not self._exists(f"{self._folder(model)}/_SUCCESS"):
-            return False
-        note = self._note(model)
-        return (self.spark.read.parquet(note).first()[0] if self._exists(f"{note}/_SUCCESS") else "") == made_from
+        told = self._table(model).manifest()
+        return told is not None and told.get("made_from", "") == made_from
 
     def save(self, model: str, predictions: DataFrame, made_from: str = "") -> DataFrame:
-        predictions.write.mode("overwrite").parquet(self._folder(model))
-        note = self.spark.createDataFrame([(made_from,)], "made_from string")
-        note.coalesce(1).write.mode("overwrite").parquet(self._note(model))
+        self._table(model).publish(predictions, made_from=made_from)
         return self.load(model)
 
     def load(self, model: str) -> DataFrame:
-        return self.spark.read.parquet(self._folder(model)).withColumn("model", F.lit(model))
+        return self._table(model).read().withColumn("model", F.lit(model))
 
     def load_all(self) -> DataFrame:
         """All models as one long table, the model read from the folder name."""
-        return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/model=*")
+        models = [n.removeprefix("model=") for n in Files(self.spark).names(self.path) if n.startswith("model=")]
+        folders = [self._table(m).folder() for m in models if self._table(m).manifest() is not None]
+        return self.spark.read.option("basePath", self.path).parquet(*folders).drop("version")
+
+    def drop_old(self) -> None:
+        """Delete the versions that have been replaced; frames that read them end with it."""
+        for name in Files(self.spark).names(self.path):
+            if name.startswith("model="):
+                VersionedTable(self.spark, f"{self.path}/{name}").drop_old()
 
 
 def upsert_results(existing: DataFrame, new: DataFrame, key: str = "model", order: str = "rmse") -> DataFrame:
     """Replace the rows of the models in `new`, keep the others, best first."""
     kept = existing.join(new.select(key).distinct(), key, "left_anti")
     return kept.unionByName(new).orderBy(order, key)
+
+
+def upsert_published(table: VersionedTable, new: DataFrame, key: str = "model", order: str = "rmse") -> DataFrame:
+    """`upsert_results` into a published table, which readers see before or after, never half done."""
+    table.publish(new.orderBy(order, key) if table.manifest() is None else upsert_results(table.read(), new, key, order))
+    return table.read()
