@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.operators.lloyd import fit_all
 from meterlake.session import durable
 
 HOURS = [f"h{hour:02d}" for hour in range(24)]
@@ -50,14 +51,10 @@ def centroids(spark: SparkSession, model: KMeansModel) -> DataFrame:
     return spark.createDataFrame(rows, "cluster int, " + ", ".join(f"{h} double" for h in HOURS))
 
 
-def elbow_curve(profiles: DataFrame, ks: Iterable[int], seed: int = 42) -> DataFrame:
-    """Inertia and iterations for each number of clusters."""
-    cached = profiles.persist()
-    rows = []
-    for k in sorted(ks):
-        summary = fit_kmeans(cached, k, seed).summary
-        rows.append((k, float(summary.trainingCost), int(summary.numIter)))
-    cached.unpersist()
+def elbow_curve(profiles: DataFrame, ks: Iterable[int]) -> DataFrame:
+    """Inertia, which never rises with k, and iterations for each number of clusters."""
+    _, cost, n_iter = fit_all(profiles, HOURS, ks)
+    rows = [(k, float(cost[k]), n_iter[k]) for k in sorted(cost)]
     return profiles.sparkSession.createDataFrame(rows, "k int, inertia double, n_iter int")
 
 

@@ -6,10 +6,11 @@ columns do.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from meterlake.functions.scalars import to_log, wave
-from meterlake.operators import clean, models, sampling, segments
+from meterlake.operators import clean, lloyd, models, sampling, segments
 from meterlake.operators.series import Series
 from meterlake.operators.split import split_at
 from meterlake.plans import training
@@ -254,6 +255,25 @@ def kmeans_elbow(spark, d):
     return segments.elbow_curve(profiles(spark, d), range(2, 11))
 
 
+_PROFILES = f"SELECT user_id, [{', '.join(f'{h} / CASE WHEN {PROFILE_TOTAL} > 0 THEN {PROFILE_TOTAL} ELSE 1 END' for h in segments.HOURS)}] AS x FROM ({PROFILE_MEANS})"
+
+
+@query(
+    "lloyd_pass",
+    f"""WITH p AS MATERIALIZED ({_PROFILES}),
+    centres AS (SELECT k, c - 1 AS cluster, x AS centre FROM (SELECT row_number() OVER (ORDER BY user_id) AS c, x FROM p), unnest([2, 3, 5]) AS t(k) WHERE c <= k),
+    gaps AS (SELECT k, cluster, user_id, x, list_sum(list_transform(list_zip(x, centre), lambda z: pow(z[1] - z[2], 2))) AS d FROM p, centres),
+    nearest AS (SELECT k, user_id, arg_min(cluster, d) AS cluster, min(d) AS d, any_value(x) AS x FROM (SELECT * FROM gaps ORDER BY cluster) GROUP BY k, user_id)
+    SELECT CAST(k AS INTEGER) AS k, CAST(cluster AS INTEGER) AS cluster, count(*) AS n, {sr('sum(d)', 6, 'cost')}, {sr('avg(x[13])', 6, 'noon')} FROM nearest GROUP BY k, cluster""",
+)
+def lloyd_pass(spark, d):
+    """One pass for three numbers of clusters, from the profiles of the first users as centres."""
+    p = profiles(spark, d)
+    first = np.array([list(r) for r in p.orderBy("user_id").limit(5).select(*segments.HOURS).collect()])
+    out = lloyd.lloyd_pass(p, segments.HOURS, {k: first[:k] for k in (2, 3, 5)})
+    return out.select("k", "cluster", "n", r("cost", 6), r(F.col("h12") / F.col("n"), 6, "noon"))
+
+
 @query(
     "cluster_composition",
     on(

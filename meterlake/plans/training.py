@@ -225,7 +225,7 @@ def cluster_meters(prep: Prepared, ks: Sequence[int], seed: int = 42) -> tuple[D
     """Labels of all meters and the elbow curve; meters seen only in validation join the nearest centroid."""
     keys = list(prep.series.keys)
     profiles = durable(consumption_profiles(prep.train, keys, prep.series.time))  # read by every fit
-    curve = elbow_curve(profiles, ks, seed)
+    curve = elbow_curve(profiles, ks)
     model = fit_kmeans(profiles, int(pick_elbow(curve).first()["k"]), seed)
     labels = assign_clusters(model, profiles)
     unseen = prep.val.join(labels, keys, "left_anti")
