@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -144,6 +145,17 @@ def values(text: str, lower: str) -> Iterator[tuple[int, int]]:
         yield m.start(m.lastindex), m.start(m.lastindex) + len(value)
 
 
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, in order and apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan_text(text: str, ranks: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every secret, sorted by start, then kind."""
     spans: list[tuple[int, int, int]] = []
@@ -154,9 +166,12 @@ def scan_text(text: str, ranks: dict[str, int] = RANK) -> list[tuple[int, str, i
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     if b"0" * 32 in text.encode("utf-8", "surrogatepass").translate(HEX_AS_0):
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = list(spans)
+    taken = merged(spans)
+    starts = [a for a, _ in taken]
     for first, last in values(text, lower):
-        if first < last and not any(a < last and first < b for a, _, b in base) and guess_cost(text[first:last], ranks) >= threshold:
+        before = bisect_left(starts, last) - 1  # of the base spans only the last that starts before the value's end can meet it
+        free = before < 0 or taken[before][1] <= first
+        if first < last and free and guess_cost(text[first:last], ranks) >= threshold:
             spans.append((first, 3, last))
     spans.sort()
     return [(a, KINDS[k], b) for a, k, b in spans]

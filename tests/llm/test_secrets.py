@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -85,3 +86,32 @@ def test_keys_in_camel_case_and_quoted_values():
     ]:
         assert [(text[a:b], k) for a, k, b in secrets.scan_text(text)] == [(value, "guess")], text
     assert secrets.scan_text("compass: q7$Kz!9vLm") == []
+
+
+def test_spans_of_a_long_text_with_many_secrets():
+    """Two megabytes of settings take seconds, since a value is looked up among the base spans."""
+    line = 'password = "q7$Kz!9vLm#2xW"\ntoken = abcdefgh12345678\nhash: 0123456789abcdef0123456789abcdef\n'
+    found = secrets.scan_text(line * 20_000)
+    assert len(found) == 60_000 and found[:3] == sorted(secrets.scan_text(line)) and {k for _, k, _ in found} == {"assign", "hex", "guess"}
+
+
+def test_merged_spans():
+    assert secrets.merged([(5, 2, 9), (1, 0, 3), (2, 1, 4), (9, 0, 12)]) == [(1, 4), (5, 12)]
+    assert secrets.merged([]) == []
+
+
+def costs_of_all_cuts(value):
+    """The cheapest of all segmentations, tried one by one."""
+    spans = [(i, j, c) for i, j, c in secrets._matches(value, secrets.RANK)]
+    spans += [(i, j, sum(math.log10(secrets._alphabet(c)) for c in value[i:j])) for i in range(len(value)) for j in range(i + 1, len(value) + 1)]
+
+    def cheapest(at):
+        return 0.0 if at == len(value) else min(secrets.PART + c + cheapest(j) for i, j, c in spans if i == at)
+
+    return cheapest(0)
+
+
+def test_guess_costs_are_the_least_of_all_segmentations():
+    rng = random.Random(6)
+    for value in ["password", "qwerty12", "aaaa1999", "Dragon!", "2024-01", "abcabc", "p4ssw0rd", *("".join(rng.choice("ab1Qq9w!e") for _ in range(7)) for _ in range(40))]:
+        assert abs(secrets.guess_cost(value) - costs_of_all_cuts(value)) < 1e-9
