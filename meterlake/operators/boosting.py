@@ -19,7 +19,9 @@ from meterlake.session import durable
 ROUNDS_PER_WRITE = 20  # after so many rounds the scores are written, which cuts the lineage
 
 
-def as_model(trees: list[DecisionTreeRegressionModel], weights: list[float], features: str, prediction: str) -> GBTRegressionModel:
+def as_model(
+    trees: list[DecisionTreeRegressionModel], weights: list[float], n_features: int, features: str, prediction: str
+) -> GBTRegressionModel:
     """The weighted sum of these trees as one model."""
     context = SparkContext._active_spark_context
     gateway, jvm = context._gateway, context._jvm
@@ -27,7 +29,7 @@ def as_model(trees: list[DecisionTreeRegressionModel], weights: list[float], fea
     java_weights = gateway.new_array(jvm.double, len(weights))
     for k, (tree, weight) in enumerate(zip(trees, weights)):
         java_trees[k], java_weights[k] = tree._java_obj, float(weight)
-    java = jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"boosted_{len(trees)}", java_trees, java_weights)
+    java = jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"boosted_{len(trees)}", java_trees, java_weights, n_features)
     return GBTRegressionModel(java).setFeaturesCol(features).setPredictionCol(prediction)
 
 
@@ -70,4 +72,4 @@ def boost(
     finally:
         state.unpersist()
     best = min(range(len(losses)), key=losses.__getitem__)
-    return as_model([mean, *trees[:best]], [1.0] + [step] * best, features, prediction), losses
+    return as_model([mean, *trees[:best]], [1.0] + [step] * best, mean.numFeatures, features, prediction), losses

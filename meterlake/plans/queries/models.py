@@ -24,7 +24,7 @@ from meterlake.sources import frames, tables
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "month_sin", "month_cos", "dayofweek_sin", "dayofweek_cos"]
 RAW = ["l_discount", "l_tax", "l_linenumber"]
 CUTOFF = "2000-01-01"
-# Queries that fit several models: larger steps, and an end after three rounds without gain. `fit_gbt` has more patience.
+# Queries that fit several models: larger steps, and an end after three rounds without gain. `fit_gbt` has the defaults.
 QUICK_BOOST = {"step": 0.3, "patience": 3}
 DEPTHS = (4, 8, 16, 24)
 CLUSTERS = range(2, 11)
@@ -135,7 +135,7 @@ def fit_forest(spark, d):
 
 @query("fit_gbt")
 def fit_gbt(spark, d):
-    return scored(spark, d, "boosted_trees", step=0.2, patience=10)
+    return scored(spark, d, "boosted_trees")
 
 
 @query(

@@ -82,4 +82,6 @@ def test_the_registered_model_holds_out_the_last_tenth(spark):
     assert 1 <= model.best_round < 30 and model.losses[model.best_round] == min(model.losses)
     late = model.predict(df.orderBy("timestamp")).toPandas().sort_values("timestamp").tail(30)
     assert np.mean((late.label - late.prediction) ** 2) == pytest.approx(min(model.losses), rel=1e-6)
-    assert model.feature_importance()["a"] > 0.8
+    assert model.feature_importance()["a"] > 0.8 and set(model.feature_importance()) == {"a", "b"}
+    lone = models.BoostedTrees(rounds=2, patience=1, stopping_share=0, max_features="all").fit(df.withColumn("flat", F.lit(1.0)), ["a", "flat"])
+    assert lone.feature_importance()["flat"] == 0  # a feature that no tree splits by
