@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from meterlake.functions.scalars import to_log, wave
-from meterlake.operators import clean, lloyd, models, sampling, segments
+from meterlake.operators import clean, lloyd, models, sampling, segment_trees, segments
 from meterlake.operators.series import Series
 from meterlake.operators.split import split_at
 from meterlake.plans import training
@@ -213,6 +213,40 @@ def segment_vs_global(spark, d):
     return training.segment_vs_global(prep.train, prep.val, prep.features, "meter", "boosted_trees", 100, **QUICK_BOOST)
 
 
+@query(
+    "segment_stumps",
+    on(
+        "",
+        f"""SELECT s.l_suppkey, feature, cut, {sr('sl / nl', 4, 'low_mean')}, {sr('(a - sl) / (c - nl)', 4, 'high_mean')} FROM best s""",
+        t="SELECT l_suppkey, ln(1 + l_extendedprice) AS y, l_quantity, CAST(l_linenumber AS DOUBLE) AS l_linenumber FROM lineitem",
+        long="SELECT l_suppkey, 'l_quantity' AS feature, l_quantity AS x, y FROM t UNION ALL SELECT l_suppkey, 'l_linenumber', l_linenumber, y FROM t",
+        sums="""SELECT l_suppkey, feature, x AS cut, sum(sum(y)) OVER w AS sl, sum(count(*)) OVER w AS nl, sum(sum(y)) OVER g AS a, sum(count(*)) OVER g AS c
+            FROM long GROUP BY l_suppkey, feature, x WINDOW w AS (PARTITION BY l_suppkey, feature ORDER BY x), g AS (PARTITION BY l_suppkey, feature)""",
+        best="""SELECT * FROM sums WHERE nl >= 20 AND c - nl >= 20
+            QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY sl * sl / nl + (a - sl) * (a - sl) / (c - nl) DESC) = 1""",
+    ),
+)
+def segment_stumps(spark, d):
+    """One cut per supplier, all from one pass: its feature, place and the means of both sides."""
+    names, lines = ["l_quantity", "l_linenumber"], priced(spark, d)
+    edges = [list(map(float, range(1, 50))), list(map(float, range(1, 7)))]  # all values of both
+    model = segment_trees.fit(lines, names, "l_suppkey", rounds=1, step=1.0, depth=1, min_rows=20, edges=edges)
+    e = F.array(*[F.array(*map(F.lit, line)) for line in edges])
+    rows = model.trees.join(model.starts, "_segment").where(F.col("feature")[0] >= 0)
+    f, side = F.col("feature")[0], lambda k: F.col("start") + F.col("value")[k]
+    return rows.select(
+        F.col("_segment").alias("l_suppkey"), F.array(*map(F.lit, names))[f].alias("feature"), e[f][F.col("cut")[0]].alias("cut"), r(side(0), 4, "low_mean"), r(side(1), 4, "high_mean")
+    )
+
+
+@query("segment_boost")
+def segment_boost(spark, d):
+    """Boosted trees of every supplier, grown together, against one model of all."""
+    prep = prepared(spark, d)
+    found = training.segments_together(prep.train, prep.val, prep.features, "l_suppkey", 100, rounds=4, patience=3, step=0.3)
+    return training.compare_segments(durable(found), "l_suppkey")
+
+
 @query("imputation_experiment")
 def imputation_experiment(spark, d):
     """Boosted trees after each treatment of runs of zeros, all cleaned in one pass."""

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.metrics import score_columns
-from meterlake.functions.scalars import LOG_CEILING, clip_real, from_log
-from meterlake.operators import evaluate
+from meterlake.functions.scalars import LOG_CEILING, clip_real, from_log, seconds
+from meterlake.operators import evaluate, segment_trees
 from meterlake.operators.joins import compare_runs, group_mean_lookup
 from meterlake.operators.models import LINEAR, REGISTRY, Regressor
 from meterlake.operators.prefixes import fit_prefixes, predicted
@@ -200,6 +200,28 @@ def segment_predictions(
     return reduce(DataFrame.unionByName, frames)
 
 
+def segments_together(
+    train: DataFrame, val: DataFrame, features: Sequence[str], segment: str, min_train: int = 1000, time_col: str = "timestamp",
+    held_share: float = 0.1, log_target: bool = True, **params,
+) -> DataFrame:
+    """`segment_predictions` for any number of segments: the trees of all of them grow together, and those of the global
+    model are the same trees with one segment. The last `held_share` of the training time picks the round of each."""
+    train, val = durable(train), durable(val)
+    last = global_quantiles(train.select(seconds(time_col).alias("s")), "s", [1 - held_share]).first()
+    held = seconds(time_col) > last["q"][0] if last is not None else F.lit(False)
+    counts = durable(train.groupBy(F.col(segment).alias("_own")).count().where(F.col("count") >= min_train))
+    large = train.join(counts, F.col(segment).eqNullSafe(F.col("_own")), "left_semi")
+    edges = params.pop("edges", None) or segment_trees.bin_edges(train, features, params.pop("bins", 32))
+    fit = lambda df, by: segment_trees.fit(df, features, by, held=held, edges=edges, **params)
+    one = lambda df: df.withColumn("_all", F.lit(0))
+    own = segment_trees.predict(fit(large, segment), val, segment)
+    whole = segment_trees.predict(fit(one(train), "_all"), one(val), "_all").drop("_all")
+    frames = [
+        real_scale(p, log_target=log_target).select(segment, "y_true", "y_pred", F.lit(name).alias("model")) for p, name in ((whole, "global"), (own, "own"))
+    ]
+    return reduce(DataFrame.unionByName, frames)
+
+
 def compare_segments(predictions: DataFrame, segment: str) -> DataFrame:
     """Per segment, and for all segments that have both models (`segment` null, `pooled` true): rows, RMSE, MAE, CV-RMSE and
     RMSLE of the own and of the global model, and the gain in RMSE. A segment without a model of its own keeps its row
