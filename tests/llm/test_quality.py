@@ -50,10 +50,43 @@ def test_learns_from_positives_and_unlabelled_text(spark):
     x = np.array([quality.features(t) for _, t in rows], float)
     good = [int("!!" not in t) for _, t in rows]
     assert auc(model.score(x), good) > 0.98
-    trained = quality.fit(x[[i for i, _ in only_good]], x, 0.8)
+    trained = quality.fit(x[[i for i, _ in only_good]], everything(x), x.mean(0), x.std(0) + 1e-4, 0.8)
     assert auc(trained.margin(x), good) > 0.95
 
 
+def everything(x, width=24):
+    """Mean loss of all rows as negatives and its gradient, in one piece."""
+
+    def unlabelled(w, mean, scale):
+        total = quality.risk(np.clip((x - mean) / scale, -8, 8), w, width, 1) / len(x)
+        return total[0], total[1:]
+
+    return unlabelled
+
+
+def test_gradient_of_the_risk():
+    rng = np.random.default_rng(1)
+    x, w = rng.normal(size=(9, quality.N_FEATURES)), rng.normal(size=quality.N_FEATURES * 2 + 5) / 4
+    for sign in (-1, 1):
+        found = quality.risk(x, w, 2, sign)
+        for k in (0, 7, 2 * quality.N_FEATURES, len(w) - 3, len(w) - 1):
+            e = np.eye(len(w))[k] * 1e-6
+            slope = (quality.risk(x, w + e, 2, sign)[0] - quality.risk(x, w - e, 2, sign)[0]) / 2e-6
+            assert abs(slope - found[1 + k]) < 1e-5
+
+
+def test_every_unlabelled_row_is_summed_whatever_the_sample(spark):
+    rows, labels = corpus(300)
+    model = quality.train(docs(spark, rows * 2), spark.createDataFrame(labels, LABELS), sample=40)
+    x = np.array([quality.features(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5], float)
+    assert np.allclose(model.mean, x.mean(0), atol=1e-6) and np.allclose(model.scale, x.std(0) + 1e-4, rtol=1e-3, atol=1e-6)
+    w = np.random.default_rng(2).normal(size=quality.N_FEATURES * 2 + 5) / 4
+    table = spark.createDataFrame([(quality.features(t).tobytes(),) for _, t in rows], "x binary").repartition(4)
+    n, total = quality._summed(table, lambda x: quality.risk(x, w, 2, 1))
+    assert n == len(rows)
+    assert np.allclose(total, quality.risk(np.array([quality.features(t) for _, t in rows], float), w, 2, 1), rtol=1e-6, atol=1e-6)
+
+
 def test_held_out_labels_are_never_learned(spark):
     rows, labels = corpus(200)
     flipped = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q) for i, q in labels]
