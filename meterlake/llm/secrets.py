@@ -2,17 +2,20 @@
 
 The guess cost of a value is the least number of guesses over all ways to cut it into words, dates, repeats, keyboard
 walks, character runs and spans that only brute force finds. Values that cost at least `GUESSES` are secrets of kind
-`guess`, also when no pattern knows them. Words are those that guessers try first, then those of the scanned texts by
-their counts, without the values themselves: at most WORDS of them and WORD_BYTES, which the driver collects and
-broadcasts. A credential word begins after no letter or digit, or where lower case or a digit turns to upper case. A
+`guess`, also when no pattern knows them. Words are those that guessers try first, then all words of the scanned texts by
+their counts, without the values themselves; a word's rank is one more than the words counted more often. No word list
+leaves the executors: what may be a word in a value is joined to the table of all counts, and every different value is
+costed once. A credential word begins after no letter or digit, or where lower case or a digit turns to upper case. A
 quoted value goes up to its closing quote in the line, spaces included.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned one by one; empty tables give
-no rows; extra columns are ignored. Spans count code points, ends excluded, and are sorted by start, then kind.
+no rows; extra columns are ignored; texts and values may be of any length. Spans count code points, ends excluded, and are
+sorted by start, then kind.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from bisect import bisect_left
@@ -20,7 +23,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import picked
@@ -65,9 +69,9 @@ LEET = str.maketrans("@4301$57!", "aaeoissti")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 RANK = {w: r + 1 for r, w in enumerate(COMMON)}
 WORD = re.compile(r"[^\W\d_]{3,24}")  # letters only
-WORDS = 100_000
-WORD_BYTES = 2_000_000
+LETTERS = re.compile(r"[^\W\d_]{3,}")
 LONGEST = 24
+CHUNK = 50_000  # rows of a batch
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -83,11 +87,6 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
-def ranked(words: list[str]) -> dict[str, int]:
-    """Ranks of the first words, then of others."""
-    return {w: r + 1 for r, w in enumerate(dict.fromkeys([*COMMON, *words]))}
-
-
 def _matches(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
     """First, last (excluded) and log10 guesses of every span with a pattern."""
     lower = value.lower()
@@ -156,10 +155,10 @@ def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan_text(text: str, ranks: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of every secret, sorted by start, then kind."""
+def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Base spans as (start, kind, end) in order, and the values after credential words that meet none of them."""
     spans: list[tuple[int, int, int]] = []
-    lower, threshold = text.lower(), math.log10(GUESSES)
+    lower = text.lower()
     if any(map(lower.__contains__, ASSIGNED)):  # plain searches first: most texts have none of the words
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
     if "AKIA" in text:
@@ -168,16 +167,38 @@ def scan_text(text: str, ranks: dict[str, int] = RANK) -> list[tuple[int, str, i
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     taken = merged(spans)
     starts = [a for a, _ in taken]
+    free = []
     for first, last in values(text, lower):
         before = bisect_left(starts, last) - 1  # of the base spans only the last that starts before the value's end can meet it
-        free = before < 0 or taken[before][1] <= first
-        if first < last and free and guess_cost(text[first:last], ranks) >= threshold:
-            spans.append((first, 3, last))
-    spans.sort()
-    return [(a, KINDS[k], b) for a, k, b in spans]
+        if first < last and (before < 0 or taken[before][1] <= first):
+            free.append((first, last))
+    return sorted(spans), free
+
+
+def scan_text(text: str, ranks: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of every secret of one text, sorted by start, then kind, with the words of `ranks` alone."""
+    spans, free = spans_of(text)
+    spans += [(a, 3, b) for a, b in free if guess_cost(text[a:b], ranks) >= math.log10(GUESSES)]
+    return [(a, KINDS[k], b) for a, k, b in sorted(spans)]
 
 
-SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+FREE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("key", pa.string()), ("value", pa.string())]))
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans and free values of each row, numbered by task; a value's key is its hash."""
+    row = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        base, free = [], []
+        for text in batch.column("text").to_pylist():
+            spans, found = spans_of(text or "")
+            base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
+            cut = [(a, b, text[a:b]) for a, b in found]
+            free.append([{"start": a, "end": b, "key": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest(), "value": v} for a, b, v in cut])
+        numbers = pa.array(range(row, row + len(batch)), pa.int64())
+        row += len(batch)
+        yield pa.RecordBatch.from_arrays([numbers, batch.column("id"), pa.array(base, SPAN), pa.array(free, FREE)], names=["row", "id", "base", "free"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,41 +210,80 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.update(WORD.findall(lower))
             for first, last in values(text or "", lower):
                 counts.subtract(WORD.findall(text[first:last].lower()))
-        found = [(w, n) for w, n in counts.items() if n > 0]
+        found = [(w, n) for w, n in counts.items() if n]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
 
 
-def corpus_words(texts: DataFrame) -> list[str]:
-    """The most frequent words of all texts, up to the bounds."""
-    counted = durable(texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    least, taken = 0, 0  # words of one count are taken together, so that only those within the bound reach the driver
-    for row in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
-        taken += row.words
-        if taken > WORDS:
-            break
-        least = row.n
-    top = counted.where(F.col("n") >= least).collect() if least else []
-    out, size = [], 0
-    for row in sorted(top, key=lambda r: (-r.n, r.word)):
-        size += len(row.word.encode())
-        if size > WORD_BYTES:
-            break
-        out.append(row.word)
-    return out
+def corpus_words(texts: DataFrame) -> DataFrame:
+    """Every word of all texts with its rank: one more than the words that are counted more often.
+
+    The window without partitions sees one row per different count, of which there are fewer than the square root of twice
+    the words."""
+    counted = durable(texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
+    sizes = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    before = F.sum("words").over(Window.orderBy(F.desc("n"))) - F.col("words")
+    ranks = durable(sizes.select("n", (before + len(RANK) + 1).alias("rank")))
+    return counted.join(ranks, "n").select("word", "rank")
+
+
+def may_be_words(value: str) -> Iterator[str]:
+    """All that the costs look up in the ranks and that can be a word of a text."""
+    lower = value.lower()
+    forms = {lower, lower.translate(LEET)} if len(lower) == len(value) else {value}
+    for form in forms:
+        for run in LETTERS.finditer(form):
+            for i in range(run.start(), run.end() - 2):
+                for j in range(i + 3, min(run.end(), i + LONGEST) + 1):
+                    yield form[i:j]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(key: str, words: set[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(words), pa.string()), pa.array(list(words), pa.string())], names=["key", "word"])
+
+    for batch in batches:
+        for key, value in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist()):
+            words: set[str] = set()
+            for word in may_be_words(value):
+                words.add(word)
+                if len(words) == CHUNK:  # a word may come again in a later chunk of a long value
+                    yield out(key, words)
+                    words = set()
+            if words:
+                yield out(key, words)
+
+
+def _strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = []
+        for key, value, known in zip(*(batch.column(c).to_pylist() for c in ("key", "value", "known"))):
+            ranks = {k["word"]: k["rank"] for k in known or ()} | RANK
+            if guess_cost(value, ranks) >= math.log10(GUESSES):
+                keys.append(key)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], names=["key"])
+
+
+def strong_values(values: DataFrame, words: DataFrame) -> DataFrame:
+    """Keys of the values (key, value; each once) that cost at least `GUESSES`.
+
+    A value's own words meet in one row: at most as many as it has spans of letters."""
+    candidates = values.mapInArrow(_candidates, "key string, word string")
+    known = candidates.join(words, "word").groupBy("key").agg(F.collect_set(F.struct("word", "rank")).alias("known"))
+    return durable(values.join(known, "key", "left").mapInArrow(_strong, "key string"))
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`id` and found: the secrets of each text as kind, start and end."""
     rows = picked(docs, id=id, text=text)
-    words = docs.sparkSession.sparkContext.broadcast(corpus_words(rows.select("text")))
-
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranked(words.value)
-        for batch in batches:
-            found = [scan_text(t or "", ranks) for t in batch.column("text").to_pylist()]
-            spans = pa.array([[{"kind": k, "start": a, "end": b} for a, k, b in f] for f in found], SPAN)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), spans], names=["id", "found"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(scanned, f"id {kind}, found array<struct<kind:string,start:int,end:int>>")
-    return out.withColumnRenamed("id", id)
+    item = "array<struct<start:int,kind:int,end:int>>"
+    free = "array<struct<start:int,end:int,key:string,value:string>>"
+    spans = durable(rows.mapInArrow(_spans, f"row long, id {rows.schema['id'].dataType.simpleString()}, base {item}, free {free}"))
+    each = spans.select("row", F.explode("free").alias("v")).select("row", "v.*")
+    values = durable(each.groupBy("key").agg(F.first("value").alias("value")))
+    strong = strong_values(values, corpus_words(rows.select("text")))
+    hit = F.struct("start", F.lit(KINDS.index("guess")).alias("kind"), "end")
+    hits = durable(each.join(strong, "key", "left_semi").groupBy("row").agg(F.collect_list(hit).alias("hits")))
+    every = F.array_sort(F.concat("base", F.coalesce("hits", F.expr(f"cast(array() as {item})"))))
+    names = F.array(*map(F.lit, KINDS))
+    found = F.transform(every, lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return spans.join(hits, "row", "left").select(F.col("id").alias(id), found.alias("found"))

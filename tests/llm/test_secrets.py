@@ -72,8 +72,9 @@ def test_ordinary_sentences_after_credential_words(spark):
     secret = "the password is qwvrtxkzplm"
     rows = [*enumerate([*prose, known, secret, secret])]
     found = {r.doc_id: r.found for r in secrets.scan(docs(spark, rows)).collect()}
-    assert [k for k, f in found.items() if f] == [len(prose) + 1, len(prose) + 2]
-    assert "qwvrtxkzplm" not in secrets.corpus_words(docs(spark, rows).select("text"))
+    assert sorted(k for k, f in found.items() if f) == [len(prose) + 1, len(prose) + 2]
+    ranks = {r.word: r["rank"] for r in secrets.corpus_words(docs(spark, rows).select("text")).collect()}
+    assert "qwvrtxkzplm" not in ranks and ranks["temporarily"] == ranks["mandatory"] > ranks["the"]
 
 
 def test_keys_in_camel_case_and_quoted_values():
@@ -115,3 +116,31 @@ def test_guess_costs_are_the_least_of_all_segmentations():
     rng = random.Random(6)
     for value in ["password", "qwerty12", "aaaa1999", "Dragon!", "2024-01", "abcabc", "p4ssw0rd", *("".join(rng.choice("ab1Qq9w!e") for _ in range(7)) for _ in range(40))]:
         assert abs(secrets.guess_cost(value) - costs_of_all_cuts(value)) < 1e-9
+
+
+def test_what_is_looked_up_can_all_be_found():
+    """No span that the costs look up and that is a word may miss among the candidates."""
+    class Asked(dict):
+        def get(self, key, default=None):
+            asked.add(key)
+            return default
+
+    rng = random.Random(8)
+    for _ in range(200):
+        value, asked = "".join(rng.choices("abZé1_4@ßİ5 $x", k=rng.randint(1, 40))), set()
+        secrets.guess_cost(value, Asked())
+        assert {a for a in asked if secrets.WORD.fullmatch(a)} <= set(secrets.may_be_words(value)), value
+
+
+def test_every_word_of_the_texts_counts(spark, monkeypatch):
+    """The whole scan gives what one dictionary of all words gives, however rare the words and small the batches."""
+    monkeypatch.setattr(secrets, "CHUNK", 7)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 12))) for _ in range(300)]
+    rows = [(k, f"{' '.join(rng.choices(words, k=9))} login: {rng.choice(words)}{rng.choice(['', '-', '7'])}{rng.choice(words)} "
+                f"pwd = {''.join(rng.choices('abcdefghijk23', k=11))}, token=abcd1234efgh") for k in range(150)]
+    table = docs(spark, rows)
+    ranks = {r.word: r["rank"] for r in secrets.corpus_words(table.select("text")).collect()} | secrets.RANK
+    found = {r.doc_id: [(s["start"], s["kind"], s["end"]) for s in r.found] for r in secrets.scan(table).collect()}
+    assert found == {k: secrets.scan_text(t, ranks) for k, t in rows}
+    assert any(secrets.scan_text(t, ranks) != secrets.scan_text(t) for _, t in rows)
