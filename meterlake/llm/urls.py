@@ -1,8 +1,9 @@
 """URL filters: rules of a list, and gradient-boosted trees on lexical features for what no rule covers.
 
 The trees learn from labelled URLs: those that a rule decides. Features are lengths, depth, digit share, entropy of the
-characters, counts of labels, hyphens and parameters, and statistics of the host's suffix and of the first path segment
-over the labelled URLs.
+characters, counts of labels, hyphens and parameters, and statistics of the host's suffix: the blocked share and the count of
+the labelled URLs with it. They are out of fold: a host's own fifth of the hosts does not count for its labelled URLs. The
+path segments that rules read give no statistics, so that the trees do not copy the rules.
 
 Defined results: a null URL, or one without `://`, has an empty host and path and is judged by the trees alone; repeated
 rows are judged one by one; where the labelled URLs are of one verdict only, that is the verdict of the trees, and `allow`
@@ -13,12 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import picked
@@ -27,9 +27,10 @@ from meterlake.session import durable
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 MOST_RULES = 500  # a list that people keep; it becomes one expression
+FOLDS = 5
 SAMPLE = 50_000  # labelled URLs to learn from, about
 COUNTED = ["n_url", "n_host", "n_path", "depth", "labels", "longest_label", "digits", "hyphens", "dots", "params", "marks", "entropy"]
-STATISTICS = ["suffix_blocked", "suffix_n", "segment_blocked", "segment_n"]
+STATISTICS = ["suffix_blocked", "suffix_n"]
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,7 @@ def _entropy(text: Column) -> Column:
 
 
 def with_features(rows: DataFrame) -> DataFrame:
-    """`rows` with url, host and path gets the features that need no labels, the suffix and the first segment."""
+    """`rows` with url, host and path gets the features that need no labels, and the suffix."""
     url = F.coalesce("url", F.lit(""))
     labels = F.split("host", r"\.")
     length = lambda c: F.length(c).cast("double")
@@ -92,21 +93,24 @@ def with_features(rows: DataFrame) -> DataFrame:
             "marks": _count(url, "%@~_=+"),
             "entropy": _entropy(url),
             "suffix": F.element_at(labels, -1),
-            "segment": F.regexp_extract("path", "^/([^/]*)", 1),
         }
     )
 
 
-def _statistics(labelled: DataFrame, key: str) -> DataFrame:
-    """Blocked share, drawn towards one half, and log count of the labelled URLs by `key`."""
-    blocked = (F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)
-    return durable(labelled.groupBy(key).agg(blocked.alias(f"{key}_blocked"), F.log1p(F.count(F.lit(1))).alias(f"{key}_n")))
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """Blocked share, drawn towards one half, and log count of the labelled URLs by suffix: of all (fold -1), and of those in
+    other folds than `fold`."""
+    own = labelled.groupBy("suffix", "fold").agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
+    of_all = Window.partitionBy("suffix")  # FOLDS rows at most
+    rest = own.withColumns({"b": F.sum("b").over(of_all) - F.col("b"), "n": F.sum("n").over(of_all) - F.col("n")})
+    both = rest.unionByName(own.groupBy("suffix").agg(F.lit(-1).alias("fold"), F.sum("b").alias("b"), F.sum("n").alias("n")))
+    blocked = (F.col("b") + 1.0) / (F.col("n") + 2.0)
+    return durable(both.select("suffix", "fold", blocked.alias("suffix_blocked"), F.log1p("n").alias("suffix_n")))
 
 
-def _joined(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """`rows` with the statistics; both tables are written, so that Spark knows their size."""
-    out = reduce(lambda df, key: df.join(tables[key], key, "left"), tables, rows)
-    return out.na.fill({c: 0.5 if c.endswith("blocked") else 0.0 for c in STATISTICS})
+def _joined(rows: DataFrame, statistics: DataFrame) -> DataFrame:
+    """`rows` with the statistics of their suffix, a written table, so that Spark knows its size."""
+    return rows.join(statistics, ["suffix", "fold"], "left").na.fill({"suffix_blocked": 0.5, "suffix_n": 0.0})
 
 
 def train(labelled: DataFrame, sample: int, seed: int) -> GBTClassificationModel | float:
@@ -129,10 +133,12 @@ def judge(
     rows = picked(pages, id=id, url=url).withColumns({"host": host, "path": path})
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = with_features(rows.withColumns({"rule": name, "ruled": verdict}))
+    fold = F.when(F.col("ruled").isNull(), -1).otherwise(F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+    rows = rows.withColumn("fold", fold)
     labelled = rows.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
-    tables = {key: _statistics(labelled, key) for key in ("suffix", "segment")}
-    model = train(_joined(labelled, tables), sample, seed)
-    full = _joined(rows, tables)
+    statistics = suffix_statistics(labelled)
+    model = train(_joined(labelled, statistics), sample, seed)
+    full = _joined(rows, statistics)
     if isinstance(model, float):
         scored = full.withColumn("blocked", F.lit(model))
     else:

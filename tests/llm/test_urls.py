@@ -1,3 +1,5 @@
+import math
+import os
 import re
 
 from meterlake.llm import urls
@@ -76,6 +78,45 @@ def test_trees_learn_lexical_signs(spark):
     assert sum(unruled) / len(unruled) > 0.95
 
 
+def test_a_rule_held_out_whole(spark):
+    """Trees that know only some rules judge the URLs of one they have never seen by their looks."""
+    rows, bad = [], {}
+    for k in range(900):
+        bad[k] = k % 2 == 0
+        suffix = "abc"[k % 3]
+        host = f"x{k * 7919 % 1_000_003}9283746{k}" if bad[k] else "plain" + "pqrs"[k % 4]
+        rows.append((k, f"http://{host}.{suffix}/{'x' if bad[k] else 'y'}/{k}"))
+    rules = [urls.Rule("block", s, "/x/") for s in "ab"] + [urls.Rule("allow", s, "/y/") for s in "ab"]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, PAGES), rules).collect()}
+    held_out = [(got[k].verdict == "block") == bad[k] for k in range(900) if k % 3 == 2]
+    assert len(held_out) == 300 and all(got[k].rule is None for k in range(2, 900, 3))
+    assert sum(held_out) / len(held_out) > 0.95
+
+
+def test_suffix_statistics_leave_the_own_fold_out(spark):
+    labelled = spark.createDataFrame([("net", 1, 1.0)] * 3 + [("net", 2, 0.0)] * 5 + [("com", 2, 0.0)], "suffix string, fold int, label double")
+    got = {(r.suffix, r.fold): (round(r.suffix_blocked, 6), round(math.exp(r.suffix_n)) - 1) for r in urls.suffix_statistics(labelled).collect()}
+    assert got == {
+        ("net", -1): (0.4, 8), ("net", 1): (round(1 / 7, 6), 5), ("net", 2): (0.8, 3), ("com", -1): (round(1 / 3, 6), 1), ("com", 2): (0.5, 0),
+    }
+
+
+def test_lexical_features_carry_the_unruled(spark, folder):
+    """On the given table more than two scores, and at least three lexical features with weight."""
+    pages = spark.read.parquet(os.path.join(os.path.dirname(folder), "sf0.01", "pages.parquet"))
+    got = urls.judge(pages, RULES).where("rule is null")
+    assert got.select("blocked").distinct().count() > 10
+    seen = {}
+    real = urls.train
+    urls.train = lambda *a: seen.setdefault("model", real(*a))
+    try:
+        urls.judge(pages, RULES)
+    finally:
+        urls.train = real
+    weights = dict(zip(urls.COUNTED + urls.STATISTICS, seen["model"].featureImportances.toArray()))
+    assert sum(weights[c] > 0.02 for c in urls.COUNTED) >= 3, weights
+
+
 def test_one_verdict_and_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.org/y")], PAGES)
     assert {r.verdict for r in urls.judge(pages, [urls.Rule("block", "com", "/")]).collect()} == {"block"}
