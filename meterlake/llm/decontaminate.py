@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import alphanumeric_words, picked
+from meterlake.session import durable
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -126,6 +127,9 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, item: str, item_text
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.distinct().collect()], n))
         out = out.mapInArrow(_pass(shared), out.schema)
+        if block < blocks - 1:  # written, so that the next block's windows take the place of this one's
+            out = durable(out)
+            shared.destroy()
     return out
 
 
@@ -142,7 +146,7 @@ def scan(
     """What each document shares with the benchmark: `id`, n_words, runs (merged hit words, last exclusive), items.
 
     The window set that is broadcast holds at most `block_bytes` of benchmark text (or one row); a larger benchmark is
-    cut into such blocks, and the documents go through one scan per block in the same pass. No shuffle.
+    cut into such blocks, one at a time: what a block finds is written before the next one is built. No shuffle.
     """
     found = _scanned(picked(docs, **{"id": id, "text": text}), benchmark, n, item, item_text, block_bytes)
     return found.select(F.col("id").alias(id), "n_words", "runs", "items")
