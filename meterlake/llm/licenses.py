@@ -234,20 +234,46 @@ def _ruled(rows: DataFrame, id: str, rules) -> DataFrame:
     )
 
 
-def scan_sql(sentences: dict[str, str] = SENTENCES, rules=RULES) -> str:
-    """The same in the SQL of an independent engine: doc_id, n_sentences, licences, unmatched."""
-    values = ", ".join(f"('{s}', '{i}')" for s, i in known_sentences(sentences).items())
+def _ruled_sql(rules) -> tuple[str, str]:
+    """Marked identifiers with the licences that the rules put in their place; what is read off them."""
     marked = "coalesce(string_agg('<' || k.ident || '>', '' ORDER BY s.place), '')"
     for ids, name in rules:
         marked = f"replace({marked}, '{''.join(f'<{i}>' for i in ids)}', '{{{name}}}')"
+    read = r"""SELECT doc_id, n_sentences, array_to_string(regexp_extract_all(marked, '\{([^}]*)\}', 1), ',') AS licences,
+    array_to_string(regexp_extract_all(marked, '<([^>]*)>', 1), ',') AS unmatched
+FROM marked"""
+    return marked, read
+
+
+def _known_sql(sentences: dict[str, str]) -> str:
+    return ", ".join(f"('{normal_sentence(t)}', '{i}')" for i, t in sentences.items())
+
+
+def scan_sql(sentences: dict[str, str] = SENTENCES, rules=RULES) -> str:
+    """`scan` in the SQL of an independent engine: doc_id, n_sentences, licences, unmatched."""
+    marked, read = _ruled_sql(rules)
     return rf"""
-WITH known(sentence, ident) AS (VALUES {values}),
+WITH known(sentence, ident) AS (VALUES {_known_sql(sentences)}),
 cut AS (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS place FROM (
     SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '\n|[.!?]+[ \t\r\n]+') AS parts
     FROM documents)),
 s AS (SELECT doc_id, place, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM cut),
 marked AS (SELECT s.doc_id, count(k.ident) AS n_sentences, {marked} AS marked
     FROM s LEFT JOIN known k ON s.sentence = k.sentence GROUP BY s.doc_id)
-SELECT doc_id, n_sentences, array_to_string(regexp_extract_all(marked, '\{{([^}}]*)\}}', 1), ',') AS licences,
-    array_to_string(regexp_extract_all(marked, '<([^>]*)>', 1), ',') AS unmatched
-FROM marked"""
+{read}"""
+
+
+def scan_texts_sql(sentences: dict[str, str] = PUBLISHED, rules=PUBLISHED_RULES) -> str:
+    """`scan_texts` likewise. Its patterns cannot look around, so that each break is two bars, one for either neighbour."""
+    marked, read = _ruled_sql(rules)
+    each = "|".join(s.replace(" ", r"(?: \| \|)? ") for s in sorted(map(normal_sentence, sentences.values()), key=len, reverse=True))
+    return rf"""
+WITH known(sentence, ident) AS (VALUES {_known_sql(sentences)}),
+lowered AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}|', '{LOWER} ') || chr(10) AS t FROM documents),
+barred AS (SELECT doc_id, '|' || replace(regexp_replace(t, '[.!?:;]+([ \t\r\n])', '|\1', 'g'), chr(10), '|') || '|' AS t FROM lowered),
+words AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[^a-z0-9|]+', ' ', 'g'), ' ?\|[ |]*', ' | | ', 'g') AS t FROM barred),
+found AS (SELECT doc_id, regexp_extract_all(t, '\| ({each}) \|', 1) AS parts FROM words),
+s AS (SELECT doc_id, replace(unnest(parts), ' | |', '') AS sentence, unnest(range(1, len(parts) + 1)) AS place FROM found),
+marked AS (SELECT doc_id, count(k.ident) AS n_sentences, {marked} AS marked
+    FROM found LEFT JOIN s USING (doc_id) LEFT JOIN known k ON s.sentence = k.sentence GROUP BY doc_id)
+{read}"""

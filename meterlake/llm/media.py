@@ -197,6 +197,7 @@ def media_in(body: bytes, located) -> list[Found]:
 
 
 ITEM = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+SNIFFED_COLUMNS = ("sniffed", "length", "corrected", "embedded")
 SNIFFED = "sniffed string, length long, corrected boolean, embedded array<struct<type:string,offset:long,length:long>>"
 
 
@@ -302,15 +303,16 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(body), hashlib.sha256(body).hexdigest(), feature
             for c, v in zip(out, values):
                 out[c].append(v)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, out.values())], names=["id", *out])
+        kept = [batch.column(c) for c in SNIFFED_COLUMNS]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *kept, *map(pa.array, out.values())], names=["id", *SNIFFED_COLUMNS, *out])
 
 
 def read_back(sniffed: DataFrame, id: str, body: str) -> DataFrame:
-    """Digests and features of sniffed values, from the stored bytes alone."""
-    rows = sniffed.select(F.col(id).alias("id"), F.col(body).alias("body"), "sniffed", "length", "embedded")
+    """Digests and features of sniffed values, from the stored bytes alone, beside what `sniff` found."""
+    rows = sniffed.select(F.col(id).alias("id"), F.col(body).alias("body"), *SNIFFED_COLUMNS)
     out = rows.mapInArrow(
         _read_back,
-        f"id {rows.schema['id'].dataType.simpleString()}, payload_bytes long, payload_sha256 string, tail_crc32 long, "
+        f"id {rows.schema['id'].dataType.simpleString()}, {SNIFFED}, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string",
     )
     return out.withColumnRenamed("id", id)

@@ -102,7 +102,8 @@ def op5_media(spark: SparkSession, folder: str) -> DataFrame:
     stored = media.store_texts(table(spark, folder, "documents")).withColumn("declared", F.lit("application/octet-stream"))
     lengths = stored.select("doc_id", "n_bytes", "body", "declared")
     found = media.sniff(lengths.withColumn("key", F.struct("doc_id", "n_bytes")), "key", "declared", "body")
-    return media.read_back(found, "key", "body").select("key.*", "*").drop("key")
+    found = media.read_back(found, "key", "body").withColumn("n_embedded", F.size("embedded").cast("long"))
+    return found.select("key.*", "*").drop("key", "embedded")
 
 
 @query
@@ -172,6 +173,7 @@ def _licences(found: DataFrame) -> DataFrame:
 
 
 SQL["op10_licenses"] = licenses.scan_sql()
+SQL["op10_license_texts"] = licenses.scan_texts_sql()
 
 
 @query

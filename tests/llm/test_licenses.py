@@ -150,6 +150,25 @@ copyright notice and this permission notice appear in all copies."""
     assert all(got[i].unmatched == [] for i in (1, 2, 3, 6)) and got[4].unmatched == ["rights"]
 
 
+def test_wrapped_texts_match_their_sql(spark):
+    import random
+
+    import duckdb
+
+    rng = random.Random(4)
+    parts = [GPL, WRAPPED_APACHE, MIT, BSD2, *licenses.PUBLISHED.values(), "Plain words; more.", "|", "\n", "\r\n", " ", "// ", "é", "", "2."]
+    texts = [None, "", "All rights reserved", *(("".join if k % 2 else "\n".join)(rng.choices(parts, k=rng.randint(1, 6))) for k in range(300))]
+    texts += [t.replace(" ", rng.choice(["\n", " | ", ".\n", "  "]), rng.randint(1, 9)) for t in texts[3:]]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    expected = {i: (n, l, u) for i, n, l, u in con.execute(licenses.scan_texts_sql()).fetchall()}
+    got = by_id(licenses.scan_texts(docs(spark, rows)))
+    assert {i: (len(r.sentences), ",".join(r.licences), ",".join(r.unmatched)) for i, r in got.items()} == expected
+    assert len({l for _, l, _ in expected.values()}) > 15
+
+
 def test_every_published_sentence_is_found(spark):
     rows = list(enumerate(licenses.PUBLISHED.values()))
     got = by_id(licenses.scan_texts(docs(spark, rows)))

@@ -80,6 +80,7 @@ def test_payloads_come_back_whole(spark, folder):
         assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(stored))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
         assert r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        assert (r.sniffed, r.length, r.corrected, r.n_embedded) == ("audio/wav", len(stored), True, 0)
         assert r.feature.startswith("type=audio/wav;") and same.setdefault(raw, r.feature) == r.feature
 
 
