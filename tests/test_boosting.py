@@ -85,3 +85,32 @@ def test_the_registered_model_holds_out_the_last_tenth(spark):
     assert model.feature_importance()["a"] > 0.8 and set(model.feature_importance()) == {"a", "b"}
     lone = models.BoostedTrees(rounds=2, patience=1, stopping_share=0, max_features="all").fit(df.withColumn("flat", F.lit(1.0)), ["a", "flat"])
     assert lone.feature_importance()["flat"] == 0  # a feature that no tree splits by
+
+
+def test_copies_of_rows_join_the_same_cells(spark, monkeypatch):
+    from meterlake.operators import boosting
+
+    _, df = table(spark)
+    many = df.crossJoin(spark.range(40).drop("id"))
+    few, all_ = (boosting._cells(d, F.col("held"), "x", "y", keep=True) for d in (df, many))
+    assert few.count() == all_.count() <= 64
+    assert all_.agg(F.sum("_n")).first()[0] == 40 * few.agg(F.sum("_n")).first()[0] == 12_000
+    one, two = (boost(d, F.col("held"), "x", "y", "p", rounds=4, step=0.5, **WHOLE, **TREE)[1] for d in (df, many))
+    np.testing.assert_allclose(one, two, rtol=1e-9)
+    monkeypatch.setattr(boosting, "CELL_ROWS", 50)  # large cells in several parts
+    parts = boosting._cells(many, F.col("held"), "x", "y", keep=True)
+    assert parts.count() > 64 and parts.agg(F.max(F.size("_labels"))).first()[0] < 100
+    np.testing.assert_allclose(boost(many, F.col("held"), "x", "y", "p", rounds=4, step=0.5, max_samples=0.999999, max_features="all", **TREE)[1], one, rtol=1e-2)
+
+
+def test_every_row_of_a_cell_is_drawn_on_its_own(spark):
+    from meterlake.operators import boosting
+
+    _, df = table(spark, 4_000)
+    cells = boosting._cells(df, F.lit(False), "x", "y", keep=True)
+    draws = [cells.select(boosting._draw(0.9, k)("_id", "_labels").alias("d"), "_n").agg(F.sum("d.n"), F.sum("d.s"), F.count_if(F.col("d.n") < F.col("_n"))).first() for k in range(12)]
+    taken = [d[0] for d in draws]
+    assert abs(np.mean(taken) - 3_600) < 25 and 4 < np.std(taken) < 60 and min(d[2] for d in draws) > 50
+    assert len({d[1] for d in draws}) == 12
+    whole = cells.select(boosting._draw(1.0, 3)("_id", "_labels").alias("d"), "_n", "_sum").agg(F.sum(F.abs(F.col("d.n") - F.col("_n"))), F.max(F.abs(F.col("d.s") - F.col("_sum")))).first()
+    assert whole[0] == 0 and whole[1] < 1e-9
