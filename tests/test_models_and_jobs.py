@@ -200,3 +200,27 @@ def test_cut_trees_equal_trees_fitted_to_the_depth(linear):
     errors = [r.rmse for r in swept]
     assert [r.max_depth for r in swept] == list(depths) and errors == sorted(errors, reverse=True)
     assert [r.train_seconds is None for r in swept] == [True] * 4 + [False]
+
+
+def test_a_tree_reads_copies_of_a_row_once_and_min_rows_counts_rows(spark, linear):
+    df = linear[1]
+    many = df.crossJoin(spark.range(30).drop("id"))
+    few, all_ = models.DecisionTree(max_depth=4, min_rows=10), models.DecisionTree(max_depth=4, min_rows=300)
+    few.fit(df, NAMES), all_.fit(many, NAMES)
+    once, again = (m.predict(df).orderBy("timestamp").toPandas().prediction for m in (few, all_))
+    np.testing.assert_allclose(once, again, rtol=1e-9)
+    n = df.count()
+    leaves = all_.predict(many).groupBy("prediction").count().collect()
+    assert sum(r["count"] for r in leaves) == 30 * n and min(r["count"] for r in leaves) >= 300
+    counts = all_.model._call_java("rootNode").impurityStats()
+    assert counts.rawCount() <= n  # as many instances as different rows
+    assert models.DecisionTree(max_depth=4, min_rows=n).fit(df, NAMES).model.numNodes == 1
+
+
+def test_a_forest_stays_within_its_labels(linear):
+    from meterlake.plans.prepare import Prepared
+    from meterlake.plans.queries import fitted
+
+    df = linear[1]
+    found = fitted.within_labels(Prepared(df, df, NAMES, None, None), models.RandomForest(n_trees=5, max_depth=4, min_rows=2)).first()
+    assert found["broken"] == 0 and found["n"] == df.count()
