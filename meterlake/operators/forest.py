@@ -167,11 +167,12 @@ def _read(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[_Chunk]:
             yield _Chunk(number.as_py(), cells.as_py(), counts.as_py(), y.as_py(), s)
 
 
-def _descend(cells: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """The node without a split that each cell falls into."""
+def _descend(cells: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, most: int = -1) -> np.ndarray:
+    """The node without a split that each cell falls into, or the node after `most` splits."""
     at = np.zeros(len(cells), np.int32)
     going = np.arange(len(cells)) if feature[0] >= 0 else np.zeros(0, np.int64)
-    while len(going):
+    while len(going) and most:
+        most -= 1
         node = at[going]
         node = left[node] + (cells[going, feature[node]] > cut[node])
         at[going] = node
@@ -378,19 +379,25 @@ class Forest:
 
     def transform(self, df: DataFrame, out: str = "_prediction") -> DataFrame:
         """`df` with the prediction; every cell is looked up once and joined to its rows."""
+        return self.at_depths(df, [-1], out).withColumn(out, F.col(out)[0])
+
+    def at_depths(self, df: DataFrame, depths: Sequence[int], out: str = "_prediction") -> DataFrame:
+        """`df` with an array of what the trees predict if they end at each of `depths` (-1: at their leaves)."""
         share, width = df.sparkSession.sparkContext.broadcast(self.trees), len(self.features)
 
         def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 cells = _matrix(batch.column(0), width)
-                total = np.zeros(len(cells))
+                total = np.zeros((len(cells), len(depths)))
                 for feature, cut, left, value in share.value:
-                    total += value[_descend(cells, feature, cut, left)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total / len(share.value))], names=["_cell", out])
+                    for k, most in enumerate(depths):
+                        total[:, k] += value[_descend(cells, feature, cut, left, most)]
+                means = pa.array((total / len(share.value)).tolist(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), means], names=["_cell", out])
 
         coded = with_code(df, self.features, self.edges)
         spread = coded.select(CODE).distinct().repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
-        scored = durable(spread.mapInArrow(scores, f"_cell binary, {out} double"))
+        scored = durable(spread.mapInArrow(scores, f"_cell binary, {out} array<double>"))
         return coded.join(scored, F.col(CODE) == F.col("_cell")).drop(CODE, "_cell")
 
 

@@ -77,3 +77,14 @@ def test_equal_labels_make_one_leaf_and_nulls_are_refused(spark, rows):
         forest.fit(rows.withColumn("a", F.when(F.col("a") > 3, F.col("a"))), NAMES, "label", trees=2, depth=2)
     with pytest.raises(ValueError):
         forest.fit(rows.limit(0), NAMES, "label", trees=2, depth=2)
+
+
+def test_a_depth_sweep_keeps_no_tree_of_java_nodes(rows, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("node by node")
+
+    monkeypatch.setattr(models, "cut_at", refuse)
+    swept = models.depth_sweep(rows, rows, NAMES, (2, 5), log_target=False, min_rows=20, max_bins=128).collect()
+    for r in swept:
+        plain = models.DecisionTree(max_depth=r.max_depth, min_rows=20, max_bins=128).fit(rows, NAMES).predict(rows).toPandas()
+        assert r.rmse == pytest.approx(np.sqrt(np.mean((plain.prediction - plain.label) ** 2)), rel=1e-9)
