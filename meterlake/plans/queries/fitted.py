@@ -9,7 +9,7 @@ from meterlake.operators.encoding import TargetEncoder
 from meterlake.operators.features import drop_prefixed
 from meterlake.plans.queries.catalog import query, r, sr
 from meterlake.plans.queries.models import ALL_MODELS, FEATURES, prepared, profiles
-from meterlake.session import durable, scratch_path
+from meterlake.session import durable, scratch_path, side_by_side
 from meterlake.sources import frames, tables
 
 # the covariance of the standardised quantity with the price, and the number of rows
@@ -89,9 +89,10 @@ def forest_within_labels(spark, d):
 def importance_sums(spark, d):
     """Importances of every kind of tree add up to 1. Boosting holds no rows out here, since a model whose best round is the
     mean has no importances."""
-    prep = prepared(spark, d)
-    made = [models.DecisionTree(), models.RandomForest(), models.BoostedTrees(rounds=10, step=0.3, stopping_share=0)]
-    rows = [(m.name, round(sum(m.fit(prep.train, prep.features).feature_importance().values()), 6)) for m in made]
+    prep = prepared(spark, d).learned().stored()
+    made = [models.RandomForest(), models.BoostedTrees(rounds=10, step=0.3, stopping_share=0), models.DecisionTree()]
+    total = lambda m: round(sum(m.fit(prep.train, prep.features).feature_importance().values()), 6)
+    rows = [(m.name, t) for m, t in zip(made, side_by_side(spark, [lambda m=m: total(m) for m in made]))]
     return spark.createDataFrame(rows, "model string, total double")
 
 
@@ -154,12 +155,13 @@ def sample_n_size(spark, d):
 )
 def registry_models(spark, d):
     """Every registered model fits, predicts every row and names its family."""
-    prep = prepared(spark, d).stored()
-    rows = []
-    for name, made in models.REGISTRY.items():
-        model = made(**ALL_MODELS[name]).fit(prep.train, prep.features)
-        if model.predict(prep.val).where("prediction is null").isEmpty():
-            rows.append((name, model.family))
+    prep = prepared(spark, d).learned().stored()
+
+    def fits(name):
+        model = models.REGISTRY[name](**ALL_MODELS[name]).fit(prep.train, prep.features)
+        return (name, model.family) if model.predict(prep.val).where("prediction is null").isEmpty() else None
+
+    rows = [row for row in side_by_side(spark, [lambda n=n: fits(n) for n in reversed(models.REGISTRY)]) if row]
     return spark.createDataFrame(rows, "model string, family string")
 
 
