@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.functions.scalars import no_nan
 from meterlake.operators.quantiles import global_quantiles, group_quantiles
 from meterlake.operators.series import POS, SIZE, Series, by_length, nearest_marks, same_keys
 from meterlake.session import durable
@@ -218,23 +219,34 @@ def _treated(df: DataFrame, series: Series, value: str, min_hours: int) -> DataF
     )
 
 
+@by_length
+def _capped_treatments(df: DataFrame, series: Series, value: str, min_hours: int, quantile: float) -> DataFrame:
+    treated = _treated(df, series, value, min_hours)
+    if series.split:
+        treated = durable(treated)  # read for the caps and for the rows
+        kinds = [F.struct(F.lit(s).alias("s"), F.col(s).cast("double").alias("v")) for s in STRATEGIES]
+        each = treated.select(*series.keys, F.explode(F.array(*kinds)).alias("t")).select(*series.keys, "t.*")
+        found = group_quantiles(each, [*series.keys, "s"], "v", [quantile])
+        caps = found.groupBy(*series.keys).agg(*[F.max(F.when(F.col("s") == s, F.col("q")[0])).alias(f"_cap_{s}") for s in STRATEGIES])
+        caps = durable(caps.na.drop(subset=list(series.keys)))  # rows with a null key belong to no series
+        joined = treated.join(caps, same_keys(treated, caps, series.keys), "left").select(*[treated[c] for c in treated.columns], *[f"_cap_{s}" for s in STRATEGIES])
+    else:
+        known = reduce(Column.__and__, [F.col(k).isNotNull() for k in series.keys])
+        whole = Window.partitionBy(*series.keys)
+        joined = treated.withColumns({f"_cap_{s}": F.when(known, F.percentile(no_nan(s), F.lit(quantile)).over(whole)) for s in STRATEGIES})
+    capped = {s: F.when(F.col(s).isNotNull(), F.least(F.col(s), F.coalesce(f"_cap_{s}", F.col(s)))) for s in STRATEGIES}
+    return joined.withColumns(capped).drop(*[f"_cap_{s}" for s in STRATEGIES])
+
+
 def all_treatments(
     df: DataFrame, series: Series = Series(), value: str = "meter_reading", min_hours: int = 48, quantile: float = 0.999
 ) -> DataFrame:
     """The reading after each of the four treatments of long zero runs, capped, as a column named like its strategy, next to
     the columns of `df`. `kept` tells the rows that "drop" leaves. Written.
 
-    Runs are worked out once, in one pass by series, and all caps in another.
+    Runs and caps of ordinary series come from the partition they are windowed in; caps of long ones from another pass.
     """
-    treated = durable(_treated(df, series, value, min_hours))
-    kinds = [F.struct(F.lit(s).alias("s"), F.col(s).cast("double").alias("v")) for s in STRATEGIES]
-    each = treated.select(*series.keys, F.explode(F.array(*kinds)).alias("t")).select(*series.keys, "t.*")
-    found = group_quantiles(each, [*series.keys, "s"], "v", [quantile])
-    caps = found.groupBy(*series.keys).agg(*[F.max(F.when(F.col("s") == s, F.col("q")[0])).alias(f"_cap_{s}") for s in STRATEGIES])
-    caps = durable(caps.na.drop(subset=list(series.keys)))  # rows with a null key belong to no series
-    joined = treated.join(caps, same_keys(treated, caps, series.keys), "left").select(*[treated[c] for c in treated.columns], *[f"_cap_{s}" for s in STRATEGIES])
-    capped = {s: F.when(F.col(s).isNotNull(), F.least(F.col(s), F.coalesce(f"_cap_{s}", F.col(s)))) for s in STRATEGIES}
-    return durable(joined.withColumns(capped).drop(*[f"_cap_{s}" for s in STRATEGIES]))
+    return durable(_capped_treatments(df, series, value, min_hours, quantile))
 
 
 def treatment(treated: DataFrame, strategy: str, value: str = "meter_reading") -> DataFrame:

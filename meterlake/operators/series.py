@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from meterlake.session import durable
 
 POS, CHUNK, SIZE = "_pos", "_chunk", "_size"
+TASK_ROWS = 125_000  # rows of ordinary series that one task windows, about; a sorted row takes 1 to 2 KB there
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ class Series:
     counted: bool = False
     longs: DataFrame | None = field(default=None, compare=False, repr=False)
     parts: int = 0  # tasks to spread the long series over
+    tasks: int = 0  # tasks to spread the ordinary series over
 
     @property
     def order(self) -> list[str]:
@@ -45,11 +47,14 @@ class Series:
         """Count the series of `df` once. Holds for every frame made from `df` by dropping or filling rows."""
         if self.split is not None or self.counted:
             return self
+        counts = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_rows"))
+        total, longest = counts.agg(F.sum("_rows"), F.max("_rows")).first()  # two numbers
+        tasks = -(-(total or 0) // TASK_ROWS)
+        if (longest or 0) <= self.long_rows:
+            return replace(self, counted=True, tasks=tasks)
         longs = long_series(df, self)
-        if longs is None:
-            return replace(self, counted=True)
         rows = longs.agg(F.sum("_rows")).first()[0]  # one number
-        return replace(self, counted=True, longs=longs.select(*self.keys), parts=-(-rows // self.chunk_rows))
+        return replace(self, counted=True, longs=longs.select(*self.keys), parts=-(-rows // self.chunk_rows), tasks=tasks)
 
     def window(self) -> WindowSpec:
         if self.split:
@@ -67,14 +72,21 @@ def same_keys(left: DataFrame, right: DataFrame, keys) -> Column:
     return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
 
 
-def long_series(df: DataFrame, series: Series) -> DataFrame | None:
-    """Keys and rows of the series above `long_rows`, or None where there are none.
+def long_series(df: DataFrame, series: Series) -> DataFrame:
+    """Keys and rows of the series above `long_rows`.
 
     At most (rows / long_rows) keys can be long. The list is written, so that Spark knows whether to broadcast it.
     """
     counts = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("_rows"))
-    longs = counts.where(F.col("_rows") > series.long_rows)
-    return None if longs.isEmpty() else durable(longs)
+    return durable(counts.where(F.col("_rows") > series.long_rows))
+
+
+def spread(df: DataFrame, series: Series) -> DataFrame:
+    """Rows by series in as many tasks as their number asks for, so that the memory of a task does not grow with the table.
+    All windows by series keep to this shuffle. Few rows are left to Spark."""
+    if series.tasks <= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(series.tasks, *series.keys)
 
 
 def by_length(step: Callable) -> Callable:
@@ -87,10 +99,10 @@ def by_length(step: Callable) -> Callable:
         series = series.measured(df)
         plain, chunked = replace(series, split=False), replace(series, split=True)
         if series.longs is None:
-            return step(df, plain, *args, **kwargs)
+            return step(spread(df, series), plain, *args, **kwargs)
         longs = series.longs
         match = same_keys(df, longs, series.keys)
-        ordinary = step(df.join(longs, match, "left_anti"), plain, *args, **kwargs)
+        ordinary = step(spread(df.join(longs, match, "left_anti"), series), plain, *args, **kwargs)
         return ordinary.unionByName(step(df.join(longs, match, "left_semi"), chunked, *args, **kwargs))
 
     return run

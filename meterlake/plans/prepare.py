@@ -56,7 +56,6 @@ def build_features(
     return features.add_interaction_features(features.add_weather_features(out))
 
 
-@by_length
 def clean_history(
     readings: DataFrame,
     series: Series,
@@ -76,8 +75,18 @@ def clean_history(
     """
     if strategy is None:
         return features.add_history_features(readings, series, lags=lags, windows=windows)
+    series = series.measured(readings)
+    # joined before the rows are dealt out by series, which no later step undoes
     narrow = readings.join(sites.select("building_id", "site_id"), "building_id", "left")
-    tidy = clean.handle_streaks(narrow, series, strategy, min_hours=min_hours).select(*readings.columns)
+    return _tidy_history(narrow, series, readings.columns, strategy, quantile, min_hours, lags, windows, cap_rows)
+
+
+@by_length
+def _tidy_history(
+    narrow: DataFrame, series: Series, columns: Sequence[str], strategy: str, quantile: float, min_hours: int, lags: Sequence[int],
+    windows: Sequence[int], cap_rows: Column | None,
+) -> DataFrame:
+    tidy = clean.handle_streaks(narrow, series, strategy, min_hours=min_hours).select(*columns)
     if cap_rows is None:
         tidy = clean.cap_outliers(tidy, series, quantile=quantile)
     else:
