@@ -230,7 +230,8 @@ def segments_together(
 ) -> DataFrame:
     """`segment_predictions` for any number of segments: the trees of all of them grow together, and those of the global
     model are the same trees with one segment. The last `held_share` of the training time picks the round of each."""
-    train, val = durable(train), durable(val)
+    read = dict.fromkeys([segment, *features, "label"])  # no more than the trees and the scores read
+    train, val = durable(train.select(*dict.fromkeys([*read, time_col]))), durable(val.select(*read))
     last = global_quantiles(train.select(seconds(time_col).alias("s")), "s", [1 - held_share]).first()
     held = seconds(time_col) > last["q"][0] if last is not None else F.lit(False)
     counts = durable(train.groupBy(F.col(segment).alias("_own")).count().where(F.col("count") >= min_train))

@@ -107,3 +107,31 @@ def test_own_trees_beat_one_model_where_segments_differ(spark):
     out = training.compare_segments(found, "seg").toPandas().set_index("seg")
     assert out.loc["up", "rmse_own"] < 0.5 * out.loc["up", "rmse_global"]
     assert np.isnan(out.loc["rare", "rmse_own"]) and out.loc["rare", "n_global"] == 5
+
+
+@pytest.mark.parametrize("patience", [1, 3])
+def test_one_task_and_rounds_of_jobs_give_the_same_trees(spark, monkeypatch, patience):
+    pdf = frame(500, seed=5)
+    pdf.loc[pdf.seg == "c", "held"] = False  # judged by its training rows
+    rows = spark.createDataFrame(pdf)
+    settings = SETTINGS | {"rounds": 6, "patience": patience, "step": 1.0, "min_rows": 1}
+    fits = []
+    for most in (1_000_000, 200, 0):  # all in tasks, the smaller ones only, none
+        monkeypatch.setattr(st, "LOCAL_ROWS", most)
+        fits.append(st.fit(rows, ["x", "z"], "seg", held=F.col("held"), edges=EDGES, **settings))
+    table = lambda df, *by: df.toPandas().sort_values(list(by)).reset_index(drop=True)
+    for other in fits[1:]:
+        pd.testing.assert_frame_equal(table(fits[0].losses, "_segment", "round"), table(other.losses, "_segment", "round")[fits[0].losses.columns], check_dtype=False)
+        pd.testing.assert_frame_equal(table(fits[0].starts, "_segment"), table(other.starts, "_segment"))
+        pd.testing.assert_frame_equal(table(fits[0].trees, "_segment", "round"), table(other.trees, "_segment", "round")[fits[0].trees.columns])
+
+
+def test_rounds_of_small_segments_take_no_jobs_of_their_own(spark):
+    rows = spark.createDataFrame(frame(300, seed=6))
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for rounds in (2, 8):
+        spark.sparkContext.setJobGroup(f"rounds {rounds}", "")
+        st.fit(rows, ["x", "z"], "seg", held=F.col("held"), edges=EDGES, **SETTINGS | {"rounds": rounds})
+        jobs.append(len(tracker.getJobIdsForGroup(f"rounds {rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[1] - jobs[0]) <= 2
