@@ -206,7 +206,8 @@ def segment_predictions(
 
     Each own model is a distributed job of its own, of which `at_once` run at a time; more than `most` segments are an error.
     """
-    train, val = durable(train), durable(val)
+    read = dict.fromkeys([segment, *features, "label"])  # no more than the models and the scores read
+    train, val = durable(train.select(*dict.fromkeys([*read, time_col]))), durable(val.select(*read))
     rows = train.groupBy(segment).count().where(F.col("count") >= min_train).orderBy(segment).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} segments to fit")

@@ -45,3 +45,13 @@ def test_scores_are_those_of_one_after_another(spark):
     prep = small(spark)
     one, four = (training.segment_predictions(prep.train, prep.val, ["x"], "part", "decision_tree", 10, at_once=k, min_rows=2).groupBy("part", "model").agg({"y_pred": "sum"}).collect() for k in (1, 4))
     assert sorted(map(tuple, one)) == sorted(map(tuple, four)) and len(one) == 4
+
+
+def test_fits_write_no_more_than_they_read(spark, monkeypatch):
+    written = []
+    real = training.durable
+    monkeypatch.setattr(training, "durable", lambda df: written.append(set(df.columns)) or real(df))
+    prep = small(spark)
+    wide = prep.train.selectExpr("*", "'unread' AS comment")
+    training.segment_predictions(wide, wide, ["x"], "part", "ols", 10).count()
+    assert written == [{"part", "x", "label", "timestamp"}, {"part", "x", "label"}]
