@@ -19,6 +19,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when the result has to be shuffled once more.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Shuffles start with many small parts, of which AQE joins neighbours to at most its advisory size (64 MB). A task then
+    # sorts no more than that, however large the table; the session's own number of parts would let it grow with the table.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1024",
 }
 
 def configure(spark: SparkSession) -> SparkSession:
