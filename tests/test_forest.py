@@ -88,3 +88,25 @@ def test_a_depth_sweep_keeps_no_tree_of_java_nodes(rows, monkeypatch):
     for r in swept:
         plain = models.DecisionTree(max_depth=r.max_depth, min_rows=20, max_bins=128).fit(rows, NAMES).predict(rows).toPandas()
         assert r.rmse == pytest.approx(np.sqrt(np.mean((plain.prediction - plain.label) ** 2)), rel=1e-9)
+
+
+def test_few_cells_go_to_the_tasks_that_grow_trees_at_once(rows, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a pass for every level")
+
+    want = predictions(forest.fit(rows, NAMES, "label", trees=2, depth=4, rate=None, min_rows=10), rows)
+    monkeypatch.setattr(forest, "_upper_level", refuse)
+    found = forest.fit(rows, NAMES, "label", trees=2, depth=4, rate=None, min_rows=10)
+    np.testing.assert_allclose(predictions(found, rows), want, rtol=1e-9)
+
+
+def test_sums_left_by_a_sibling_give_the_same_tree(monkeypatch):
+    rng = np.random.default_rng(2)
+    cells = rng.integers(0, 12, (5_000, 3)).astype(np.uint8)
+    w = rng.poisson(2, 5_000) + 1.0
+    y = w * np.where(cells[:, 0] > 5, 3.0, cells[:, 1]) + rng.normal(size=5_000)
+    s = forest.Settings(1, 8, None, 20, 1, [12, 12, 12])
+    kept = forest.grow(cells, w, y, 8, s)
+    monkeypatch.setattr(forest, "KEPT_SUMS", 0)  # every node added up
+    for a, b in zip(kept, forest.grow(cells, w, y, 8, s)):
+        np.testing.assert_allclose(a, b, rtol=1e-9)

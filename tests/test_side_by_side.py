@@ -60,3 +60,20 @@ def test_fits_write_no_more_than_they_read(spark, monkeypatch):
     monkeypatch.setattr(Prepared, "stored", lambda p: stored.append(set(p.train.columns) | set(p.val.columns)) or keep(p))
     training.imputation_experiment(lambda s: Prepared(wide, wide, ["x"], None, Series(("part",))), ["a"], "ols").count()
     assert stored == [{"x", "label", "timestamp"}]
+
+
+def test_linear_models_are_fitted_beside_the_others_on_stored_folds(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=60)  # broken where the linear models are fitted before the others
+    real, read = training.fit_prefixes, []
+
+    def waiting(train, *args, **params):
+        both.wait()
+        read.append(train)
+        return real(train, *args, **params)
+
+    monkeypatch.setattr(training, "fit_prefixes", waiting)
+    monkeypatch.setattr(training, "score_model", lambda model, prep, train=None: both.wait() and None or {"model": model.name} | SCORES)
+    prep = small(spark)
+    found = training.sample_complexity(prep, {"ols": {}, "decision_tree": {}}, (1.0,)).collect()
+    assert sorted((r.model, r.n_train) for r in found) == [("decision_tree", 60), ("ols", 60)]
+    assert set(read[0].columns) == {"timestamp", "x", "label"} and read[0].inputFiles()
